@@ -22,7 +22,11 @@ BLOCK_ROWS = 65_536
 
 @dataclass(frozen=True)
 class Run:
-    """One running value: ``op`` is sum, min, max or last (last non-null)."""
+    """One running value: ``op`` is sum, min, max, last (last non-null) or depth.
+
+    depth follows a walk whose steps are the values and that never goes below
+    zero: S - min(0, lowest S so far), S being the running sum.
+    """
 
     op: str
     value: Column
@@ -67,19 +71,23 @@ def running(
     ``order`` names columns that give a total order inside a group.
     """
     names = list(runs)
+    depths = [n for n in names if runs[n].op == "depth"]
+    plain = [n for n in names if runs[n].op != "depth"]
     cols = df.columns
+    groups = Window.partitionBy(*keys, "_b").orderBy(*order)
+    incl = groups.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    excl = groups.rowsBetween(Window.unboundedPreceding, -1)
     src = df.select(*cols, block.alias("_b"), *[runs[n].value.alias(f"_v_{n}") for n in names])
-    incl = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    excl = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    for n in depths:
+        src = src.withColumn(f"_s_{n}", F.sum(f"_v_{n}").over(incl))
     local = src.select(
         *cols,
         "_b",
         *[
             _fold(runs[n].op, F.col(f"_v_{n}")).over(incl if runs[n].inclusive else excl).alias(f"_l_{n}")
-            for n in names
+            for n in plain
         ],
+        *[c for n in depths for c in (F.col(f"_s_{n}"), F.min(f"_s_{n}").over(incl).alias(f"_m_{n}"))],
     )
     position = F.struct(*order)
     totals = src.groupBy(*keys, "_b").agg(
@@ -89,49 +97,34 @@ def running(
                 if runs[n].op == "last"
                 else _fold(runs[n].op, F.col(f"_v_{n}"))
             ).alias(f"_t_{n}")
-            for n in names
-        ]
+            for n in plain
+        ],
+        *[c for n in depths for c in (F.sum(f"_v_{n}").alias(f"_t_{n}"), F.min(f"_s_{n}").alias(f"_tm_{n}"))],
     )
-    over_blocks = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(
-        *keys, "_b", *[_fold(runs[n].op, F.col(f"_t_{n}")).over(over_blocks).alias(f"_c_{n}") for n in names]
-    )
-    return local.join(carry, [*keys, "_b"], "left").select(
-        *cols,
-        *[_join_carry(runs[n].op, F.col(f"_c_{n}"), F.col(f"_l_{n}")).alias(n) for n in names],
-    )
-
-
-def running_walk(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    block: Column,
-    step: Column,
-    name: str,
-) -> DataFrame:
-    """Depth of a walk with steps +1/-1/0 that never goes below zero.
-
-    depth = S - min(0, lowest S so far), S being the running sum of steps.
-    """
-    cols = df.columns
-    src = df.select(*cols, block.alias("_b"), step.alias("_v"))
-    w = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    local = src.withColumn("_s", F.sum("_v").over(w)).withColumn("_m", F.min("_s").over(w))
-    over_blocks = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = local.groupBy(*keys, "_b").agg(F.sum("_v").alias("_t"), F.min("_s").alias("_tm"))
-    carry = (
-        totals.withColumn("_cs", F.coalesce(F.sum("_t").over(over_blocks), F.lit(0)))
-        .withColumn("_cm", F.min(F.col("_cs") + F.col("_tm")).over(over_blocks))
-        .select(*keys, "_b", "_cs", "_cm")
-    )
-    total = F.col("_s") + F.coalesce(F.col("_cs"), F.lit(0))
-    lowest = F.least(F.col("_m") + F.coalesce(F.col("_cs"), F.lit(0)), F.col("_cm"), F.lit(0))
-    return local.join(carry, [*keys, "_b"], "left").select(
-        *cols, (total - lowest).cast("bigint").alias(name)
+        *keys,
+        "_b",
+        *[_fold(runs[n].op, F.col(f"_t_{n}")).over(before).alias(f"_c_{n}") for n in plain],
+        *[
+            c
+            for n in depths
+            for c in (F.col(f"_tm_{n}"), F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_c_{n}"))
+        ],
     )
+    for n in depths:
+        carry = carry.withColumn(f"_cm_{n}", F.min(F.col(f"_c_{n}") + F.col(f"_tm_{n}")).over(before)).drop(f"_tm_{n}")
+
+    def finish(n: str) -> Column:
+        if runs[n].op != "depth":
+            return _join_carry(runs[n].op, F.col(f"_c_{n}"), F.col(f"_l_{n}")).alias(n)
+        total = F.col(f"_s_{n}") + F.coalesce(F.col(f"_c_{n}"), F.lit(0))
+        lowest = F.least(
+            F.col(f"_m_{n}") + F.coalesce(F.col(f"_c_{n}"), F.lit(0)), F.col(f"_cm_{n}"), F.lit(0)
+        )
+        return (total - lowest).cast("bigint").alias(n)
+
+    return local.join(carry, [*keys, "_b"], "left").select(*cols, *[finish(n) for n in names])
 
 
 def row_numbers(df: DataFrame, keys: list[str], order: list[str], block: Column, name: str) -> DataFrame:

@@ -43,8 +43,8 @@ def read_draw_log(spark, sf_dir) -> DataFrame:
         "height",
         "path_id",
         F.col("command.type").alias("cmd"),
-        F.element_at("args", 1).alias("arg1"),
-        F.element_at("command.args", 2).alias("carg2"),
+        F.get("args", F.lit(0)).alias("arg1"),
+        F.get("command.args", F.lit(1)).alias("carg2"),
         "line_width",
         "value",
     )

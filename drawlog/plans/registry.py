@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from drawlog.plans import q_ingest
+from drawlog.plans import q_functions, q_ingest, q_surface
 
-_MODULES = [q_ingest]
+_MODULES = [q_ingest, q_functions, q_surface]
 
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
