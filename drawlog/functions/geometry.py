@@ -88,59 +88,84 @@ def rect_covers_surface(args: Column, m: Column, w: Column, h: Column) -> Column
     return F.coalesce(inside, F.lit(False))
 
 
-def _arc_text(cx, cy, rx, ry, rot, start, end, anti, has_current) -> Column:
+def _ring(args: Column, ellipse: Column) -> Column:
+    """Center, radii, rotation and angles of an arc (5-6 numbers) or ellipse (7-8)."""
+    at = lambda arc, oval: F.when(ellipse, _at(args, oval)).otherwise(_at(args, arc))
+    return F.struct(
+        _at(args, 0).alias("cx"),
+        _at(args, 1).alias("cy"),
+        _at(args, 2).alias("rx"),
+        at(2, 3).alias("ry"),
+        F.when(ellipse, _at(args, 4)).otherwise(0.0).alias("rot"),
+        at(3, 5).alias("start"),
+        at(4, 6).alias("end"),
+        (F.coalesce(at(5, 7), F.lit(0.0)) != 0.0).alias("anti"),
+    )
+
+
+def _on_ring(p: Column, angle: Column) -> list[Column]:
+    ca, sa, cr, sr = F.cos(angle), F.sin(angle), F.cos(p["rot"]), F.sin(p["rot"])
+    return [
+        fmt4(p["cx"] + p["rx"] * ca * cr - p["ry"] * sa * sr),
+        fmt4(p["cy"] + p["rx"] * ca * sr + p["ry"] * sa * cr),
+    ]
+
+
+def _arc_text(p: Column) -> Column:
     tau = 2 * math.pi
-    delta = end - start
-    delta = F.when(anti & (delta > 0), delta - tau).when(~anti & (delta < 0), delta + tau).otherwise(delta)
-    ring = {"cx": cx, "cy": cy, "rx": rx, "ry": ry, "rot": rot, "start": start, "end": end, "anti": anti,
-            "delta": delta, "cur": has_current}
-
-    def text(p: Column) -> Column:
-        def point(angle: Column) -> list[Column]:
-            ca, sa, cr, sr = F.cos(angle), F.sin(angle), F.cos(p["rot"]), F.sin(p["rot"])
-            return [
-                fmt4(p["cx"] + p["rx"] * ca * cr - p["ry"] * sa * sr),
-                fmt4(p["cy"] + p["rx"] * ca * sr + p["ry"] * sa * cr),
-            ]
-
-        sweep = F.when(p["anti"], "0").otherwise("1")
-        radii = [F.lit("A"), fmt4(p["rx"]), fmt4(p["ry"]), fmt4(F.degrees(p["rot"]))]
-        middle = point(p["start"] + F.when(p["anti"], -math.pi).otherwise(math.pi))
-        last = point(p["end"])
-        large = F.when(F.abs(p["delta"]) > math.pi, "1").otherwise("0")
-        whole = F.concat_ws(" ", *radii, F.lit("1"), sweep, *middle, *radii, F.lit("1"), sweep, *last)
-        part = F.concat_ws(" ", *radii, large, sweep, *last)
-        body = F.when(F.abs(p["delta"]) >= tau - 1e-7, whole).otherwise(part)
-        move = F.when(~p["cur"], F.concat_ws(" ", F.lit("M"), *point(p["start"])))
-        return F.concat_ws(" ", move, body)
-
-    return let(F.struct(*[c.alias(n) for n, c in ring.items()]), text)
+    turn = p["end"] - p["start"]
+    delta = F.abs(
+        F.when(p["anti"] & (turn > 0), turn - tau).when(~p["anti"] & (turn < 0), turn + tau).otherwise(turn)
+    )
+    sweep = F.when(p["anti"], "0").otherwise("1")
+    radii = [F.lit("A"), fmt4(p["rx"]), fmt4(p["ry"]), fmt4(F.degrees(p["rot"]))]
+    middle = _on_ring(p, p["start"] + F.when(p["anti"], -math.pi).otherwise(math.pi))
+    last = _on_ring(p, p["end"])
+    large = F.when(delta > math.pi, "1").otherwise("0")
+    half = F.when(delta >= tau - 1e-7, F.concat_ws(" ", *radii, F.lit("1"), sweep, *middle))
+    flag = F.when(delta >= tau - 1e-7, "1").otherwise(large)
+    return F.concat_ws(" ", half, *radii, flag, sweep, *last)
 
 
-def render_path_command(kind: Column, args: Column, has_current: Column) -> Column:
-    """One path command as text; null when unknown or short of arguments.
+def _is_arc(kind: Column, args: Column) -> tuple[Column, Column]:
+    n = F.coalesce(F.size(args), F.lit(0))
+    ellipse = kind == "ellipse"
+    return ((kind == "arc") & (n >= 5)) | (ellipse & (n >= 7)), ellipse
+
 
-    ``begin_path`` gives the empty text.  An arc starts with ``M`` only when the
-    path has no current point.
+def arc_lead(kind: Column, args: Column) -> Column:
+    """The ``M`` an arc starts with when the path has no current point; else null."""
+    arc, ellipse = _is_arc(kind, args)
+    start = lambda p: F.concat_ws(" ", F.lit("M"), *_on_ring(p, p["start"]))
+    return F.when(arc, let(_ring(args, ellipse), start))
+
+
+def command_text(kind: Column, args: Column) -> Column:
+    """One path command as text for a path that has a current point.
+
+    Null when unknown or short of arguments; ``begin_path`` gives the empty text.
     """
-    a = [_at(args, i) for i in range(8)]
     n = F.coalesce(F.size(args), F.lit(0))
-    plain = lambda letter, k: F.concat_ws(" ", F.lit(letter), *[fmt4(v) for v in a[:k]])
-    flag = lambda v: F.coalesce(v, F.lit(0.0)) != 0.0
+    numbers = lambda k: F.array_join(F.transform(F.slice(args, 1, k), fmt4), " ")
+    # Letter and number count of the plain commands.
+    plain = {"move_to": ("M", 2), "line_to": ("L", 2), "bezier_curve_to": ("C", 6), "quadratic_curve_to": ("Q", 4)}
+    letters = F.create_map(*[F.lit(x) for k, (letter, _) in plain.items() for x in (k, letter)])
+    counts = F.create_map(*[F.lit(x) for k, (_, count) in plain.items() for x in (k, count)])
+    arc, ellipse = _is_arc(kind, args)
     return (
-        F.when((kind == "move_to") & (n >= 2), plain("M", 2))
-        .when((kind == "line_to") & (n >= 2), plain("L", 2))
-        .when((kind == "bezier_curve_to") & (n >= 6), plain("C", 6))
-        .when((kind == "quadratic_curve_to") & (n >= 4), plain("Q", 4))
-        .when(kind == "close_path", "Z")
-        .when((kind == "rect") & (n >= 4), rect_text(*a[:4]))
-        .when(
-            (kind == "arc") & (n >= 5),
-            _arc_text(a[0], a[1], a[2], a[2], F.lit(0.0), a[3], a[4], flag(a[5]), has_current),
-        )
-        .when(
-            (kind == "ellipse") & (n >= 7),
-            _arc_text(a[0], a[1], a[2], a[3], a[4], a[5], a[6], flag(a[7]), has_current),
+        F.when(
+            n >= F.element_at(counts, kind),
+            F.concat_ws(" ", F.element_at(letters, kind), numbers(F.element_at(counts, kind))),
         )
+        .when(kind == "close_path", "Z")
+        .when((kind == "rect") & (n >= 4), rect_path_text(args))
+        .when(arc, let(_ring(args, ellipse), _arc_text))
         .when(kind == "begin_path", "")
     )
+
+
+def render_path_command(kind: Column, args: Column, has_current: Column) -> Column:
+    """``command_text``, with the leading ``M`` of an arc where there is no current point."""
+    lead = F.when(~has_current, arc_lead(kind, args))
+    text = command_text(kind, args)
+    return F.when(lead.isNotNull(), F.concat_ws(" ", lead, text)).otherwise(text)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drawlog import schema as S
-from drawlog.functions.geometry import render_path_command
+from drawlog.functions.geometry import arc_lead, command_text
 from drawlog.operators.ingest import with_defaults
 from drawlog.operators.running import Run, running, seq_block
 
@@ -27,95 +27,100 @@ def is_seed(value: Column) -> Column:
     )
 
 
-def path_pieces(log: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
-    """Path events with their effect: creates, begins, text pieces.
-
-    Columns: PATH, sequence, creates, begins, sets_current, open_text (without a
-    current point), text (with one).  ``resolved`` gives the text of copies and
-    appends by (session, frame, sequence); without it they add nothing.
-    """
-    rows = with_defaults(log).where(
-        F.col("path_id").isNotNull() & F.col("type").isin(*PATH_EVENTS)
-    )
-    rows = rows.select(*S.PATH, "sequence", "type", "command", "value")
-    if resolved is not None:
-        rows = rows.join(resolved.select(*_KEYED, "d", "has_current"), _KEYED, "left")
-    else:
-        rows = rows.withColumn("d", F.lit(None).cast("string")).withColumn("has_current", F.lit(False))
-    made = rows.where(F.col("type") == "path_created")
-    first = rows.groupBy(*S.PATH).agg(F.min("sequence").alias("_first"))
-    made = made.join(first, S.PATH).where(F.col("sequence") == F.col("_first")).drop("_first")
-    ref_text = F.when(F.col("d") != "", F.col("d"))
-    seed = F.when(is_seed(F.col("value")) & (F.col("value") != ""), F.col("value"))
-    no, yes = F.lit(False), F.lit(True)
-    created = made.select(
-        *S.PATH, "sequence", yes.alias("creates"), no.alias("begins"),
-        F.coalesce("has_current", no).alias("sets_current"),
-        F.coalesce(ref_text, seed).alias("open_text"), F.coalesce(ref_text, seed).alias("text"),
-    )
-    kind = F.col("command")["type"]
-    args = F.col("command")["args"]
-    begins = kind == "begin_path"
-    commands = rows.where(F.col("type") == "path_command").select(
-        *S.PATH, "sequence", yes.alias("creates"), begins.alias("begins"),
-        (~begins & (kind != "close_path")).alias("sets_current"),
-        F.when(~begins, render_path_command(kind, args, no)).alias("open_text"),
-        F.when(~begins, render_path_command(kind, args, yes)).alias("text"),
+def _with_refs(rows: DataFrame, resolved: DataFrame | None) -> DataFrame:
+    """Add ref_text and ref_current: text of copies and appends by (session, frame, sequence)."""
+    if resolved is None:
+        return rows.withColumns({"ref_text": F.lit(None).cast("string"), "ref_current": F.lit(False)})
+    refs = resolved.select(
+        *_KEYED, F.when(F.col("d") != "", F.col("d")).alias("ref_text"), F.col("has_current").alias("ref_current")
     )
-    appended = rows.where((F.col("type") == "path_append") & (F.col("d") != "")).select(
-        *S.PATH, "sequence", yes.alias("creates"), no.alias("begins"), no.alias("sets_current"),
-        F.col("d").alias("open_text"), F.col("d").alias("text"),
-    )
-    return created.unionByName(commands).unionByName(appended)
+    return rows.join(refs, _KEYED, "left")
 
 
-def _light_pieces(log: DataFrame, resolved: DataFrame | None) -> DataFrame:
-    return path_pieces(log, resolved).select(
-        *S.PATH, "sequence", "creates", "begins", F.col("text").isNotNull().alias("adds")
-    )
+def _seed_text() -> Column:
+    value = F.col("value")
+    return F.coalesce("ref_text", F.when(is_seed(value) & (value != ""), value))
+
+
+_BEGINS = "type = 'path_command' AND command.type = 'begin_path'"
 
 
 def path_state(log: DataFrame, resolved: DataFrame | None = None, block_rows: int | None = None) -> DataFrame:
-    """State of its path for every row that paints or clips with one.
+    """Every log row with the state of its path just before it.
 
-    Adds p_known (path exists), p_epoch (begin_path so far), p_filled (has
-    text); other rows get false / null.
+    Adds p_known (path exists), p_epoch (begin_path so far) and p_filled (has
+    text).  A creation only has an effect as the first event of its path.
     """
-    rows = with_defaults(log)
-    uses = F.col("type").isin("fill", "stroke", "clip") & F.col("path_id").isNotNull()
-    asks = rows.where(uses)
-    probe = asks.select(
-        *S.PATH, "sequence", F.lit(False).alias("creates"), F.lit(False).alias("begins"), F.lit(False).alias("adds"),
-        F.lit(True).alias("_ask"),
-    )
-    line = _light_pieces(log, resolved).withColumn("_ask", F.lit(False)).unionByName(probe)
+    rows = _with_refs(with_defaults(log), resolved)
     seq = F.col("sequence")
-    state = (
-        running(
-            line,
-            S.PATH,
-            ["sequence"],
-            seq_block("sequence", block_rows),
-            {
-                "_made": Run("sum", F.col("creates").cast("bigint")),
-                "p_epoch": Run("sum", F.col("begins").cast("bigint")),
-                "_begun": Run("max", F.when(F.col("begins"), seq)),
-                "_added": Run("max", F.when(F.col("adds"), seq)),
-            },
-        )
-        .where("_ask")
-        .select(
-            *_KEYED,
-            (F.col("_made") > 0).alias("p_known"),
-            "p_epoch",
-            (F.coalesce("_added", F.lit(0)) > F.coalesce("_begun", F.lit(0))).alias("p_filled"),
-        )
+    exists = F.expr(
+        "path_id IS NOT NULL AND (type IN ('path_created', 'path_command') OR (type = 'path_append' AND ref_text IS NOT NULL))"
+    )
+    adds = F.expr(
+        "(type = 'path_command' AND command.type <> 'begin_path') OR (type = 'path_append' AND ref_text IS NOT NULL)"
     )
-    known = asks.join(state, _KEYED, "left")
-    rest = rows.where(~uses).select(
-        "*", F.lit(False).alias("p_known"), F.lit(None).cast("bigint").alias("p_epoch"), F.lit(False).alias("p_filled")
+    seeded = (F.col("type") == "path_created") & _seed_text().isNotNull()
+    state = running(
+        rows,
+        S.PATH,
+        ["sequence"],
+        seq_block("sequence", block_rows),
+        {
+            "_first": Run("min", F.when(exists, seq * 2 + F.coalesce(seeded, F.lit(False)).cast("bigint"))),
+            "p_epoch": Run("sum", F.expr(f"CAST({_BEGINS} AS BIGINT)")),
+            "_begun": Run("max", F.expr(f"CASE WHEN {_BEGINS} THEN sequence END")),
+            "_added": Run("max", F.when(adds, seq)),
+        },
     )
-    return known.select(*rest.columns).unionByName(rest)
+    return state.withColumns(
+        {
+            "p_known": F.expr("path_id IS NOT NULL AND _first IS NOT NULL"),
+            "p_filled": F.expr(
+                "path_id IS NOT NULL AND greatest(coalesce(_added, 0), CASE WHEN _first % 2 = 1 THEN _first DIV 2 ELSE 0 END) > coalesce(_begun, 0)"
+            ),
+        }
+    ).drop("_first", "_begun", "_added", "ref_text", "ref_current")
+
+
+def path_pieces(log: DataFrame, resolved: DataFrame | None = None, block_rows: int | None = None) -> DataFrame:
+    """Text pieces of every path: PATH, p_epoch, sequence, sets_current, lead, text.
+
+    ``lead`` is put before ``text`` when the path has no current point there.
+    """
+    rows = _with_refs(
+        with_defaults(log)
+        .where(F.col("path_id").isNotNull() & F.col("type").isin(*PATH_EVENTS))
+        .select(*S.PATH, "sequence", "type", "command", "value"),
+        resolved,
+    )
+    exists = F.expr("type <> 'path_append' OR ref_text IS NOT NULL")
+    placed = running(
+        rows,
+        S.PATH,
+        ["sequence"],
+        seq_block("sequence", block_rows),
+        {
+            "_first": Run("min", F.when(exists, F.col("sequence"))),
+            "p_epoch": Run("sum", F.expr(f"CAST({_BEGINS} AS BIGINT)")),
+        },
+    )
+    kind, args = F.col("command")["type"], F.col("command")["args"]
+    is_command = (F.col("type") == "path_command") & (kind != "begin_path")
+    first_creation = (F.col("type") == "path_created") & (F.col("sequence") == F.col("_first"))
+    return placed.select(
+        *S.PATH,
+        "p_epoch",
+        "sequence",
+        F.when(is_command, kind != "close_path")
+        .when(first_creation, F.coalesce("ref_current", F.lit(False)))
+        .otherwise(False)
+        .alias("sets_current"),
+        F.when(is_command, arc_lead(kind, args)).alias("lead"),
+        F.when(is_command, command_text(kind, args))
+        .when(first_creation, _seed_text())
+        .when(F.col("type") == "path_append", F.col("ref_text"))
+        .alias("text"),
+    ).where("text IS NOT NULL")
 
 
 def path_epochs(log: DataFrame, block_rows: int | None = None) -> DataFrame:
@@ -133,16 +138,13 @@ def path_epochs(log: DataFrame, block_rows: int | None = None) -> DataFrame:
 
 def epoch_texts(log: DataFrame, resolved: DataFrame | None = None, block_rows: int | None = None) -> DataFrame:
     """One row per path epoch: its pieces in order and where a current point starts."""
-    pieces = running(
-        path_pieces(log, resolved),
-        S.PATH,
-        ["sequence"],
-        seq_block("sequence", block_rows),
-        {"p_epoch": Run("sum", F.col("begins").cast("bigint"))},
-    ).where(F.col("text").isNotNull())
-    return pieces.groupBy(*S.PATH, "p_epoch").agg(
-        F.array_sort(F.collect_list(F.struct("sequence", "open_text", "text"))).alias("_pieces"),
-        F.min(F.when(F.col("sets_current"), F.col("sequence"))).alias("_current_from"),
+    return (
+        path_pieces(log, resolved, block_rows)
+        .groupBy(*S.PATH, "p_epoch")
+        .agg(
+            F.array_sort(F.collect_list(F.struct("sequence", "lead", "text"))).alias("_pieces"),
+            F.min(F.when(F.col("sets_current"), F.col("sequence"))).alias("_current_from"),
+        )
     )
 
 
@@ -152,16 +154,14 @@ def snapshot(asks: DataFrame, texts: DataFrame) -> DataFrame:
     The epoch's pieces are aggregated once; each paint takes those with a
     smaller sequence, so later edits do not reach back.
     """
-    part = F.filter("_pieces", lambda p: p["sequence"] < F.col("sequence"))
-    text = F.transform(
-        part,
-        lambda p: F.when(p["sequence"] > F.coalesce(F.col("_current_from"), F.lit(2**62)), p["text"]).otherwise(
-            p["open_text"]
-        ),
+    text = F.expr(
+        """array_join(transform(filter(_pieces, p -> p.sequence < sequence),
+             p -> CASE WHEN p.lead IS NULL OR p.sequence > _current_from THEN p.text
+                       ELSE concat(p.lead, ' ', p.text) END), ' ')"""
     )
     return (
         asks.join(texts, [*S.PATH, "p_epoch"], "left")
-        .withColumn("d", F.coalesce(F.array_join(text, " "), F.lit("")))
+        .withColumn("d", F.coalesce(text, F.lit("")))
         .drop("_pieces", "_current_from")
     )
 

@@ -31,7 +31,8 @@ def live_rows(log: DataFrame) -> DataFrame:
 
 def _size_runs() -> dict[str, Run]:
     def side(name: str) -> Column:
-        given = F.greatest(F.col(name), F.lit(1.0))
+        # greatest() skips nulls, and an event without a size must stay without one.
+        given = F.when(F.col(name).isNotNull(), F.greatest(F.col(name), F.lit(1.0)))
         return F.when(F.col("sequence") == F.col("_born"), F.coalesce(given, F.lit(1.0))).otherwise(given)
 
     return {"now_width": Run("last", side("width")), "now_height": Run("last", side("height"))}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from drawlog.plans import q_functions, q_ingest, q_surface
+from drawlog.plans import q_functions, q_geometry, q_ingest, q_surface, q_tiles
 
-_MODULES = [q_ingest, q_functions, q_surface]
+_MODULES = [q_ingest, q_functions, q_surface, q_geometry, q_tiles]
 
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
