@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from drawlog import schema as S
 from drawlog.functions.geometry import arc_lead, command_text
 from drawlog.operators.ingest import with_defaults
+from drawlog.functions.text import fmt4
 from drawlog.operators.running import Run, running, seq_block
+from drawlog.operators.segments import explode_path_segments, flatten_arcs
+from drawlog.sources.staging import stage
 
 PATH_EVENTS = ("path_created", "path_command", "path_append")
 _KEYED = [*S.FRAME, "sequence"]
@@ -148,7 +151,7 @@ def epoch_texts(log: DataFrame, resolved: DataFrame | None = None, block_rows: i
     )
 
 
-def snapshot(asks: DataFrame, texts: DataFrame) -> DataFrame:
+def snapshot(asks: DataFrame, texts: DataFrame, keep_current: bool = False) -> DataFrame:
     """Add ``d``: text of the asked path epoch up to the asking row.
 
     The epoch's pieces are aggregated once; each paint takes those with a
@@ -159,11 +162,10 @@ def snapshot(asks: DataFrame, texts: DataFrame) -> DataFrame:
              p -> CASE WHEN p.lead IS NULL OR p.sequence > _current_from THEN p.text
                        ELSE concat(p.lead, ' ', p.text) END), ' ')"""
     )
-    return (
-        asks.join(texts, [*S.PATH, "p_epoch"], "left")
-        .withColumn("d", F.coalesce(text, F.lit("")))
-        .drop("_pieces", "_current_from")
-    )
+    out = asks.join(texts, [*S.PATH, "p_epoch"], "left").withColumn("d", F.coalesce(text, F.lit("")))
+    if keep_current:
+        out = out.withColumn("has_current", F.coalesce(F.col("_current_from") < F.col("sequence"), F.lit(False)))
+    return out.drop("_pieces", "_current_from")
 
 
 def path_asof_snapshot(
@@ -178,3 +180,117 @@ def path_asof_snapshot(
     return out.select(
         *S.SURFACE, "sequence", "type", "path_id", F.when(F.col("p_known"), F.col("d")).alias("d")
     )
+
+
+def path_refs(log: DataFrame, block_rows: int | None = None) -> DataFrame:
+    """Copies and appends with the epoch of their source and of their own path.
+
+    Columns: session_id, frame_id, sequence, type, path_id, p_epoch,
+    source_path_id, src_epoch, transform.
+    """
+    rows = with_defaults(log).where(F.col("path_id").isNotNull() & F.col("type").isin(*PATH_EVENTS))
+    source = F.when(is_object(F.col("value")), F.get_json_object("value", "$.source_path_id"))
+    rows = rows.select(
+        *S.PATH, "sequence", "type", "command", "transform",
+        F.when(F.col("type") != "path_command", source).alias("source_path_id"),
+    )
+    epoch = {"p_epoch": Run("sum", F.expr(f"CAST({_BEGINS} AS BIGINT)"))}
+    block = seq_block("sequence", block_rows)
+    own = running(rows, S.PATH, ["sequence"], block, epoch).where("source_path_id IS NOT NULL").drop("command")
+    own = stage(own, "refs")
+    asks = own.select(
+        *S.FRAME, F.col("source_path_id").alias("path_id"), "sequence", F.lit("ask").alias("type"),
+        F.lit(None).cast(rows.schema["command"].dataType).alias("command"),
+    )
+    line = rows.select(*S.PATH, "sequence", "type", "command").unionByName(asks)
+    asked = (
+        running(line, S.PATH, ["sequence", "type"], block, epoch)
+        .where("type = 'ask'")
+        .select(*_KEYED, F.col("p_epoch").alias("src_epoch"))
+    )
+    return own.join(asked, _KEYED)
+
+
+def _moved_text(rows: DataFrame) -> DataFrame:
+    """Text ``d`` of rows (session, frame, sequence, transform) moved by their matrix.
+
+    Written as absolute commands with up to four decimals; arcs become cubics.
+    Text that cannot be read gives null.
+    """
+    seg = explode_path_segments(rows.select(*_KEYED, "d", "transform"))
+    base = ["letter", "px", "py", "c1x", "c1y", "c2x", "c2y", "x", "y"]
+    keep = [*_KEYED, "transform", "seg_no"]
+    arcs = flatten_arcs(seg.where("letter = 'A'")).select(*keep, "piece_no", *base)
+    others = seg.where("letter <> 'A'").select(*keep, F.lit(1).cast("bigint").alias("piece_no"), *base)
+    both = arcs.unionByName(others)
+
+    def at(p: str) -> list[Column]:
+        return [
+            fmt4(F.expr(f"transform[0] * {p}x + transform[2] * {p}y + transform[4]")),
+            fmt4(F.expr(f"transform[1] * {p}x + transform[3] * {p}y + transform[5]")),
+        ]
+
+    line = (
+        F.when(F.col("letter") == "Z", "Z")
+        .when(F.col("letter") == "M", F.concat_ws(" ", F.lit("M"), *at("")))
+        .when(F.col("letter").isin("C", "S"), F.concat_ws(" ", F.lit("C"), *at("c1"), *at("c2"), *at("")))
+        .when(F.col("letter").isin("Q", "T"), F.concat_ws(" ", F.lit("Q"), *at("c1"), *at("")))
+        .otherwise(F.concat_ws(" ", F.lit("L"), *at("")))
+    )
+    text = F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.struct("seg_no", "piece_no", line.alias("t")))), lambda r: r["t"]), " "
+    )
+    return both.groupBy(*_KEYED).agg(text.alias("d"))
+
+
+def path_lineage(log: DataFrame, block_rows: int | None = None, max_depth: int = 1000) -> DataFrame:
+    """Text of every copy and append: its source's text at that moment.
+
+    References are resolved from the bottom up.  A round takes those whose
+    source holds no open reference before them, so each text is built once;
+    the number of rounds is the longest chain of references.  Result:
+    session_id, frame_id, sequence, type, path_id, source_path_id, d,
+    has_current.
+    """
+    refs = stage(path_refs(log, block_rows), "lineage-refs")
+    sources = refs.select(*S.FRAME, F.col("source_path_id").alias("path_id")).distinct()
+    used = with_defaults(log).where(F.col("type").isin(*PATH_EVENTS)).join(sources, S.PATH, "left_semi")
+    used = stage(used.select(*S.PATH, "sequence", "type", "command", "value"), "lineage-sources")
+    open_refs, resolved = refs, None
+    for _ in range(max_depth):
+        waiting = (
+            open_refs.groupBy(*S.FRAME, F.col("path_id").alias("source_path_id"), F.col("p_epoch").alias("src_epoch"))
+            .agg(F.min("sequence").alias("_open"))
+        )
+        marked = stage(
+            open_refs.join(waiting, [*S.FRAME, "source_path_id", "src_epoch"], "left").withColumn(
+                "_ready", F.col("_open").isNull() | (F.col("_open") >= F.col("sequence"))
+            ).drop("_open"),
+            "lineage-round",
+        )
+        ready = marked.where("_ready")
+        asks = ready.select(
+            *S.FRAME, F.col("source_path_id").alias("path_id"), F.col("src_epoch").alias("p_epoch"), "sequence",
+            F.col("path_id").alias("_target"), "type", "transform",
+        )
+        texts = epoch_texts(used, resolved, block_rows)
+        copied = snapshot(asks, texts, keep_current=True)
+        copied = stage(copied, "lineage-texts")
+        ident = F.expr("array(1D, 0D, 0D, 1D, 0D, 0D)")
+        bends = (F.col("type") == "path_append") & F.col("transform").isNotNull() & (F.col("transform") != ident)
+        moved = _moved_text(copied.where(bends & (F.col("d") != "")))
+        done = (
+            copied.where(~F.coalesce(bends, F.lit(False)))
+            .select(*_KEYED, "type", F.col("_target").alias("path_id"), F.col("path_id").alias("source_path_id"), "d", "has_current")
+            .unionByName(
+                copied.where(bends)
+                .select(*_KEYED, "type", F.col("_target").alias("path_id"), F.col("path_id").alias("source_path_id"), "has_current")
+                .join(moved, _KEYED, "left")
+            )
+        )
+        done = stage(done, "lineage-done")
+        resolved = done if resolved is None else resolved.unionByName(done)
+        open_refs = marked.where("NOT _ready").drop("_ready")
+        if open_refs.isEmpty():
+            return resolved
+    raise RuntimeError(f"references are nested deeper than {max_depth}")

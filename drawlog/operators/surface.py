@@ -250,24 +250,27 @@ def paint_order(surface: DataFrame, cap: int = S.MAX_PAINTS, block_rows: int | N
     return ordered.withColumn("kind", kind).withColumn("kind_index", index)
 
 
-def paints(
+def current_paints(surface: DataFrame, cap: int = S.MAX_PAINTS, block_rows: int | None = None) -> DataFrame:
+    """The paint table of the epoch after the last reset."""
+    table = paint_order(surface, cap, block_rows)
+    return table.join(last_epochs(surface), [*S.SURFACE, "epoch"], "left_semi")
+
+
+_MATRIX = "coalesce(transform, array(1D, 0D, 0D, 1D, 0D, 0D))"
+
+
+def paint_texts(
     log: DataFrame,
     surface: DataFrame,
-    cap: int = S.MAX_PAINTS,
+    table: DataFrame,
     resolved: DataFrame | None = None,
-    current_only: bool = True,
     block_rows: int | None = None,
 ) -> DataFrame:
-    """Paint rows with path text, paint, matrix and clip.
+    """Paint rows of ``table`` with path text, paint, matrix and clip.
 
     Columns: SURFACE, epoch, sequence, order_no, kind, kind_index, d, paint,
     fill_rule, line_width, transform, clip_d, clip_transform, width, height.
-    ``current_only`` keeps the epoch after the last reset.
     """
-    table = paint_order(surface, cap, block_rows)
-    if current_only:
-        table = table.join(last_epochs(surface), [*S.SURFACE, "epoch"], "left_semi")
-    ident = F.array(*[F.lit(v) for v in (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)])
     kind = F.col("kind")
     base = table.select(
         *S.SURFACE,
@@ -280,25 +283,26 @@ def paints(
         "path_id",
         "p_epoch",
         rect_path_text(F.col("args")).alias("_rect"),
-        F.when(kind == "shape", F.coalesce("fill_style", F.lit("#000")))
-        .when(kind == "stroke", F.coalesce("stroke_style", F.lit("#000")))
-        .alias("paint"),
-        F.when(
-            kind == "shape",
-            F.when(F.col("type") == "fill", F.coalesce("fill_rule", F.lit("nonzero"))).otherwise("nonzero"),
+        F.expr(
+            "CASE kind WHEN 'shape' THEN coalesce(fill_style, '#000') WHEN 'stroke' THEN coalesce(stroke_style, '#000') END"
+        ).alias("paint"),
+        F.expr(
+            "CASE WHEN kind = 'shape' THEN CASE WHEN type = 'fill' THEN coalesce(fill_rule, 'nonzero') ELSE 'nonzero' END END"
         ).alias("fill_rule"),
-        F.when(kind == "stroke", F.coalesce("line_width", F.lit(1.0))).alias("line_width"),
-        F.coalesce("transform", ident).alias("transform"),
+        F.expr("CASE WHEN kind = 'stroke' THEN coalesce(line_width, 1D) END").alias("line_width"),
+        F.expr(_MATRIX).alias("transform"),
         "clip_seq",
         F.col("now_width").alias("width"),
         F.col("now_height").alias("height"),
     )
-    texts = epoch_texts(log, resolved, block_rows)
+    texts = stage(epoch_texts(log, resolved, block_rows), "texts")
     clip_rows = surface.where((F.col("type") == "clip") & F.col("p_known"))
     clips = snapshot(
-        clip_rows.select(*S.SURFACE, "sequence", "path_id", "p_epoch", F.coalesce("transform", ident).alias("clip_transform")),
+        clip_rows.select(*S.SURFACE, "sequence", "path_id", "p_epoch", F.expr(_MATRIX).alias("clip_transform")),
         texts,
-    ).select(*S.SURFACE, F.col("sequence").alias("clip_seq"), close_for_fill(F.col("d")).alias("clip_d"), "clip_transform")
+    ).select(
+        *S.SURFACE, F.col("sequence").alias("clip_seq"), close_for_fill(F.col("d")).alias("clip_d"), "clip_transform"
+    )
     by_path = F.col("type").isin("fill", "stroke")
     from_path = snapshot(base.where(by_path), texts).withColumn(
         "d", F.when(kind == "shape", close_for_fill(F.col("d"))).otherwise(F.col("d"))
@@ -308,6 +312,18 @@ def paints(
     return both.join(clips, [*S.SURFACE, "clip_seq"], "left").drop("clip_seq")
 
 
+def paints(
+    log: DataFrame,
+    surface: DataFrame,
+    cap: int = S.MAX_PAINTS,
+    resolved: DataFrame | None = None,
+    block_rows: int | None = None,
+) -> DataFrame:
+    """Current paints of every canvas with their texts, as a written table."""
+    table = stage(current_paints(surface, cap, block_rows), "order")
+    return stage(paint_texts(log, surface, table, resolved, block_rows), "paints")
+
+
 def surface_box(width: Column, height: Column) -> Column:
     """Path text of the whole surface, the first clip of every clear."""
     return rect_text(F.lit(0.0), F.lit(0.0), width, height)

@@ -90,7 +90,7 @@ FROM f JOIN (VALUES (0,1,'M'),(0,2,'H'),(0,3,'V'),(0,4,'Z'),(1,1,'M'),(1,2,'L'),
         [
             (
                 "f",
-                "SELECT *, CAST(asset_id % 4 AS INT) AS form, CAST(z AS DOUBLE) AS n, CAST(CASE asset_id % 4 WHEN 0 THEN regexp_extract(d, 'h ([0-9]+)', 1) WHEN 1 THEN regexp_extract(d, 'L([0-9]+),', 1) WHEN 2 THEN regexp_extract(d, '([0-9]+) 30', 1) ELSE '0' END AS DOUBLE) AS q FROM path_text",
+                "SELECT *, CAST(asset_id % 4 AS INT) AS form, CAST(z AS DOUBLE) AS n, CAST(CASE asset_id % 4 WHEN 0 THEN regexp_extract(d, 'h ([0-9]+)', 1) WHEN 1 THEN regexp_extract(d, 'L([0-9]+),', 1) WHEN 2 THEN regexp_extract(d, '([0-9]+) 30 Q', 1) ELSE '0' END AS DOUBLE) AS q FROM path_text",
             )
         ],
     ),
@@ -103,7 +103,7 @@ FROM (SELECT *, CASE WHEN z % 2 = 0 THEN 2.0::DOUBLE ELSE 1.0 END AS a, CASE WHE
         [
             (
                 "f",
-                "SELECT *, CAST(asset_id % 4 AS INT) AS form, CAST(z AS DOUBLE) AS n, CAST(CASE asset_id % 4 WHEN 0 THEN regexp_extract(d, 'h ([0-9]+)', 1) WHEN 1 THEN regexp_extract(d, 'L([0-9]+),', 1) WHEN 2 THEN regexp_extract(d, '([0-9]+) 30', 1) ELSE '0' END AS DOUBLE) AS q FROM path_text",
+                "SELECT *, CAST(asset_id % 4 AS INT) AS form, CAST(z AS DOUBLE) AS n, CAST(CASE asset_id % 4 WHEN 0 THEN regexp_extract(d, 'h ([0-9]+)', 1) WHEN 1 THEN regexp_extract(d, 'L([0-9]+),', 1) WHEN 2 THEN regexp_extract(d, '([0-9]+) 30 Q', 1) ELSE '0' END AS DOUBLE) AS q FROM path_text",
             )
         ],
     ),
