@@ -164,12 +164,14 @@ def batch_gate(
     max_bytes: int = S.MAX_BATCH_BYTES,
     event_limit: int = S.MAX_SESSION_EVENTS,
     span: int = BLOCK_ROWS,
+    state: DataFrame | None = None,
 ) -> DataFrame:
     """Accept or refuse every batch as a whole, with the reason of the refusal.
 
     ``log`` has the event columns plus ``batch_id``, ``arrival`` (number of the
     batch in its session, rising) and optionally ``position``.  ``sessions``
-    lists the active sessions; without it every session is active.
+    lists the active sessions; without it every session is active.  ``state``
+    (session_id, frame_id, last) gives the sequences accepted before this log.
     Result: batch_id, session_id, arrival, events, new_events, reason (null =
     accepted).
     """
@@ -206,8 +208,19 @@ def batch_gate(
     )
     judged = sizes.where("_early IS NULL").select("batch_id", "_never")
     inside = ev.select("batch_id", "arrival", *S.FRAME, "sequence", "_pos", "_cmd_ok").join(judged, "batch_id")
-    frames = stage(_batch_frames(inside.where("NOT _never")), "frames")
-    kept = _settle(frames, span)
+    frames = _batch_frames(inside.where("NOT _never"))
+    if state is not None:
+        # What was accepted before acts as a first batch that needs nothing.
+        frames = frames.unionByName(
+            state.select(
+                F.concat(F.lit("\x01"), "session_id", F.lit("\x01"), "frame_id").alias("batch_id"),
+                *S.FRAME,
+                F.lit(-1).cast("bigint").alias("arrival"),
+                F.lit(0).cast("bigint").alias("need"),
+                F.col("last").alias("hi"),
+            )
+        )
+    kept = _settle(stage(frames, "frames"), span)
     accepted = kept.groupBy("batch_id").agg(
         F.sum(F.greatest(F.col("hi") - F.col("reached"), F.lit(0))).cast("bigint").alias("new_events")
     )

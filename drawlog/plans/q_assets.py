@@ -85,7 +85,7 @@ def _feed(spark, sf_dir):
 
 
 def _seen(spark, sf_dir):
-    return _feed(spark, sf_dir).where("position % 3 = 0").select("id")
+    return _feed(spark, sf_dir).where("position % 8 = 0").select("id")
 
 
 def load_feed(spark, sf_dir):
@@ -114,7 +114,7 @@ def feed_order(spark, sf_dir):
 
 
 def unseen_items(spark, sf_dir):
-    announced = _feed(spark, sf_dir).where("position % 7 = 0").select("id")
+    announced = _feed(spark, sf_dir).where("position % 10 = 1").select("id")
     feed = fd.feed_dedup(_feed(spark, sf_dir))
     return fd.unseen_items(feed, _seen(spark, sf_dir), announced).select("id", "position")
 
@@ -150,7 +150,7 @@ _ELS = [("el", ELEMENTS)]
 _FEED = [
     ("fv", "SELECT *, row_number() OVER (PARTITION BY id ORDER BY position) AS rn FROM feed_items WHERE title IS NOT NULL"),
     ("fdd", "SELECT * FROM fv WHERE rn = 1"),
-    ("seen", "SELECT id FROM feed_items WHERE position % 3 = 0"),
+    ("seen", "SELECT id FROM feed_items WHERE position % 8 = 0"),
 ]
 
 ORACLE = {
@@ -182,7 +182,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FR
     "feed_dedup": check_sql("SELECT id, title, position, sort_order, created_at FROM fdd", ["feed_items"], _FEED),
     "feed_order": check_sql("SELECT id, sort_order, created_at, position FROM fdd", ["feed_items"], _FEED),
     "unseen_items": check_sql(
-        "SELECT id, position FROM fdd WHERE id NOT IN (SELECT id FROM seen) AND id NOT IN (SELECT id FROM feed_items WHERE position % 7 = 0)", ["feed_items"], _FEED
+        "SELECT id, position FROM fdd WHERE id NOT IN (SELECT id FROM seen) AND id NOT IN (SELECT id FROM feed_items WHERE position % 10 = 1)", ["feed_items"], _FEED
     ),
     "unread_badge": check_sql(
         "SELECT n AS unread, CASE WHEN n > 9 THEN '9+' ELSE CAST(n AS VARCHAR) END AS badge, n = 0 AS hidden FROM (SELECT count(*) AS n FROM fdd WHERE id NOT IN (SELECT id FROM seen)) t", ["feed_items"], _FEED
