@@ -23,7 +23,8 @@ def canvas_table(
     block_rows: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """One row per canvas with its state, counts and first shape; and the current paint table."""
-    order = stage(sf.current_paints(surface, cap, block_rows), "order")
+    numbered = sf.numbered_log(surface, block_rows)
+    order = stage(sf.current_paints(numbered, cap), "order")
     first = sf.paint_texts(
         log, surface, order.where("kind = 'shape' AND kind_index = 1"), resolved, block_rows
     ).select(
@@ -35,11 +36,11 @@ def canvas_table(
     )
     counts = order.groupBy(*S.SURFACE).agg(*_counts())
     ended = log.where("type = 'session_end'").select("session_id").distinct().withColumn("ended", F.lit(True))
-    state = sf.surface_state(log).drop("ended")
     table = (
-        state.join(counts, S.SURFACE, "left")
+        sf.state_of(surface)
+        .join(counts, S.SURFACE, "left")
         .join(first, S.SURFACE, "left")
-        .join(sf.error_count(surface, cap, block_rows), S.SURFACE, "left")
+        .join(sf.error_count(numbered, cap), S.SURFACE, "left")
         .join(ended, "session_id", "left")
     )
     filled = {c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("shapes", "strokes", "errors")}

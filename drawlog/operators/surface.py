@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drawlog import schema as S
-from drawlog.functions.geometry import determinant, rect_covers_surface, rect_path_text, rect_text
+from drawlog.functions.geometry import determinant, rect_covers_surface, rect_path_text
 from drawlog.functions.text import close_for_fill
 from drawlog.operators.ingest import with_defaults
 from drawlog.operators.paths import epoch_texts, path_state, snapshot
@@ -219,11 +219,11 @@ def last_epochs(surface: DataFrame) -> DataFrame:
     return surface.groupBy(*S.SURFACE).agg(F.max("epoch").alias("epoch"))
 
 
-def error_count(surface: DataFrame, cap: int = S.MAX_PAINTS, block_rows: int | None = None) -> DataFrame:
-    """Errors of every canvas since its last reset."""
-    bad = error_rows(counted(surface, block_rows), cap).groupBy(*S.SURFACE, "epoch").agg(F.count(F.lit(1)).alias("errors"))
+def error_count(numbered: DataFrame, cap: int = S.MAX_PAINTS) -> DataFrame:
+    """Errors of every canvas since its last reset, from the :func:`counted` table."""
+    bad = error_rows(numbered, cap).groupBy(*S.SURFACE, "epoch").agg(F.count(F.lit(1)).alias("errors"))
     return (
-        last_epochs(surface)
+        last_epochs(numbered)
         .join(bad, [*S.SURFACE, "epoch"], "left")
         .select(*S.SURFACE, F.coalesce("errors", F.lit(0)).cast("bigint").alias("errors"))
     )
@@ -239,21 +239,27 @@ def shape_cap(numbered: DataFrame, n: int = S.MAX_PAINTS) -> DataFrame:
     return numbered.where(keep)
 
 
+def _kinds(rows: DataFrame) -> DataFrame:
+    kind = F.expr("CASE WHEN is_shape THEN 'shape' WHEN is_stroke THEN 'stroke' ELSE 'clear' END")
+    index = F.expr("CASE WHEN is_shape THEN shape_no WHEN is_stroke THEN stroke_no END")
+    return rows.withColumns({"kind": kind, "kind_index": index})
+
+
 def paint_order(surface: DataFrame, cap: int = S.MAX_PAINTS, block_rows: int | None = None) -> DataFrame:
     """The paint table: kind, index within its kind, order number within the epoch."""
     kept = shape_cap(counted(surface, block_rows), cap)
-    ordered = row_numbers(
-        kept, [*S.SURFACE, "epoch"], ["sequence"], seq_block("sequence", block_rows), "order_no"
+    return _kinds(
+        row_numbers(kept, [*S.SURFACE, "epoch"], ["sequence"], seq_block("sequence", block_rows), "order_no")
     )
-    kind = F.when(F.col("is_shape"), "shape").when(F.col("is_stroke"), "stroke").otherwise("clear")
-    index = F.when(F.col("is_shape"), F.col("shape_no")).when(F.col("is_stroke"), F.col("stroke_no"))
-    return ordered.withColumn("kind", kind).withColumn("kind_index", index)
 
 
-def current_paints(surface: DataFrame, cap: int = S.MAX_PAINTS, block_rows: int | None = None) -> DataFrame:
-    """The paint table of the epoch after the last reset."""
-    table = paint_order(surface, cap, block_rows)
-    return table.join(last_epochs(surface), [*S.SURFACE, "epoch"], "left_semi")
+def current_paints(numbered: DataFrame, cap: int = S.MAX_PAINTS) -> DataFrame:
+    """Paints of the epoch after the last reset, from the :func:`counted` table.
+
+    order_no is the sequence here: it orders the paints without another pass.
+    """
+    table = shape_cap(numbered, cap).join(last_epochs(numbered), [*S.SURFACE, "epoch"], "left_semi")
+    return _kinds(table).withColumn("order_no", F.col("sequence"))
 
 
 _MATRIX = "coalesce(transform, array(1D, 0D, 0D, 1D, 0D, 0D))"
@@ -312,21 +318,31 @@ def paint_texts(
     return both.join(clips, [*S.SURFACE, "clip_seq"], "left").drop("clip_seq")
 
 
+def numbered_log(surface: DataFrame, block_rows: int | None = None) -> DataFrame:
+    """The :func:`counted` table, written once for paints, errors and state."""
+    return stage(counted(surface, block_rows), "numbered")
+
+
 def paints(
     log: DataFrame,
-    surface: DataFrame,
+    numbered: DataFrame,
     cap: int = S.MAX_PAINTS,
     resolved: DataFrame | None = None,
     block_rows: int | None = None,
 ) -> DataFrame:
     """Current paints of every canvas with their texts, as a written table."""
-    table = stage(current_paints(surface, cap, block_rows), "order")
-    return stage(paint_texts(log, surface, table, resolved, block_rows), "paints")
+    return stage(paint_texts(log, numbered, current_paints(numbered, cap), resolved, block_rows), "paints")
 
 
-def surface_box(width: Column, height: Column) -> Column:
-    """Path text of the whole surface, the first clip of every clear."""
-    return rect_text(F.lit(0.0), F.lit(0.0), width, height)
+def state_of(surface: DataFrame) -> DataFrame:
+    """Size, visibility and revision per canvas from the surface table."""
+    flag = F.expr("CASE WHEN type = 'canvas_visibility' AND value IN ('true', 'false') THEN sequence END")
+    return surface.groupBy(*S.SURFACE).agg(
+        F.max_by("now_width", "sequence").alias("width"),
+        F.max_by("now_height", "sequence").alias("height"),
+        F.coalesce(F.max_by(F.col("value") == "true", flag), F.lit(True)).alias("visible"),
+        F.count(F.lit(1)).alias("revision"),
+    )
 
 
 def surface_state(log: DataFrame) -> DataFrame:

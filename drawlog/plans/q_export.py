@@ -21,11 +21,9 @@ from drawlog.sources.staging import stage, stage_path
 def _drawings(spark, sf_dir):
     """Paints of all canvases and their documents with settings."""
     log = stage(fx.draw_log(spark, sf_dir), "log")
-    s = sf.surface_log(log)
-    table = sf.paints(log, s)
-    docs = s.groupBy(*SURFACE).agg(
-        F.max_by("now_width", "sequence").alias("width"), F.max_by("now_height", "sequence").alias("height")
-    ).join(sf.error_count(s), SURFACE)
+    numbered = sf.numbered_log(sf.surface_log(log))
+    table = sf.paints(log, numbered)
+    docs = sf.state_of(numbered).select(*SURFACE, "width", "height").join(sf.error_count(numbered), SURFACE)
     settings = readers.load_export_settings(
         docs.withColumns(
             {

@@ -9,6 +9,7 @@ from drawlog.operators import surface
 from drawlog.plans import fixtures as fx
 from drawlog.plans.compose import check_sql
 from drawlog.plans.q_surface import PAINT_STEPS
+from drawlog.sources.staging import stage
 
 _ROW = ["shape_id", "z", "d"]
 
@@ -42,9 +43,9 @@ def flatten_arcs(spark, sf_dir):
 
 def _rect_paints(spark, sf_dir):
     """Current rectangle paints with their path text and size."""
-    log = fx.draw_log(spark, sf_dir)
-    s = surface.surface_log(log)
-    return s, surface.paints(log, s)
+    log = stage(fx.draw_log(spark, sf_dir), "log")
+    numbered = surface.numbered_log(surface.surface_log(log))
+    return numbered, surface.paints(log, numbered)
 
 
 def artwork_bounds(spark, sf_dir):
@@ -59,9 +60,7 @@ def document_size(spark, sf_dir):
 
 def clear_mask_bounds(spark, sf_dir):
     s, p = _rect_paints(spark, sf_dir)
-    sizes = s.groupBy("canvas_id").agg(
-        F.max_by("now_width", "sequence").alias("width"), F.max_by("now_height", "sequence").alias("height")
-    )
+    sizes = surface.state_of(s).select("canvas_id", "width", "height")
     return sg.clear_mask_bounds(p.where("d LIKE 'M % h %'"), sizes, ["canvas_id"])
 
 

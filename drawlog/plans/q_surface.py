@@ -17,9 +17,9 @@ def _surface(spark, sf_dir):
 
 
 def _paint_table(spark, sf_dir, cap=5000):
-    """Paint rows without path text, current epoch."""
-    s = _surface(spark, sf_dir)
-    return s, surface.paint_order(s, cap).join(surface.last_epochs(s), [*surface.S.SURFACE, "epoch"], "left_semi")
+    """The numbered canvas events, and the current paint rows without path text."""
+    numbered = surface.numbered_log(_surface(spark, sf_dir))
+    return numbered, surface.current_paints(numbered, cap)
 
 
 def _styled(table):
@@ -68,7 +68,7 @@ def shape_cap(spark, sf_dir):
 
 
 def error_count(spark, sf_dir):
-    return surface.error_count(_surface(spark, sf_dir), CAP).drop("frame_id")
+    return surface.error_count(surface.numbered_log(_surface(spark, sf_dir)), CAP).drop("frame_id")
 
 
 def clear_over_paint(spark, sf_dir):
