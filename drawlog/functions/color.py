@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from drawlog.functions.text import strip
+from drawlog.functions.text import let, strip
 
 # Color names known to the exporter, as red, green, blue in 0..1.
 EXPORT_NAMES = {
@@ -86,22 +86,25 @@ def _pairs(hex_text: Column) -> list[Column]:
 
 def parse_paint_rgb(paint: Column) -> Column:
     """Struct of r, g, b in 0..1.  Null for no paint; unknown words are black."""
-    s = F.lower(strip(paint))
-    digits = F.substring(s, 2, 1 << 30)
-    right_length = F.length(digits).isin(3, 4, 6, 8)
-    channel = lambda h: F.when(h.rlike("^[0-9a-f]{2}$"), F.conv(h, 16, 10).cast("double") / 255.0)
-    from_hex = F.when(right_length, _rgb(*[channel(h) for h in _pairs(digits)]))
+    return let(F.lower(strip(paint)), _rgb_of)
+
 
+def _rgb_of(s: Column) -> Column:
+    channel = lambda h: F.when(h.rlike("^[0-9a-f]{2}$"), F.conv(h, 16, 10).cast("double") / 255.0)
+    from_hex = let(
+        F.substring(s, 2, 1 << 30),
+        lambda d: F.when(F.length(d).isin(3, 4, 6, 8), _rgb(*[channel(h) for h in _pairs(d)])),
+    )
     inside = F.regexp_replace(F.regexp_replace(s, r"^(rgba)*(rgb)*\(*", ""), r"\)+$", "")
-    parts = F.transform(F.split(inside, ","), strip)
 
-    def component(i: int) -> Column:
-        text = F.get(parts, F.lit(i))
+    def component(text: Column) -> Column:
         bare = F.regexp_replace(text, "%+$", "")
         value = F.when(bare.rlike(f"^{_NUMBER}$"), bare.try_cast("double"))
         scaled = value / F.when(text.endswith("%"), 100.0).otherwise(255.0)
         return F.when(scaled.isNotNull(), F.greatest(F.least(scaled, F.lit(1.0)), F.lit(0.0)))
 
+    # The components of rgb(...) as numbers; fewer than three make it an unknown word.
+    numbers = F.transform(F.transform(F.split(inside, ","), strip), component)
     names = F.create_map(
         *[
             x
@@ -110,10 +113,13 @@ def parse_paint_rgb(paint: Column) -> Column:
         ]
     )
     black = F.struct(*[F.lit(0.0).alias(c) for c in "rgb"])
+    from_rgb = let(
+        numbers, lambda v: F.when(F.size(v) >= 3, _rgb(*[F.get(v, F.lit(i)) for i in range(3)])).otherwise(black)
+    )
     return (
         F.when(s.isNull() | s.isin("", "none", "transparent"), None)
         .when(s.startswith("#"), from_hex)
-        .when(s.startswith("rgb") & (F.size(parts) >= 3), _rgb(*[component(i) for i in range(3)]))
+        .when(s.startswith("rgb"), from_rgb)
         .otherwise(F.coalesce(F.element_at(names, s), black))
     )
 
@@ -125,42 +131,49 @@ def _hex2(v: Column) -> Column:
 
 def normalize_paint_hex(paint: Column) -> Column:
     """Uppercase ``#RRGGBB`` of a CSS color; null for anything that is not one color."""
-    s = F.lower(strip(paint))
-    digits = F.substring(s, 2, 1 << 30)
-    from_hex = F.when(
-        digits.rlike("^([0-9a-f]{3}|[0-9a-f]{4}|[0-9a-f]{6}|[0-9a-f]{8})$"), F.concat(*_pairs(digits))
+    found = let(F.lower(strip(paint)), _css_hex)
+    return F.concat(F.lit("#"), F.upper(found))
+
+
+def _css_hex(s: Column) -> Column:
+    from_hex = let(
+        F.substring(s, 2, 1 << 30),
+        lambda d: F.when(
+            d.rlike("^([0-9a-f]{3}|[0-9a-f]{4}|[0-9a-f]{6}|[0-9a-f]{8})$"), F.concat(*_pairs(d))
+        ),
     )
     parts = F.regexp_extract_all(s, F.lit(rf"({_NUMBER}%?)"), F.lit(1))
+    number = lambda text: F.regexp_replace(text, "%$", "").try_cast("double")
+    item = rf"{_NUMBER}%?"
+    shape = rf"^rgba?\(\s*{item}(\s*,\s*|\s+){item}(\s*,\s*|\s+){item}(\s*[,/]\s*{item})?\s*\)$"
+    channels = F.transform(
+        parts, lambda t: F.when(t.endswith("%"), number(t) * 255.0 / 100.0).otherwise(number(t))
+    )
+    hexes = F.array_join(F.slice(F.transform(channels, _hex2), 1, 3), "")
+    from_rgb = F.when(s.rlike(shape), hexes)
 
-    def channel(i: int) -> Column:
-        text = F.get(parts, F.lit(i))
-        value = F.regexp_replace(text, "%$", "").try_cast("double")
-        return F.when(text.endswith("%"), value * 255.0 / 100.0).otherwise(value)
+    hsl = rf"^hsla?\(\s*{_NUMBER}(deg)?(\s*,\s*|\s+){_NUMBER}%(\s*,\s*|\s+){_NUMBER}%(\s*[,/]\s*{item})?\s*\)$"
 
-    shape = rf"^rgba?\(\s*{_NUMBER}%?(\s*,\s*|\s+){_NUMBER}%?(\s*,\s*|\s+){_NUMBER}%?(\s*[,/]\s*{_NUMBER}%?)?\s*\)$"
-    from_rgb = F.when(s.rlike(shape), F.concat(*[_hex2(channel(i)) for i in range(3)]))
+    def hsl_hex(v: Column) -> Column:
+        hue = F.pmod(F.get(v, F.lit(0)), F.lit(360.0))
+        sat, light = (F.greatest(F.least(F.get(v, F.lit(i)) / 100.0, F.lit(1.0)), F.lit(0.0)) for i in (1, 2))
+        base = F.struct(hue.alias("h"), sat.alias("s"), light.alias("l"))
 
-    hsl = rf"^hsla?\(\s*{_NUMBER}(deg)?(\s*,\s*|\s+){_NUMBER}%(\s*,\s*|\s+){_NUMBER}%(\s*[,/]\s*{_NUMBER}%?)?\s*\)$"
-    number = lambda i: F.regexp_replace(F.get(parts, F.lit(i)), "%$", "").try_cast("double")
-    hue = F.pmod(number(0), F.lit(360.0))
-    sat = F.greatest(F.least(number(1) / 100.0, F.lit(1.0)), F.lit(0.0))
-    light = F.greatest(F.least(number(2) / 100.0, F.lit(1.0)), F.lit(0.0))
+        def channel(p: Column, n: float) -> Column:
+            k = F.pmod(F.lit(n) + p["h"] / 30.0, F.lit(12.0))
+            reach = p["s"] * F.least(p["l"], 1.0 - p["l"])
+            return _hex2((p["l"] - reach * F.greatest(F.least(k - 3.0, 9.0 - k, F.lit(1.0)), F.lit(-1.0))) * 255.0)
 
-    def hsl_channel(n: int) -> Column:
-        k = F.pmod(F.lit(float(n)) + hue / 30.0, F.lit(12.0))
-        reach = sat * F.least(light, 1.0 - light)
-        ramp = F.greatest(F.least(k - 3.0, 9.0 - k, F.lit(1.0)), F.lit(-1.0))
-        return _hex2((light - reach * ramp) * 255.0)
+        return let(base, lambda p: F.concat(channel(p, 0.0), channel(p, 8.0), channel(p, 4.0)))
 
-    from_hsl = F.when(s.rlike(hsl), F.concat(hsl_channel(0), hsl_channel(8), hsl_channel(4)))
+    from_hsl = F.when(s.rlike(hsl), let(F.transform(parts, number), hsl_hex))
     named = F.create_map(*[F.lit(x) for kv in css_names().items() for x in kv])
-    found = (
+    return (
         F.when(s.startswith("#"), from_hex)
         .when(s.startswith("rgb"), from_rgb)
         .when(s.startswith("hsl"), from_hsl)
         .otherwise(F.element_at(named, s))
     )
-    return F.when(found.isNotNull(), F.concat(F.lit("#"), F.upper(found)))
 
 
 def portable_paint(paint: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,12 +98,15 @@ def _segments(d: str | None) -> list[list[float]] | None:
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
-def _read_paths(d: pd.Series) -> pd.Series:
+_NUMBER_LISTS = pa.list_(pa.list_(pa.float64()))
+
+
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+def _read_paths(d: pa.Array) -> pa.Array:
     # One drawing repeats few texts; read each text of the batch once.
-    codes, texts = pd.factorize(d)
-    parsed = [_segments(t) for t in texts]
-    return pd.Series([parsed[c] if c >= 0 else None for c in codes])
+    coded = d.dictionary_encode()
+    parsed = pa.array([_segments(t) for t in coded.dictionary.to_pylist()], _NUMBER_LISTS)
+    return parsed.take(coded.indices)
 
 
 NAMES = ["px", "py", "c1x", "c1y", "c2x", "c2y", "x", "y", "rx", "ry", "rot", "large", "sweep"]

@@ -220,7 +220,13 @@ def as_events(rec: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def rec_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_DELIVERY, rec_log=rec_log(spark, sf_dir))
+    """The same rows as the check view, with the second delivery as an exploded number."""
+    rec = rec_log(spark, sf_dir).where("event_id % 101 <> 0")
+    first = f"CAST(floor(event_id / {BATCH_SPAN}) AS BIGINT)"
+    twice = F.expr(f"explode(CASE WHEN event_id % 7 = 0 THEN array({first}, {first} + 1) ELSE array({first}) END)")
+    return rec.select("*", twice.alias("arrival")).withColumn(
+        "batch_id", F.expr("session_id || '/' || frame_id || '/' || CAST(arrival AS STRING)")
+    )
 
 
 def path_refs(rec: DataFrame) -> DataFrame:
