@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawlog.llm import chat, decontaminate, pack, pii, simhash, urls
+from drawlog.llm import ann, chat, decontaminate, pack, pii, quality, simhash, urls
 from drawlog.llm.scratch import table
 
 
@@ -18,6 +18,13 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", F.when(F.col("stated"), F.col("rule")).alias("rule"), "verdict")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    settings = quality.Settings()
+    found = quality.score(docs, quality.fit(docs, labels, settings), "s")
+    return found.select("doc_id", "s.p_text", "s.p_meta", "s.quality", (F.col("s.quality") >= settings.least).alias("keep"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -33,6 +40,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
@@ -40,5 +51,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows.unionByName(own)))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_url_filters, op4_simhash, op6_decontamination, op7_packing, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_url_filters, op3_quality, op4_simhash, op6_decontamination, op7_packing, op9_neighbours, op10_chat)}
 ORACLE: dict[str, str] = {}
