@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawlog.llm import ann, chat, decontaminate, pack, pii, quality, simhash, urls
+from drawlog.llm import ann, chat, decontaminate, pack, pii, quality, secret_scan, simhash, urls
 from drawlog.llm.scratch import table
 
 
@@ -30,6 +30,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    label = lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))
+    return found.select("doc_id", "n_candidates", "n_secrets", F.array_join(F.transform("secrets", label), ",").alias("secrets"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
@@ -51,5 +57,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows.unionByName(own)))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_url_filters, op3_quality, op4_simhash, op6_decontamination, op7_packing, op9_neighbours, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_url_filters, op3_quality, op4_simhash, op5_secrets, op6_decontamination, op7_packing, op9_neighbours, op10_chat)}
 ORACLE: dict[str, str] = {}
