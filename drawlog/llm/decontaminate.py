@@ -31,7 +31,7 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
-class _Hashes(dict):
+class WordHashes(dict):
     """XXH64 of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
@@ -41,7 +41,7 @@ class _Hashes(dict):
         return h
 
 
-def _grams(hashes: np.ndarray, k: int) -> np.ndarray:
+def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     """Mixed hash of every k neighbouring words."""
     n = len(hashes) - k + 1
     if n <= 0:
@@ -68,19 +68,19 @@ def winnow(grams: np.ndarray, w: int) -> np.ndarray:
     return np.flatnonzero(kept)
 
 
-def _kept(ws: list[bytes], seen: _Hashes, size: int, k: int, flags: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+def _kept(ws: list[bytes], seen: WordHashes, size: int, k: int, flags: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
     """(position, hash) of the kept grams for windows of ``size`` words, block by block; ``flags`` filters by hash."""
     reach = size - k
     for at in range(0, len(ws) - size + 1, _STEP):
         last = at + _STEP >= len(ws) - size + 1
         lo, hi = max(at - 2 * size, 0), len(ws) if last else at + _STEP + 2 * size
-        grams = _grams(np.array([seen[x] for x in ws[lo:hi]], dtype=np.uint64), k)
-        kept = winnow(grams, reach + 1)
+        own = grams(np.array([seen[x] for x in ws[lo:hi]], dtype=np.uint64), k)
+        kept = winnow(own, reach + 1)
         if flags is not None:
-            kept = kept[flags[(grams[kept] & np.uint64(_FILTER_BITS - 1)).astype(np.int64)]]
+            kept = kept[flags[(own[kept] & np.uint64(_FILTER_BITS - 1)).astype(np.int64)]]
         for p in kept.tolist():
             if lo + p >= at and (last or lo + p < at + _STEP):
-                yield lo + p, int(grams[p : p + 1].view(np.int64)[0])
+                yield lo + p, int(own[p : p + 1].view(np.int64)[0])
 
 
 def benchmark_grams(benchmark: DataFrame, window: int, k: int) -> DataFrame:
@@ -91,7 +91,7 @@ def benchmark_grams(benchmark: DataFrame, window: int, k: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = _Hashes()
+        seen = WordHashes()
         for b in batches:
             rows = []
             for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -124,7 +124,7 @@ def document_grams(docs: DataFrame, sizes: list[int], bits: bytes, window: int,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = _Hashes()
+        seen = WordHashes()
         uid = TaskContext.get().partitionId() << 40
         flags = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), bitorder="little").view(bool)
         for b in batches:
@@ -155,16 +155,20 @@ def text_key(column: str) -> list:
     return [F.xxhash64(column).alias("k1"), F.hash(column).alias("k2")]
 
 
-def _filter(grams: DataFrame) -> bytes:
-    """Bit filter of the benchmark's hashes: 2 MB at any size of the benchmark."""
-    spot = F.col("hash").bitwiseAND(F.lit(_FILTER_BITS - 1))
-    parts = grams.select(spot.alias("spot")).groupBy(F.expr("spot div 32768").alias("part")).agg(F.expr("bitmap_construct_agg(spot % 32768)").alias("bits"))
+def bit_filter(rows: DataFrame, column: str) -> bytes:
+    """Bit filter of a column of hashes: 2 MB at any number of rows."""
+    spot = F.col(column).bitwiseAND(F.lit(_FILTER_BITS - 1))
+    parts = rows.select(spot.alias("spot")).groupBy(F.expr("spot div 32768").alias("part")).agg(F.expr("bitmap_construct_agg(spot % 32768)").alias("bits"))
     out = bytearray(_FILTER_BITS // 8)
     for r in parts.collect():
         out[r["part"] * 4096 : (r["part"] + 1) * 4096] = r["bits"]
     return bytes(out)
 
 
+def has_bit(flags: np.ndarray, value: int) -> bool:
+    return bool(flags[value & (_FILTER_BITS - 1)])
+
+
 def _agree(a: str, b: str, last: bool):
     """How many neighbours of two lists agree, counted from the gram outwards."""
     x, y = (F.reverse(a), F.reverse(b)) if last else (F.col(a), F.col(b))
@@ -184,12 +188,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
     one; other columns are ignored; an empty table gives no row.
     """
     scratch = scratch or Scratch(docs.sparkSession, "winnow")
-    grams = scratch.put(benchmark_grams(benchmark, window, k))
-    sizes = sorted(r["size"] for r in grams.select("size").distinct().collect())
-    rows = scratch.put(document_grams(docs, sizes, _filter(grams), window, k))
+    of_items = scratch.put(benchmark_grams(benchmark, window, k))
+    sizes = sorted(r["size"] for r in of_items.select("size").distinct().collect())
+    rows = scratch.put(document_grams(docs, sizes, bit_filter(of_items, "hash"), window, k))
     met = rows.where(F.size("met") > 0).select("uid", F.explode("met").alias("m")).select("uid", "m.size", "m.hash", "m.at", F.col("m.left").alias("dl"), F.col("m.gram").alias("dg"), F.col("m.right").alias("dr"))
     # An executor may hold the small side; which side that is, is left to the sizes the optimizer sees.
-    both = met.join(grams, ["size", "hash"]).where("dg = gram")
+    both = met.join(of_items, ["size", "hash"]).where("dg = gram")
     left, right = _agree("dl", "left", True), _agree("dr", "right", False)
     spans = both.select("uid", "item_id", (F.col("at") - left).alias("begin"), (F.col("at") + F.col("k") + right).alias("end"), "size").where(F.col("end") - F.col("begin") >= F.col("size"))
     hit = spans.groupBy("uid").agg(F.collect_set(F.struct("begin", "end")).alias("spans"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawlog.llm import ann, chat, decontaminate, pack, pii, quality, secret_scan, simhash, urls
+from drawlog.llm import ann, chat, decontaminate, pack, pii, quality, repeats, secret_scan, simhash, urls
 from drawlog.llm.scratch import table
 
 
@@ -46,6 +46,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -57,5 +61,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows.unionByName(own)))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_url_filters, op3_quality, op4_simhash, op5_secrets, op6_decontamination, op7_packing, op9_neighbours, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_url_filters, op3_quality, op4_simhash, op5_secrets, op6_decontamination, op7_packing, op8_repeats, op9_neighbours, op10_chat)}
 ORACLE: dict[str, str] = {}

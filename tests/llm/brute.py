@@ -134,3 +134,55 @@ def chat_row(turns):
     """turns: [(role, text)]."""
     said = "".join(t for r, t in turns if r == "assistant")
     return len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(said), sha(said)
+
+
+def repeated_paragraphs(rows, width=5, similar=0.8, passage=50):
+    """Rows (doc_id, start, end, n_words, class_doc_id, class_start, removed) of [(doc_id, text)], by all pairs that share a shingle."""
+    units, of_text = [], {}
+    for uid, (doc_id, text) in enumerate(rows):
+        at = n = 0
+        for line in (text or "").split("\n"):
+            ws = tuple(item_words(line))
+            if len(ws) >= width:
+                node = of_text.setdefault(ws, len(of_text))
+                units.append((uid, doc_id, n, at, at + len(line), len(ws), node))
+                n += 1
+            at += len(line) + 1
+    sets = [{ws[i : i + width] for i in range(len(ws) - width + 1)} for ws in of_text]
+    by_shingle = {}
+    for node, own in enumerate(sets):
+        for x in own:
+            by_shingle.setdefault(x, []).append(node)
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for node, own in enumerate(sets):
+        for other in {o for x in own for o in by_shingle[x] if o > node}:
+            both = len(own & sets[other])
+            if both >= similar * (len(own) + len(sets[other]) - both) - 1e-9:
+                parent[find(node)] = find(other)
+    classes = {}
+    for u in units:
+        classes.setdefault(find(u[6]), []).append(u)
+    first = {c: min(us, key=lambda u: (u[1] is None, u[1] or 0, u[0], u[2])) for c, us in classes.items() if len({u[0] for u in us}) > 1}
+    out, run = [], []
+
+    def close():
+        if sum(u[5] for u in run) >= passage:
+            for u in run:
+                f = first[find(u[6])]
+                out.append((u[1], u[3], u[4], u[5], f[1], f[3], (u[0], u[2]) != (f[0], f[2])))
+        run.clear()
+
+    for u in units:
+        if find(u[6]) not in first or (run and (run[-1][0], run[-1][2] + 1) != (u[0], u[2])):
+            close()
+        if find(u[6]) in first:
+            run.append(u)
+    close()
+    return out
