@@ -179,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     found = rows.mapInArrow(run, "pick long, y double, x array<float>").dropDuplicates(["pick"]).collect()
     found.sort(key=lambda r: (zlib.crc32(str(r["pick"]).encode()), r["pick"]))
     wide = len(text_features(None))
-    x = np.array([r["x"] for r in found], dtype=np.float64).reshape(len(found), -1)
+    x = np.array([r["x"] for r in found], dtype=np.float64).reshape(len(found), wide + len(meta_features(None, None, None)))
     y = np.array([np.nan if r["y"] is None else r["y"] for r in found])
     has = ~np.isnan(y)
     return train(x[has][:, :wide], x[has][:, wide:], y[has], x[~has][:, :wide], x[~has][:, wide:], settings)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawlog.llm import ann, chat, decontaminate, pack, pii, quality, repeats, secret_scan, simhash, urls
+from drawlog.llm import ann, chat, decontaminate, oracle, pack, pii, quality, repeats, secret_scan, simhash, urls
 from drawlog.llm.scratch import table
 
 
@@ -62,4 +62,4 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_url_filters, op3_quality, op4_simhash, op5_secrets, op6_decontamination, op7_packing, op8_repeats, op9_neighbours, op10_chat)}
-ORACLE: dict[str, str] = {}
+ORACLE = oracle.ORACLE
