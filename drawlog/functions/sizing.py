@@ -21,12 +21,12 @@ def _finite(v: Column) -> Column:
 
 
 def gcd(a: Column, b: Column) -> Column:
-    """Euclid in 64 steps, enough for every side length that fits a number exactly."""
+    """Euclid in 92 steps, enough for any two bigints (the worst are neighbouring Fibonacci numbers)."""
     start = F.struct(a.cast("bigint").alias("a"), b.cast("bigint").alias("b"))
     step = lambda acc, _: F.when(acc["b"] == 0, acc).otherwise(
         F.struct(acc["b"].alias("a"), F.try_mod(acc["a"], acc["b"]).alias("b"))
     )
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(64)), start, step, lambda acc: acc["a"])
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step, lambda acc: acc["a"])
     return F.greatest(done, F.lit(1).cast("bigint"))
 
 

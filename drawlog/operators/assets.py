@@ -36,11 +36,11 @@ def asset_revisions(updates: DataFrame, span: int = BLOCK_ROWS) -> DataFrame:
 
 
 def vector_catalog(updates: DataFrame, span: int = BLOCK_ROWS) -> DataFrame:
-    """Latest stored version of every asset, by id."""
+    """Latest stored version of every asset."""
     stored = asset_revisions(updates, span).where("changed").drop("changed")
     rest = [c for c in stored.columns if c not in ASSET]
     latest = stored.groupBy(*ASSET).agg(F.max_by(F.struct(*rest), F.col("arrival")).alias("_r"))
-    return latest.select(*ASSET, "_r.*").orderBy("svg_id", "session_id")
+    return latest.select(*ASSET, "_r.*")
 
 
 # Elements that paint, and containers that only define.
@@ -58,14 +58,21 @@ def _paint_of(node: ET.Element, name: str) -> str | None:
     return (m.group(1).strip() if m else "") or node.get(name) or None
 
 
-def _walk(node: ET.Element, fill: str | None, stroke: str | None, within: tuple):
-    """Paint elements outside defs in document order, with the paint they inherit."""
-    tag = _local(node.tag)
-    fill, stroke = _paint_of(node, "fill") or fill, _paint_of(node, "stroke") or stroke
-    if "defs" not in within and tag != "defs" and tag in PAINT_TAGS:
-        yield node, tag, fill or "#000000", stroke, any(w in DEFINING_TAGS for w in within)
-    for child in node:
-        yield from _walk(child, fill, stroke, (*within, tag))
+def _walk(root: ET.Element):
+    """Paint elements outside defs in document order, with the paint they inherit.
+
+    The open elements are a list, so nesting may be as deep as the markup says.
+    """
+    todo = [(root, None, None, False, False)]
+    while todo:
+        node, fill, stroke, in_defs, hidden = todo.pop()
+        tag = _local(node.tag)
+        fill, stroke = _paint_of(node, "fill") or fill, _paint_of(node, "stroke") or stroke
+        in_defs = in_defs or tag == "defs"
+        if tag in PAINT_TAGS and not in_defs:
+            yield node, tag, fill or "#000000", stroke, hidden
+        inside = hidden or tag in DEFINING_TAGS
+        todo += [(child, fill, stroke, in_defs, inside) for child in reversed(node)]
 
 
 def _parse(markup: str | None) -> ET.Element | None:
@@ -96,7 +103,7 @@ def vector_elements(assets: DataFrame, keys: list[str] | None = None) -> DataFra
                 root = _parse(values[-1])
                 if root is None:
                     continue
-                for no, (node, tag, fill, stroke, hidden) in enumerate(_walk(root, None, None, ()), 1):
+                for no, (node, tag, fill, stroke, hidden) in enumerate(_walk(root), 1):
                     own = [node.get(a) for a in ("d", "fill", "stroke", "fill-rule", "transform", "stroke-width")]
                     rows.append((*values[:-1], no, tag, node.get("id") or None, fill, stroke, hidden, *own))
             yield pd.DataFrame(rows, columns=[*keys, *_ELEMENT_FIELDS])
@@ -158,7 +165,7 @@ def _apply_edits(markup: str | None, edits) -> str | None:
     if root is None:
         return markup
     ET.register_namespace("", "http://www.w3.org/2000/svg")
-    nodes = {no: hit[0] for no, hit in enumerate(_walk(root, None, None, ()), 1)}
+    nodes = {no: hit[0] for no, hit in enumerate(_walk(root), 1)}
     parents = {child: parent for parent in root.iter() for child in parent}
     for edit in edits:
         node = nodes.get(edit["element_no"])

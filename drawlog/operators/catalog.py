@@ -18,7 +18,7 @@ def _counts() -> list[Column]:
 def canvas_table(
     log: DataFrame,
     surface: DataFrame,
-    cap: int = S.MAX_PAINTS,
+    cap: int | None = None,
     resolved: DataFrame | None = None,
     block_rows: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
@@ -52,7 +52,7 @@ def canvas_table(
 def canvas_catalog(
     log: DataFrame,
     surface: DataFrame | None = None,
-    cap: int = S.MAX_PAINTS,
+    cap: int | None = None,
     resolved: DataFrame | None = None,
     block_rows: int | None = None,
 ) -> DataFrame:

@@ -41,27 +41,29 @@ def command_ok(command: Column, path_id: Column) -> Column:
 def accepted_prefix(log: DataFrame, block_rows: int | None = None) -> DataFrame:
     """Drop resent events and keep, per frame, the gap-free run from sequence 1.
 
-    Copies are dropped by a partially aggregated distinct on the sequence, so a
-    much-resent event is reduced before it is shuffled.  The run is then found
+    Copies are dropped by a partial aggregate on the sequence, so a much-resent
+    event is reduced before it is shuffled; with an ``arrival`` column the
+    first copy stays.  The run is then found
     per block of sequence numbers: a block counts only when every block before
     it is complete.
     """
     size = block_rows or BLOCK_ROWS
-    once = (
-        log.withColumn("frame_id", F.coalesce("frame_id", F.lit(S.DEFAULT_FRAME)))
-        .where(F.col("sequence") >= 1)
-        .dropDuplicates([*S.FRAME, "sequence"])
-        .withColumn("_b", seq_block("sequence", size))
-    )
+    named = log.withColumn("frame_id", F.coalesce("frame_id", F.lit(S.DEFAULT_FRAME))).where(F.col("sequence") >= 1)
+    key = [*S.FRAME, "sequence"]
+    if "arrival" in log.columns:
+        # The first delivery of a resent event counts.
+        rest = [c for c in log.columns if c not in key]
+        first = named.groupBy(*key).agg(F.min_by(F.struct(*rest), F.col("arrival")).alias("_r"))
+        once = first.select(*key, "_r.*")
+    else:
+        once = named.dropDuplicates(key)
+    once = stage(once.withColumn("_b", seq_block("sequence", size)), "once")
     local = once.withColumn(
         "_rn", F.row_number().over(Window.partitionBy(*S.FRAME, "_b").orderBy("sequence"))
     ).where(F.col("_rn") == F.col("sequence") - F.col("_b") * size)
     before = Window.partitionBy(*S.FRAME).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    seen = log.select(F.coalesce("frame_id", F.lit(S.DEFAULT_FRAME)).alias("frame_id"), "session_id", "sequence")
     blocks = (
-        seen.where(F.col("sequence") >= 1)
-        .distinct()
-        .groupBy(*S.FRAME, seq_block("sequence", size).alias("_b"))
+        once.groupBy(*S.FRAME, "_b")
         .agg((F.count(F.lit(1)) == size).alias("_full"))
         .withColumn("_n", F.count(F.lit(1)).over(before))
         .withColumn("_all", F.coalesce(F.min("_full").over(before), F.lit(True)))
@@ -165,14 +167,16 @@ def batch_gate(
     event_limit: int = S.MAX_SESSION_EVENTS,
     span: int = BLOCK_ROWS,
     state: DataFrame | None = None,
+    used: DataFrame | None = None,
 ) -> DataFrame:
     """Accept or refuse every batch as a whole, with the reason of the refusal.
 
     ``log`` has the event columns plus ``batch_id``, ``arrival`` (number of the
     batch in its session, rising) and optionally ``position``.  ``sessions``
     lists the active sessions; without it every session is active.  ``state``
-    (session_id, frame_id, last) gives the sequences accepted before this log.
-    Result: batch_id, session_id, arrival, events, new_events, reason (null =
+    (session_id, frame_id, last) gives the sequences and ``used`` (session_id,
+    events) the events accepted before this log.  A refused batch leaves both as
+    they are.  A batch belongs to the session of its first event.  Result: batch_id, session_id, arrival, events, new_events, reason (null =
     accepted).
     """
     cols = set(log.columns)
@@ -189,8 +193,8 @@ def batch_gate(
     sizes = ev.groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("events"),
         F.sum("_bytes").alias("_bytes"),
-        F.min("session_id").alias("session_id"),
-        F.max("session_id").alias("_other_session"),
+        F.min_by("session_id", "_pos").alias("session_id"),
+        (F.min("session_id") != F.max("session_id")).alias("_mixed"),
         F.min("arrival").alias("arrival"),
         F.min(F.coalesce("sequence", F.lit(0))).alias("_low"),
     )
@@ -202,11 +206,11 @@ def batch_gate(
         early = early.when(F.col("_active").isNull(), "session")
     sizes = stage(
         sizes.withColumn("_early", early).withColumn(
-            "_never", (F.col("_low") < 1) | (F.col("session_id") != F.col("_other_session"))
+            "_never", (F.col("_low") < 1) | F.col("_mixed")
         ),
         "sizes",
     )
-    judged = sizes.where("_early IS NULL").select("batch_id", "_never")
+    judged = sizes.where("_early IS NULL").select("batch_id", "_never", F.col("session_id").alias("_own"))
     inside = ev.select("batch_id", "arrival", *S.FRAME, "sequence", "_pos", "_cmd_ok").join(judged, "batch_id")
     frames = _batch_frames(inside.where("NOT _never"))
     if state is not None:
@@ -220,16 +224,10 @@ def batch_gate(
                 F.col("last").alias("hi"),
             )
         )
-    kept = _settle(stage(frames, "frames"), span)
-    accepted = kept.groupBy("batch_id").agg(
-        F.sum(F.greatest(F.col("hi") - F.col("reached"), F.lit(0))).cast("bigint").alias("new_events")
-    )
+    kept, over = _settle_within(stage(frames, "frames"), sizes, used, event_limit, span)
+    accepted = _new_events(kept)
     known = sizes.join(accepted, "batch_id", "left")
-    counted = session_event_cap(
-        known.where("new_events IS NOT NULL").select("batch_id", "session_id", "arrival", "new_events"),
-        event_limit,
-        span,
-    ).select("batch_id", F.lit(True).alias("_fits"))
+    full = over.select("batch_id", F.lit(True).alias("_full"))
 
     # The first bad event of a refused batch needs the state its frame had.
     refused = inside.join(accepted.select("batch_id"), "batch_id", "left_anti")
@@ -246,14 +244,14 @@ def batch_gate(
             {"_x": Run("max", F.col("hi"), inclusive=False)},
         )
         .where("_probe")
-        .select("batch_id", "frame_id", F.coalesce("_x", F.lit(0)).alias("_x"))
+        .select("batch_id", *S.FRAME, F.coalesce("_x", F.lit(0)).alias("_x"))
     )
     w = Window.partitionBy("batch_id", "frame_id").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
-    bad = refused.join(reached, ["batch_id", "frame_id"]).withColumn(
+    bad = refused.join(reached, ["batch_id", *S.FRAME]).withColumn(
         "_cur", F.greatest(F.col("_x"), F.max("sequence").over(w))
     )
     fault = (
-        F.when(F.coalesce("sequence", F.lit(0)) < 1, "sequence")
+        F.when((F.coalesce("sequence", F.lit(0)) < 1) | (F.col("session_id") != F.col("_own")), "sequence")
         .when(F.col("sequence") > F.col("_cur") + 1, "sequence")
         .when((F.col("sequence") > F.col("_cur")) & ~F.col("_cmd_ok"), "invalid")
     )
@@ -264,34 +262,184 @@ def batch_gate(
         .agg(F.min_by("_fault", F.struct("_pos", "frame_id")).alias("_fault"))
     )
     return (
-        known.join(counted, "batch_id", "left")
+        known.join(full, "batch_id", "left")
         .join(first, "batch_id", "left")
         .select(
             "batch_id",
             "session_id",
             "arrival",
             "events",
-            F.when(F.col("_fits"), F.col("new_events")).otherwise(F.lit(0)).cast("bigint").alias("new_events"),
+            F.coalesce("new_events", F.lit(0).cast("bigint")).alias("new_events"),
             F.when(F.col("_early").isNotNull(), F.col("_early"))
+            .when(F.col("_full"), "limit")
             .when(F.col("new_events").isNull(), F.coalesce("_fault", F.lit("sequence")))
-            .when(F.col("_fits").isNull(), "limit")
             .alias("reason"),
         )
     )
 
 
-def session_event_cap(batches: DataFrame, n: int = S.MAX_SESSION_EVENTS, span: int = BLOCK_ROWS) -> DataFrame:
-    """Batches before the one that would take its session past ``n`` events.
+def session_event_cap(
+    batches: DataFrame, n: int = S.MAX_SESSION_EVENTS, span: int = BLOCK_ROWS, used: DataFrame | None = None
+) -> DataFrame:
+    """Batches that fit when a session takes at most ``n`` events, in order of arrival.
+
+    A batch that does not fit leaves the count as it is, so a later, smaller
+    one may fit.  ``batches``: session_id, batch_id, arrival, new_events;
+    ``used`` (session_id, events): what sessions took before.  Adds
+    session_events, the session's count with the batch.
+
+    A round takes everything before the first batch that does not fit and
+    drops all later ones larger than the room that is left.  The room falls
+    below the size of each refused batch, so rounds are bounded by the number
+    of different sizes, whatever the number of batches.
+    """
+    cols, at = batches.columns, F.struct("arrival", "batch_id")
+    if used is None:
+        cur = batches.withColumn("_used", F.lit(0).cast("bigint"))
+    else:
+        cur = batches.join(used.select("session_id", F.col("events").alias("_used")), "session_id", "left")
+        cur = cur.withColumn("_used", F.coalesce("_used", F.lit(0).cast("bigint")))
+    taken = None
+    while True:
+        ran = running(
+            cur,
+            ["session_id"],
+            ["arrival", "batch_id"],
+            F.floor(F.col("arrival") / span),
+            {"_sum": Run("sum", F.col("new_events"))},
+        ).withColumn("session_events", (F.col("_used") + F.col("_sum")).cast("bigint"))
+        over = ran.where(F.col("session_events") > n).groupBy("session_id").agg(F.min(at).alias("_over"))
+        marked = stage(ran.join(over, "session_id", "left").drop("_sum"), "cap")
+        good = marked.where(F.col("_over").isNull() | (at < F.col("_over"))).select(*cols, "session_events")
+        taken = good if taken is None else taken.unionByName(good)
+        now = good.groupBy("session_id").agg(F.max("session_events").alias("_now"))
+        rest = marked.where(at > F.col("_over")).drop("_over", "session_events").join(now, "session_id", "left")
+        rest = rest.withColumn("_used", F.coalesce("_now", "_used")).drop("_now")
+        cur = stage(rest.where(F.col("new_events") <= n - F.col("_used")), "cap")
+        if cur.isEmpty():
+            return taken
+
+
+def _new_events(kept: DataFrame) -> DataFrame:
+    fresh = F.sum(F.greatest(F.col("hi") - F.col("reached"), F.lit(0))).cast("bigint").alias("new_events")
+    return kept.groupBy("batch_id").agg(fresh)
+
+
+def _settle_within(frames: DataFrame, sizes: DataFrame, used: DataFrame | None, n: int, span: int) -> tuple[DataFrame, DataFrame]:
+    """:func:`_settle` under the event limit: accepted (batch, frame) rows, and the batches the limit refuses.
 
-    ``batches``: session_id, batch_id, arrival, new_events.
+    All decisions before the first batch of a session that passes the limit
+    stand.  That batch is refused, and so is the first one of every other
+    frame from there on that is larger than the room left: what its frame has
+    reached is known, and the room never grows.  Without them their frames
+    stop, so the rest is settled anew.
     """
-    return running(
-        batches,
-        ["session_id"],
-        ["arrival", "batch_id"],
-        F.floor(F.col("arrival") / span),
-        {"session_events": Run("sum", F.col("new_events"))},
-    ).where(F.col("session_events") <= n)
+    batches = sizes.select("batch_id", "session_id", "arrival")
+    at = F.struct("arrival", "batch_id")
+    refused = None
+    while True:
+        kept = _settle(frames, span)
+        counted = running(
+            batches.join(_new_events(kept), "batch_id"),
+            ["session_id"],
+            ["arrival", "batch_id"],
+            F.floor(F.col("arrival") / span),
+            {"_sum": Run("sum", F.col("new_events"))},
+        )
+        if used is not None:
+            counted = counted.join(used.select("session_id", F.col("events").alias("_used")), "session_id", "left")
+            counted = counted.withColumn("_sum", F.col("_sum") + F.coalesce("_used", F.lit(0)))
+        first = counted.where(F.col("_sum") > n).groupBy("session_id").agg(
+            F.min(at).alias("_from"), F.min_by(n - F.col("_sum") + F.col("new_events"), at).alias("_room")
+        )
+        late = kept.join(first, "session_id").where(at >= F.col("_from"))
+        lead = late.groupBy(*S.FRAME).agg(F.min(at).alias("_lead"))
+        fresh = F.sum(F.greatest(F.col("hi") - F.col("reached"), F.lit(0)))
+        judged = late.join(lead, S.FRAME).groupBy("batch_id").agg(
+            F.bool_and(at == F.col("_lead")).alias("_leads"), (fresh > F.min("_room")).alias("_large")
+        )
+        over = stage(judged.where("_leads AND _large").select("batch_id"), "over")
+        refused = over if refused is None else refused.unionByName(over)
+        if over.isEmpty():
+            return kept, refused
+        frames = stage(frames.join(over, "batch_id", "left_anti"), "frames")
+
+
+def session_event_cap(
+    batches: DataFrame, n: int = S.MAX_SESSION_EVENTS, span: int = BLOCK_ROWS, used: DataFrame | None = None
+) -> DataFrame:
+    """Batches that fit when a session takes at most ``n`` events, in order of arrival.
+
+    A batch that does not fit leaves the count as it is, so a later, smaller
+    one may fit.  ``batches``: session_id, batch_id, arrival, new_events;
+    ``used`` (session_id, events): what sessions took before.  Adds
+    session_events, the session's count with the batch.
+
+    A round takes everything before the first batch that does not fit and
+    drops all later ones larger than the room that is left.  The room falls
+    below the size of each refused batch, so rounds are bounded by the number
+    of different sizes, whatever the number of batches.
+    """
+    cols, at = batches.columns, F.struct("arrival", "batch_id")
+    if used is None:
+        cur = batches.withColumn("_used", F.lit(0).cast("bigint"))
+    else:
+        cur = batches.join(used.select("session_id", F.col("events").alias("_used")), "session_id", "left")
+        cur = cur.withColumn("_used", F.coalesce("_used", F.lit(0).cast("bigint")))
+    taken = None
+    while True:
+        ran = running(
+            cur,
+            ["session_id"],
+            ["arrival", "batch_id"],
+            F.floor(F.col("arrival") / span),
+            {"_sum": Run("sum", F.col("new_events"))},
+        ).withColumn("session_events", (F.col("_used") + F.col("_sum")).cast("bigint"))
+        over = ran.where(F.col("session_events") > n).groupBy("session_id").agg(F.min(at).alias("_over"))
+        marked = stage(ran.join(over, "session_id", "left").drop("_sum"), "cap")
+        good = marked.where(F.col("_over").isNull() | (at < F.col("_over"))).select(*cols, "session_events")
+        taken = good if taken is None else taken.unionByName(good)
+        now = good.groupBy("session_id").agg(F.max("session_events").alias("_now"))
+        rest = marked.where(at > F.col("_over")).drop("_over", "session_events").join(now, "session_id", "left")
+        rest = rest.withColumn("_used", F.coalesce("_now", "_used")).drop("_now")
+        cur = stage(rest.where(F.col("new_events") <= n - F.col("_used")), "cap")
+        if cur.isEmpty():
+            return taken
+
+
+def _new_events(kept: DataFrame) -> DataFrame:
+    fresh = F.sum(F.greatest(F.col("hi") - F.col("reached"), F.lit(0))).cast("bigint").alias("new_events")
+    return kept.groupBy("batch_id").agg(fresh)
+
+
+def _settle_within(frames: DataFrame, sizes: DataFrame, used: DataFrame | None, n: int, span: int) -> tuple[DataFrame, DataFrame]:
+    """:func:`_settle` under the event limit: accepted (batch, frame) rows, and the batches the limit refuses.
+
+    The first accepted batch of a session that would pass the limit is refused
+    for good: all decisions before it stand.  Without it its frame stops, so
+    the rest is settled anew; a round refuses one batch in every session that
+    is over its limit.
+    """
+    batches = sizes.select("batch_id", "session_id", "arrival")
+    refused = None
+    while True:
+        kept = _settle(frames, span)
+        counted = running(
+            batches.join(_new_events(kept), "batch_id"),
+            ["session_id"],
+            ["arrival", "batch_id"],
+            F.floor(F.col("arrival") / span),
+            {"_sum": Run("sum", F.col("new_events"))},
+        )
+        if used is not None:
+            counted = counted.join(used.select("session_id", F.col("events").alias("_used")), "session_id", "left")
+            counted = counted.withColumn("_sum", F.col("_sum") + F.coalesce("_used", F.lit(0)))
+        first = counted.where(F.col("_sum") > n).groupBy("session_id")
+        over = stage(first.agg(F.min(F.struct("arrival", "batch_id")).alias("_o")).select(F.col("_o.batch_id").alias("batch_id")), "over")
+        refused = over if refused is None else refused.unionByName(over)
+        if over.isEmpty():
+            return kept, refused
+        frames = stage(frames.join(over, "batch_id", "left_anti"), "frames")
 
 
 def session_lifecycle(log: DataFrame, control: DataFrame) -> DataFrame:

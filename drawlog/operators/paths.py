@@ -26,7 +26,6 @@ def is_seed(value: Column) -> Column:
         value.isNotNull()
         & ~is_object(value)
         & ~value.isin("true", "false", "null")
-        & (F.octet_length(value) <= S.MAX_SEED_BYTES)
     )
 
 

@@ -198,19 +198,20 @@ def counted(surface: DataFrame, block_rows: int | None = None) -> DataFrame:
     )
 
 
-def error_rows(numbered: DataFrame, cap: int = S.MAX_PAINTS) -> DataFrame:
+def error_rows(numbered: DataFrame, cap: int | None = None) -> DataFrame:
     """Rows that count as an error of their epoch.
 
-    A bad fill or stroke counts only while its kind is below the cap.
+    With a cap, a bad fill or stroke counts only while its kind is below it.
     """
     kind = F.col("type")
     rect_bad = ~F.coalesce(F.size("args") >= 4, F.lit(False))
     unknown = ~F.col("p_known")
+    below = lambda no: F.lit(True) if cap is None else F.col(no) < cap
     bad_shape = ((kind == "fill") & unknown) | ((kind == "fill_rect") & rect_bad)
     bad_stroke = ((kind == "stroke") & unknown) | ((kind == "stroke_rect") & rect_bad)
     return numbered.where(
-        (bad_shape & (F.col("shape_no") < cap))
-        | (bad_stroke & (F.col("stroke_no") < cap))
+        (bad_shape & below("shape_no"))
+        | (bad_stroke & below("stroke_no"))
         | ((kind == "clip") & F.col("path_id").isNull())
     )
 
@@ -219,7 +220,7 @@ def last_epochs(surface: DataFrame) -> DataFrame:
     return surface.groupBy(*S.SURFACE).agg(F.max("epoch").alias("epoch"))
 
 
-def error_count(numbered: DataFrame, cap: int = S.MAX_PAINTS) -> DataFrame:
+def error_count(numbered: DataFrame, cap: int | None = None) -> DataFrame:
     """Errors of every canvas since its last reset, from the :func:`counted` table."""
     bad = error_rows(numbered, cap).groupBy(*S.SURFACE, "epoch").agg(F.count(F.lit(1)).alias("errors"))
     return (
@@ -229,11 +230,12 @@ def error_count(numbered: DataFrame, cap: int = S.MAX_PAINTS) -> DataFrame:
     )
 
 
-def shape_cap(numbered: DataFrame, n: int = S.MAX_PAINTS) -> DataFrame:
-    """Paints within the cap of their kind, and partial clears of a non-empty canvas."""
+def shape_cap(numbered: DataFrame, n: int | None = S.MAX_PAINTS) -> DataFrame:
+    """Paints within the cap of their kind (all for None), and partial clears of a non-empty canvas."""
+    within = lambda no: F.lit(True) if n is None else F.col(no) <= n
     keep = (
-        (F.col("is_shape") & (F.col("shape_no") <= n))
-        | (F.col("is_stroke") & (F.col("stroke_no") <= n))
+        (F.col("is_shape") & within("shape_no"))
+        | (F.col("is_stroke") & within("stroke_no"))
         | (F.col("is_clear") & (F.col("shape_no") + F.col("stroke_no") > 0))
     )
     return numbered.where(keep)
@@ -245,7 +247,7 @@ def _kinds(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"kind": kind, "kind_index": index})
 
 
-def paint_order(surface: DataFrame, cap: int = S.MAX_PAINTS, block_rows: int | None = None) -> DataFrame:
+def paint_order(surface: DataFrame, cap: int | None = None, block_rows: int | None = None) -> DataFrame:
     """The paint table: kind, index within its kind, order number within the epoch."""
     kept = shape_cap(counted(surface, block_rows), cap)
     return _kinds(
@@ -253,7 +255,7 @@ def paint_order(surface: DataFrame, cap: int = S.MAX_PAINTS, block_rows: int | N
     )
 
 
-def current_paints(numbered: DataFrame, cap: int = S.MAX_PAINTS) -> DataFrame:
+def current_paints(numbered: DataFrame, cap: int | None = None) -> DataFrame:
     """Paints of the epoch after the last reset, from the :func:`counted` table.
 
     order_no is the sequence here: it orders the paints without another pass.
@@ -326,7 +328,7 @@ def numbered_log(surface: DataFrame, block_rows: int | None = None) -> DataFrame
 def paints(
     log: DataFrame,
     numbered: DataFrame,
-    cap: int = S.MAX_PAINTS,
+    cap: int | None = None,
     resolved: DataFrame | None = None,
     block_rows: int | None = None,
 ) -> DataFrame:

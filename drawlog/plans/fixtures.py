@@ -37,7 +37,7 @@ UNION ALL SELECT event_id, user_id, ts, pri, k, canvas_id, type, cmd FROM c
 """
 
 _REC_SHAPE = """
-SELECT 'cvr-' || CAST(user_id % 15 AS VARCHAR(20)) AS session_id, 'frame-' || CAST(user_id AS VARCHAR(20)) AS frame_id,
+SELECT 'rec-' || CAST(user_id % 15 AS VARCHAR(20)) AS session_id, 'frame-' || CAST(user_id AS VARCHAR(20)) AS frame_id,
   CASE WHEN type='path_command' THEN NULL ELSE canvas_id END AS canvas_id,
   CAST(sequence AS BIGINT) AS sequence, type,
   CASE WHEN type IN ('canvas_created','canvas_resized') THEN CAST(100 + k * 10 AS DOUBLE) END AS width,
@@ -80,13 +80,13 @@ SELECT session_id, canvas_id, CAST(1024 AS DOUBLE) AS width, CAST(1024 AS DOUBLE
   'M 0 0 L 1500 0 L 1500 1500 Z' AS first_d, CASE WHEN idx % 5 = 4 THEN '#000' ELSE '#fff' END AS first_fill, 'nonzero' AS first_rule,
   CAST(-1024 * (idx % 3) AS DOUBLE) + CASE WHEN o_orderkey % 11 = 0 THEN 10.5 ELSE 0.0 END AS tx,
   CAST(-1024 * ((idx - idx % 3) / 3) AS DOUBLE) AS ty, CAST(1 + o_orderkey % 4 AS BIGINT) AS n_paints
-FROM (SELECT o_orderkey, o_custkey, 'cvr-' || CAST(o_custkey % 15 AS VARCHAR(20)) AS session_id,
+FROM (SELECT o_orderkey, o_custkey, 'rec-' || CAST(o_custkey % 15 AS VARCHAR(20)) AS session_id,
         rn - 1 AS idx,
         'frame-' || CAST(o_custkey AS VARCHAR(20)) || '-canvas-' || CAST(rn AS VARCHAR(20)) AS canvas_id
       FROM {numbered_orders}) t
 """,
     "svg_asset_updates": """
-SELECT 'cvr-1' AS session_id, source || '-' || lang AS svg_id, doc_id AS arrival, CAST(100 AS DOUBLE) AS width, CAST(50 AS DOUBLE) AS height,
+SELECT 'rec-1' AS session_id, source || '-' || lang AS svg_id, doc_id AS arrival, CAST(100 AS DOUBLE) AS width, CAST(50 AS DOUBLE) AS height,
   n_chars % 10 AS shapes, source || '.svg' AS filename,
   CASE WHEN doc_id % 29 = 0 THEN '' ELSE '<svg>' END || CAST(n_chars % 3 AS VARCHAR(10)) || '</svg>' AS markup FROM {documents}
 """,

@@ -13,12 +13,12 @@ from drawlog.sources.staging import stage_path
 
 # Markup with six paint elements, one definition and one broken form.
 MARKUP = """
-SELECT 'cvr-' || CAST(doc_id % 15 AS VARCHAR(10)) AS session_id, 'svg-' || CAST(doc_id AS VARCHAR(20)) AS svg_id, doc_id, CAST(100 + doc_id % 50 AS DOUBLE) AS width, CAST(50 AS DOUBLE) AS height, source || '.svg' AS filename,
+SELECT 'rec-' || CAST(doc_id % 15 AS VARCHAR(10)) AS session_id, 'svg-' || CAST(doc_id AS VARCHAR(20)) AS svg_id, doc_id, CAST(100 + doc_id % 50 AS DOUBLE) AS width, CAST(50 AS DOUBLE) AS height, source || '.svg' AS filename,
   CASE WHEN doc_id % 19 = 0 THEN '<svg><path d=' ELSE '<svg xmlns="http://www.w3.org/2000/svg"><defs><path id="hidden" d="M 0 0"/></defs><g fill="#f00" stroke="blue"><path id="p' || CAST(n_chars % 5 AS VARCHAR(10)) || '" d="M 0 0 L ' || CAST(n_chars % 100 AS VARCHAR(10)) || ' 5 Z"/><rect width="5" height="5"/><circle r="2" fill="none"/></g><path d="M 1 1 L 2 2" fill="green" transform="matrix(1 0 0 1 3 4)"/><line id="l" stroke="rgb(1, 2, 3)"/><mask><path d="M 9 9 L 8 8"/></mask></svg>' END AS markup FROM {documents}
 """
 ELEMENTS = """SELECT session_id, svg_id, e.n AS element_no, e.tag,
   CASE e.n WHEN 1 THEN 'p' || CAST(n_chars % 5 AS VARCHAR(10)) WHEN 5 THEN 'l' END AS dom_id, e.fill, e.stroke, e.hid AS hidden
-FROM (SELECT 'cvr-' || CAST(doc_id % 15 AS VARCHAR(10)) AS session_id, 'svg-' || CAST(doc_id AS VARCHAR(20)) AS svg_id, n_chars FROM documents WHERE doc_id % 19 <> 0) m,
+FROM (SELECT 'rec-' || CAST(doc_id % 15 AS VARCHAR(10)) AS session_id, 'svg-' || CAST(doc_id AS VARCHAR(20)) AS svg_id, n_chars FROM documents WHERE doc_id % 19 <> 0) m,
  (VALUES (1, 'path', '#f00', 'blue', FALSE), (2, 'rect', '#f00', 'blue', FALSE), (3, 'circle', 'none', 'blue', FALSE), (4, 'path', 'green', NULL, FALSE), (5, 'line', '#000000', 'rgb(1, 2, 3)', FALSE), (6, 'path', '#000000', NULL, TRUE)) e(n, tag, fill, stroke, hid)"""
 
 

@@ -14,6 +14,7 @@ from drawlog.sources.staging import stage_path
 LOG_COLS = "session_id, frame_id, canvas_id, sequence, type, path_id, k"
 MAX_EVENTS = 15
 CAP = 500
+LIMIT = 300
 
 
 def write_batches(spark: SparkSession, rec, name: str, per_batch: int = 40) -> str:
@@ -61,7 +62,7 @@ def sequence_gaps(spark, sf_dir) -> DataFrame:
 
 def _gate(spark, sf_dir, **kw) -> DataFrame:
     log = fx.as_events(fx.rec_batches(spark, sf_dir), keep=("batch_id", "arrival"))
-    return ingest.batch_gate(log, max_events=MAX_EVENTS, **kw)
+    return ingest.batch_gate(log, max_events=MAX_EVENTS, event_limit=LIMIT, **kw)
 
 
 def batch_gate(spark, sf_dir) -> DataFrame:
@@ -80,7 +81,7 @@ def session_event_cap(spark, sf_dir) -> DataFrame:
 def control(spark, sf_dir) -> DataFrame:
     rec = fx.table(spark, sf_dir, "events")
     return rec.where("event_id % 487 = 0 OR event_id % 1999 = 7 OR event_id % 4001 = 11").select(
-        F.concat(F.lit("cvr-"), (F.col("user_id") % 15).cast("string")).alias("session_id"),
+        F.concat(F.lit("rec-"), (F.col("user_id") % 15).cast("string")).alias("session_id"),
         F.col("event_id").alias("arrival"),
         F.expr(
             "CASE WHEN event_id % 487 = 0 THEN 'clear_surfaces' WHEN event_id % 1999 = 7 THEN 'stop' ELSE 'clear' END"
@@ -108,14 +109,18 @@ _GATE_STEPS = [
     ("sz", "SELECT batch_id, min(session_id) AS session_id, min(frame_id) AS frame_id, min(arrival) AS arrival, count(*) AS events FROM rec_batches GROUP BY batch_id"),
     ("ev", "SELECT r.*, max(sequence) OVER (PARTITION BY batch_id ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM rec_batches r"),
     ("need", "SELECT batch_id, max(CASE WHEN pm IS NULL OR sequence > pm + 1 THEN sequence - 1 END) AS need, max(sequence) AS hi FROM ev GROUP BY batch_id"),
-    ("o", "SELECT sz.*, need, hi, row_number() OVER (PARTITION BY frame_id ORDER BY arrival) AS i FROM sz JOIN need USING (batch_id)"),
+    ("o", "SELECT sz.*, need, hi, row_number() OVER (PARTITION BY session_id ORDER BY arrival, batch_id) AS i FROM sz JOIN need USING (batch_id)"),
+    # One batch after the other, with the sequences and the count of its session.
     (
         "st",
-        f"""SELECT o.*, CAST(0 AS BIGINT) AS x, (events <= {MAX_EVENTS} AND need <= 0) AS ok FROM o WHERE i = 1
+        f"""SELECT DISTINCT session_id, CAST(0 AS BIGINT) AS i, CAST(map([], []) AS MAP(VARCHAR, BIGINT)) AS reached, CAST(0 AS BIGINT) AS used,
+  CAST(NULL AS VARCHAR) AS batch_id, CAST(0 AS BIGINT) AS arrival, CAST(0 AS BIGINT) AS events, CAST(0 AS BIGINT) AS fresh, CAST(NULL AS VARCHAR) AS reason FROM o
 UNION ALL
-SELECT o.*, CASE WHEN st.ok THEN greatest(st.x, st.hi) ELSE st.x END AS x,
-  (o.events <= {MAX_EVENTS} AND o.need <= CASE WHEN st.ok THEN greatest(st.x, st.hi) ELSE st.x END) AS ok
-FROM st JOIN o ON o.frame_id = st.frame_id AND o.i = st.i + 1""",
+SELECT session_id, i, CASE WHEN reason IS NULL THEN map_concat(reached, map([frame_id], [greatest(x, hi)])) ELSE reached END,
+  CASE WHEN reason IS NULL THEN used + fresh ELSE used END, batch_id, arrival, events, CASE WHEN reason IS NULL THEN fresh ELSE 0 END, reason
+FROM (SELECT *, CASE WHEN events > {MAX_EVENTS} THEN 'size' WHEN need > x THEN 'sequence' WHEN used + fresh > {LIMIT} THEN 'limit' END AS reason
+  FROM (SELECT *, greatest(hi - x, 0) AS fresh
+    FROM (SELECT o.*, st.reached, st.used, coalesce(st.reached[o.frame_id], 0) AS x FROM st JOIN o ON o.session_id = st.session_id AND o.i = st.i + 1) a) b) c""",
     ),
 ]
 
@@ -147,19 +152,26 @@ FROM rec_log""",
         ],
     ),
     "batch_gate": check_sql(
-        f"""SELECT batch_id, session_id, arrival, events, CASE WHEN ok THEN greatest(hi - x, 0) ELSE 0 END AS new_events,
-  CASE WHEN events > {MAX_EVENTS} THEN 'size' WHEN NOT ok THEN 'sequence' END AS reason FROM st""",
+        "SELECT batch_id, session_id, arrival, events, CAST(fresh AS BIGINT) AS new_events, reason FROM st WHERE i > 0",
         ["rec_batches"],
         _GATE_STEPS,
         recursive=True,
     ),
     "session_event_cap": check_sql(
-        f"SELECT session_id, batch_id, arrival, new_events, CAST(session_events AS BIGINT) AS session_events FROM c WHERE session_events <= {CAP}",
+        "SELECT session_id, batch_id, arrival, new_events, used AS session_events FROM st WHERE fits",
         ["rec_batches"],
         [
             ("b", "SELECT session_id, batch_id, arrival, count(*) AS new_events FROM rec_batches GROUP BY ALL"),
-            ("c", "SELECT *, sum(new_events) OVER (PARTITION BY session_id ORDER BY arrival, batch_id ROWS UNBOUNDED PRECEDING) AS session_events FROM b"),
+            ("o", "SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY arrival, batch_id) AS i FROM b"),
+            (
+                "st",
+                f"""SELECT o.*, (new_events <= {CAP}) AS fits, CASE WHEN new_events <= {CAP} THEN new_events ELSE 0 END AS used FROM o WHERE i = 1
+UNION ALL
+SELECT o.*, (st.used + o.new_events <= {CAP}) AS fits, CASE WHEN st.used + o.new_events <= {CAP} THEN st.used + o.new_events ELSE st.used END AS used
+FROM st JOIN o ON o.session_id = st.session_id AND o.i = st.i + 1""",
+            ),
         ],
+        recursive=True,
     ),
     "session_lifecycle": check_sql(
         """SELECT l.session_id, frame_id, sequence, event_id AS arrival,
@@ -173,7 +185,7 @@ WHERE NOT EXISTS (SELECT 1 FROM ctl c WHERE c.session_id = l.session_id AND acti
         [
             (
                 "ctl",
-                """SELECT 'cvr-' || CAST(user_id % 15 AS VARCHAR) AS session_id, event_id AS arrival,
+                """SELECT 'rec-' || CAST(user_id % 15 AS VARCHAR) AS session_id, event_id AS arrival,
   CASE WHEN event_id % 487 = 0 THEN 'clear_surfaces' WHEN event_id % 1999 = 7 THEN 'stop' ELSE 'clear' END AS action
 FROM events WHERE event_id % 487 = 0 OR event_id % 1999 = 7 OR event_id % 4001 = 11""",
             )

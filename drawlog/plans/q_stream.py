@@ -64,7 +64,7 @@ def stream_admission(spark, sf_dir):
 def stream_quarantine(spark, sf_dir):
     log = _deliveries(fx.as_events(fx.rec_batches(spark, sf_dir), keep=("batch_id", "arrival")), "arrival")
     out = stage_path(spark, "quarantine")
-    _finish(tables.stream_quarantine(log, out, max_events=q_ingest.MAX_EVENTS), spark, "quarantine")
+    _finish(tables.stream_quarantine(log, out, max_events=q_ingest.MAX_EVENTS, event_limit=q_ingest.LIMIT), spark, "quarantine")
     return tables.refused(spark, out)
 
 
@@ -97,7 +97,7 @@ ORACLE = {
     ),
     "stream_admission": q_assets.ORACLE["device_admission"],
     "stream_quarantine": check_sql(
-        f"""SELECT batch_id, session_id, arrival, events, CAST(0 AS BIGINT) AS new_events, CASE WHEN events > {q_ingest.MAX_EVENTS} THEN 'size' ELSE 'sequence' END AS reason FROM st WHERE NOT ok""",
+        "SELECT batch_id, session_id, arrival, events, CAST(0 AS BIGINT) AS new_events, reason FROM st WHERE reason IS NOT NULL",
         ["rec_batches"],
         q_ingest._GATE_STEPS,
         recursive=True,

@@ -19,7 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError(f"set {_CONF} to a folder that every executor can reach")
         folder = tempfile.mkdtemp(prefix="drawlog-")
         spark.sparkContext.setCheckpointDir(folder)
@@ -27,7 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/drawlog-{name}-{uuid.uuid4().hex}"
+    """A new folder for a table, removed when the session ends."""
+    path = f"{shared_dir(spark)}/drawlog-{name}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

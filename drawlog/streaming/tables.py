@@ -16,6 +16,7 @@ from drawlog.operators.assets import ASSET, asset_revisions
 from drawlog.operators.catalog import canvas_catalog
 from drawlog.operators.feed import device_admission
 from drawlog.operators.ingest import accepted_prefix, batch_gate, with_defaults
+from drawlog.sources.staging import stage
 
 
 def _put(df: DataFrame, root: str, table: str, epoch: int) -> None:
@@ -33,6 +34,34 @@ def read_table(spark: SparkSession, root: str, table: str, schema, before: int |
     return rows if before is None else rows.where(F.col("epoch") < before)
 
 
+def _epochs(spark: SparkSession, path: str) -> tuple[object, dict[int, object]]:
+    """The file system and the epoch folders of a table."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.listStatus(hadoop) if fs.exists(hadoop) else []
+    names = {f.getPath().getName(): f.getPath() for f in found}
+    return fs, {int(n.removeprefix("epoch=")): p for n, p in names.items() if n.startswith("epoch=")}
+
+
+def read_state(spark: SparkSession, root: str, table: str, schema: str, epoch: int) -> DataFrame:
+    """The newest whole state before ``epoch``; one folder, however long the stream has run."""
+    path = f"{root}/{table}"
+    _, epochs = _epochs(spark, path)
+    old = [e for e in epochs if e < epoch]
+    if not old:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/epoch={max(old):012d}")
+
+
+def put_state(df: DataFrame, root: str, table: str, epoch: int) -> None:
+    """Write the whole state after ``epoch``; the state before it stays for a retry, older ones go."""
+    _put(df, root, table, epoch)
+    fs, epochs = _epochs(df.sparkSession, f"{root}/{table}")
+    for e in sorted(epochs)[:-2]:
+        fs.delete(epochs[e], True)
+
+
+_COUNTS = "session_id string, events bigint"
 _STATE = "session_id string, frame_id string, last bigint"
 _REFUSED = "batch_id string, session_id string, arrival bigint, events bigint, new_events bigint, reason string"
 
@@ -40,23 +69,23 @@ _REFUSED = "batch_id string, session_id string, arrival bigint, events bigint, n
 def stream_quarantine(log: DataFrame, path: str, sessions: DataFrame | None = None, **limits) -> DataStreamWriter:
     """Write refused batches with their reason to ``path``/refused.
 
-    The last accepted sequence per frame is kept in ``path``/frames and carried
-    into the next micro-batch.
+    ``path``/frames and ``path``/counts hold, after every micro-batch, the last
+    accepted sequence of each frame and the events of each session; the next
+    one starts from there, so the result does not depend on how the input was
+    cut, and old input is never read again.
     """
 
     def take(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        seen = read_table(spark, path, "frames", _STATE, epoch)
-        state = seen.groupBy("session_id", "frame_id").agg(F.max("last").alias("last"))
-        verdict = batch_gate(batch, sessions, state=state, **limits)
-        verdict = verdict.persist()
-        try:
-            good = with_defaults(batch).join(verdict.where("reason IS NULL").select("batch_id"), "batch_id", "left_semi")
-            reached = good.groupBy("session_id", "frame_id").agg(F.max("sequence").alias("last"))
-            _put(reached, path, "frames", epoch)
-            _put(verdict.where("reason IS NOT NULL"), path, "refused", epoch)
-        finally:
-            verdict.unpersist()
+        state = read_state(spark, path, "frames", _STATE, epoch)
+        used = read_state(spark, path, "counts", _COUNTS, epoch)
+        verdict = stage(batch_gate(batch, sessions, state=state, used=used, **limits), "verdict")
+        good = with_defaults(batch).join(verdict.where("reason IS NULL").select("batch_id"), "batch_id", "left_semi")
+        reached = state.unionByName(good.select("session_id", "frame_id", F.col("sequence").alias("last")))
+        put_state(reached.groupBy("session_id", "frame_id").agg(F.max("last").alias("last")), path, "frames", epoch)
+        counts = used.unionByName(verdict.select("session_id", F.col("new_events").alias("events")))
+        put_state(counts.groupBy("session_id").agg(F.sum("events").alias("events")), path, "counts", epoch)
+        _put(verdict.where("reason IS NOT NULL"), path, "refused", epoch)
 
     return log.writeStream.foreachBatch(take)
 
@@ -161,18 +190,19 @@ def stream_admission(uses: DataFrame, sink: str, max_devices: int = 1) -> DataSt
     def take(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         names = ["license_key", "device_id", "ts", "event_id"]
-        old = read_table(spark, sink, "devices", schema, epoch).drop("epoch").distinct()
+        old = read_state(spark, sink, "devices", schema, epoch)
         # Devices already in come before every new use.
         floor = batch.agg(F.min("ts").alias("ts"), (F.min("event_id") - 1).alias("event_id"))
         start = floor.withColumn("ts", F.col("ts") - F.expr("INTERVAL 1 SECOND")).first()
         if start is None or start["ts"] is None:
+            put_state(old, sink, "devices", epoch)
             return
         known = old.select("license_key", "device_id", F.lit(start["ts"]).cast(types["ts"]).alias("ts"), F.lit(start["event_id"]).cast("bigint").alias("event_id"))
         decided = device_admission(batch.select(*names).unionByName(known), max_devices)
         fresh = decided.where(F.col("event_id") > start["event_id"])
         _put(fresh.select("event_id", "license_key", "device_id", "admitted"), sink, "uses", epoch)
-        admitted = fresh.where("admitted").select("license_key", "device_id").distinct()
-        _put(admitted, sink, "devices", epoch)
+        admitted = fresh.where("admitted").select("license_key", "device_id")
+        put_state(old.unionByName(admitted).distinct(), sink, "devices", epoch)
 
     return uses.writeStream.foreachBatch(take)
 
