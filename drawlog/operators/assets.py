@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 import xml.etree.ElementTree as ET
 
 import pandas as pd
@@ -179,7 +180,20 @@ def _apply_edits(markup: str | None, edits) -> str | None:
             node.set(name, "none")
             style = re.sub(rf"(^|;)\s*{name}\s*:[^;]*", r"\1", node.get("style") or "").strip("; ")
             node.set("style", f"{style}; {name}: none" if style else f"{name}: none")
-    return ET.tostring(root, encoding="unicode")
+    return _markup(root)
+
+
+def _markup(root: ET.Element) -> str:
+    """Text of a tree of any depth."""
+    depth, level = 0, [root]
+    while level:
+        depth, level = depth + 1, [child for node in level for child in node]
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, 2 * depth + 1000))
+    try:
+        return ET.tostring(root, encoding="unicode")
+    finally:
+        sys.setrecursionlimit(limit)
 
 
 def filename_override(docs: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:

@@ -116,6 +116,39 @@ def canvas_catalog(
     )
 
 
+def document_tables(
+    log: DataFrame,
+    surface: DataFrame | None = None,
+    cap: int | None = None,
+    resolved: DataFrame | None = None,
+    block_rows: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Paints and documents for the export jobs, tiles merged.
+
+    The keys of both are ``tiles.GROUP``.  Documents carry canvas_id (the
+    representative), width, height, tiles and errors.  A drawing of several
+    tiles is as large as its shapes reach, or as its tiles if a shape cannot be
+    read.
+    """
+    if surface is None:
+        surface = sf.surface_log(log, resolved, block_rows)
+    canvases, order = canvas_table(log, surface, cap, resolved, block_rows)
+    groups = stage(tiles.tile_groups(canvases).join(canvases, ["session_id", "canvas_id"]), "groups")
+    texts = stage(sf.paint_texts(log, surface, order, resolved, block_rows), "tile-paints")
+    merged = stage(tiles.merged_paints(texts, groups), "merged")
+    key = tiles.GROUP
+    docs = groups.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("tiles"),
+        F.sum("errors").cast("bigint").alias("errors"),
+        F.max(F.struct("n_paints", "tx", "ty", "canvas_id", "width", "height")).alias("_m"),
+    )
+    sizes = document_size(merged, key).join(tiles.tile_merge_summary(groups).select(*key, "tile_width", "tile_height"), key, "right")
+    many = F.col("tiles") > 1
+    side = lambda n: F.when(many, F.coalesce(f"doc_{n}", f"tile_{n}")).otherwise(F.col(f"_m.{n}")).alias(n)
+    out = docs.join(sizes, key, "left").select(*key, F.col("_m.canvas_id").alias("canvas_id"), side("width"), side("height"), "tiles", "errors")
+    return merged, out
+
+
 def catalog_order(catalog: DataFrame, only_painted: bool = False) -> DataFrame:
     """Largest area first, then most paints, then id."""
     rows = catalog.where("shapes > 0 OR gap_fillers > 0") if only_painted else catalog

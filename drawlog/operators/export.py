@@ -72,14 +72,19 @@ def _numbered_clears(table: DataFrame, keys: list[str]) -> DataFrame:
 
     Partial clears are events of one session, so a document's list is bounded.
     """
-    clears = table.where("kind = 'clear'").groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("order_no", "d", "transform", "clip_d", "clip_transform", "width", "height"))).alias("_c")
-    )
+    offset = [F.col(c) if c in table.columns else F.lit(0.0).alias(c) for c in ("surface_x", "surface_y")]
+    row = F.struct("order_no", "d", "transform", "clip_d", "clip_transform", "width", "height", *offset)
+    clears = table.where("kind = 'clear'").groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_c"))
     return clears.select(*keys, F.size("_c").cast("bigint").alias("clears"), F.posexplode("_c").alias("_p", "_r")).select(
         *keys, "clears", (F.col("_p") + 1).cast("bigint").alias("clear_no"), "_r.*"
     )
 
 
+def _surface_matrix() -> Column:
+    """Where a clear's surface lies: the offset of its tile in the document."""
+    return F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(1.0), F.col("surface_x"), F.col("surface_y"))
+
+
 def _clear_defs(clears: DataFrame, masks: DataFrame, keys: list[str]) -> DataFrame:
     no = _s(F.col("clear_no"))
     x0, y0 = fmt4(F.col("mask_x0")), fmt4(F.col("mask_y0"))
@@ -93,10 +98,9 @@ def _clear_defs(clears: DataFrame, masks: DataFrame, keys: list[str]) -> DataFra
         )
 
     surface = rect_text(F.lit(0.0), F.lit(0.0), F.col("width"), F.col("height"))
-    none = F.lit(None).cast("array<double>")
     has_clip = F.col("clip_d").isNotNull()
     clips = _cat(
-        clip(0, surface, matrix_text(none)),
+        clip(0, surface, matrix_text(_surface_matrix())),
         F.when(has_clip, clip(1, F.col("clip_d"), matrix_text(F.col("clip_transform")))).otherwise(""),
     )
     path = _cat('<path d="', xml_escape(F.col("d")), '" transform="', matrix_text(F.col("transform")), '" fill="black"/>')
@@ -216,7 +220,7 @@ def _exclusions(clears: DataFrame, keys: list[str]) -> DataFrame:
         F.explode(
             F.filter(
                 F.array(
-                    part(1, surface, ident),
+                    part(1, surface, _surface_matrix()),
                     part(2, F.col("clip_d"), F.coalesce("clip_transform", ident)),
                     part(3, F.col("d"), F.coalesce("transform", ident)),
                 ),

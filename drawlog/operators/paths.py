@@ -29,9 +29,20 @@ def is_seed(value: Column) -> Column:
     )
 
 
-def _with_refs(rows: DataFrame, resolved: DataFrame | None) -> DataFrame:
+NO_REFS = object()  # instead of texts: leave copies and appends open
+
+
+def references(log: DataFrame) -> DataFrame | object:
+    """Texts of the log's copies and appends (:func:`path_lineage`), resolved once for each log object."""
+    if getattr(log, "_drawlog_references", None) is None:
+        refers = F.col("path_id").isNotNull() & F.col("type").isin("path_created", "path_append") & is_object(F.col("value"))
+        log._drawlog_references = NO_REFS if log.where(refers).isEmpty() else path_lineage(log)
+    return log._drawlog_references
+
+
+def _with_refs(rows: DataFrame, resolved: DataFrame | object) -> DataFrame:
     """Add ref_text and ref_current: text of copies and appends by (session, frame, sequence)."""
-    if resolved is None:
+    if resolved is NO_REFS:
         return rows.withColumns({"ref_text": F.lit(None).cast("string"), "ref_current": F.lit(False)})
     refs = resolved.select(
         *_KEYED, F.when(F.col("d") != "", F.col("d")).alias("ref_text"), F.col("has_current").alias("ref_current")
@@ -52,8 +63,10 @@ def path_state(log: DataFrame, resolved: DataFrame | None = None, block_rows: in
 
     Adds p_known (path exists), p_epoch (begin_path so far) and p_filled (has
     text).  A creation only has an effect as the first event of its path.
+    Copies and appends are resolved here unless ``resolved`` brings their
+    texts.
     """
-    rows = _with_refs(with_defaults(log), resolved)
+    rows = _with_refs(with_defaults(log), references(log) if resolved is None else resolved)
     seq = F.col("sequence")
     exists = F.expr(
         "path_id IS NOT NULL AND (type IN ('path_created', 'path_command') OR (type = 'path_append' AND ref_text IS NOT NULL))"
@@ -93,7 +106,7 @@ def path_pieces(log: DataFrame, resolved: DataFrame | None = None, block_rows: i
         with_defaults(log)
         .where(F.col("path_id").isNotNull() & F.col("type").isin(*PATH_EVENTS))
         .select(*S.PATH, "sequence", "type", "command", "value"),
-        resolved,
+        references(log) if resolved is None else resolved,
     )
     exists = F.expr("type <> 'path_append' OR ref_text IS NOT NULL")
     placed = running(
@@ -242,7 +255,7 @@ def _moved_text(rows: DataFrame) -> DataFrame:
     return both.groupBy(*_KEYED).agg(text.alias("d"))
 
 
-def path_lineage(log: DataFrame, block_rows: int | None = None, max_depth: int = 1000) -> DataFrame:
+def path_lineage(log: DataFrame, block_rows: int | None = None) -> DataFrame:
     """Text of every copy and append: its source's text at that moment.
 
     References are resolved from the bottom up.  A round takes those whose
@@ -256,7 +269,7 @@ def path_lineage(log: DataFrame, block_rows: int | None = None, max_depth: int =
     used = with_defaults(log).where(F.col("type").isin(*PATH_EVENTS)).join(sources, S.PATH, "left_semi")
     used = stage(used.select(*S.PATH, "sequence", "type", "command", "value"), "lineage-sources")
     open_refs, resolved = refs, None
-    for _ in range(max_depth):
+    while True:
         waiting = (
             open_refs.groupBy(*S.FRAME, F.col("path_id").alias("source_path_id"), F.col("p_epoch").alias("src_epoch"))
             .agg(F.min("sequence").alias("_open"))
@@ -272,7 +285,7 @@ def path_lineage(log: DataFrame, block_rows: int | None = None, max_depth: int =
             *S.FRAME, F.col("source_path_id").alias("path_id"), F.col("src_epoch").alias("p_epoch"), "sequence",
             F.col("path_id").alias("_target"), "type", "transform",
         )
-        texts = epoch_texts(used, resolved, block_rows)
+        texts = epoch_texts(used, NO_REFS if resolved is None else resolved, block_rows)
         copied = snapshot(asks, texts, keep_current=True)
         copied = stage(copied, "lineage-texts")
         ident = F.expr("array(1D, 0D, 0D, 1D, 0D, 0D)")
@@ -292,4 +305,3 @@ def path_lineage(log: DataFrame, block_rows: int | None = None, max_depth: int =
         open_refs = marked.where("NOT _ready").drop("_ready")
         if open_refs.isEmpty():
             return resolved
-    raise RuntimeError(f"references are nested deeper than {max_depth}")

@@ -7,85 +7,96 @@ from drawlog.operators.assets import allocate_unique_filenames, asset_revisions,
 from drawlog.schema import SURFACE
 from drawlog.sources.readers import load_export_settings
 
-RECT = [0.0, 0.0, 100.0, 100.0]
+BOARD = {"ratio": "1:1", "min_pixels": 360_000.0, "max_pixels": 360_000.0}  # 600 by 600
+WIDE, HIGH, SIDE = 240.0, 160.0, 600.0
+ALL = [0.0, 0.0, WIDE, HIGH]
+BOX = [30.0, 40.0, 50.0, 20.0]
 
 
-def drawing(spark, *rows, width=100.0, height=100.0, **settings):
+def drawing(spark, *rows, width=WIDE, height=HIGH, **settings):
     log = frame(spark, numbered(("canvas_created", {"width": width, "height": height}), *rows))
     n = surface.numbered_log(surface.surface_log(log))
-    docs = surface.state_of(n).select(*SURFACE, "width", "height").withColumns({k: F.lit(v) for k, v in settings.items()})
+    docs = surface.state_of(n).select(*SURFACE, "width", "height").withColumns({k: F.lit(v) for k, v in {**BOARD, **settings}.items()})
     return surface.paints(log, n), load_export_settings(docs).drop("removed_colors", "removed_elements")
 
 
-def test_artwork_is_scaled_from_the_source_canvas(spark):
-    table, docs = drawing(spark, ("fill_rect", {"args": [0.0, 0.0, 20.0, 20.0]}))
-    svg = export.svg_documents(table, docs, SURFACE).first()["svg"]
-    assert "translate(1587.93 1587.93) scale(34.857)" in svg
-    assert '<rect id="background-color" width="3873" height="3873" fill="#ffffff"/>' in svg
+def placement(box=None, scale=1.0):
+    """Nine tenths of the board hold the canvas; the box of the shapes is centered, or the canvas without shapes."""
+    s = min(SIDE * 0.9 / WIDE, SIDE * 0.9 / HIGH) * scale
+    x, y, w, h = box or (0.0, 0.0, WIDE, HIGH)
+    numbers = SIDE / 2 - (x + w / 2) * s, SIDE / 2 - (y + h / 2) * s, s
+    return "translate({:g} {:g}) scale({:g})".format(*numbers)
 
 
-def test_scale_without_shapes(spark):
-    table, docs = drawing(spark, artwork_scale=2.0)
-    assert "translate(-1549.2 -1549.2) scale(69.714)" in export.svg_documents(table, docs, SURFACE).first()["svg"]
+def svg_of(spark, *rows, **kw):
+    return export.svg_documents(*drawing(spark, *rows, **kw), SURFACE).first()["svg"]
 
 
-def test_clipped_stroke_does_not_move_the_drawing(spark):
-    clip = ("path_command", {"path_id": "p", "command": {"type": "rect", "args": RECT}})
-    far = ("stroke_rect", {"args": [5000.0, 5000.0, 9.0, 9.0]})
-    shape = ("fill_rect", {"args": [0.0, 0.0, 20.0, 20.0]})
-    with_stroke = export.svg_documents(*drawing(spark, clip, ("clip", {"path_id": "p"}), far, shape), SURFACE).first()["svg"]
-    assert "translate(1587.93 1587.93) scale(34.857)" in with_stroke
+def test_placement_follows_the_shapes_or_the_canvas(spark):
+    box = ("fill_rect", {"args": BOX})
+    assert placement(BOX) in svg_of(spark, box)
+    assert placement(scale=1.5) in svg_of(spark, artwork_scale=1.5)
+    assert '<rect id="background-color" width="600" height="600" fill="#ffffff"/>' in svg_of(spark, box)
+    assert 'id="background' not in svg_of(spark, box, transparent_background=True)
+    # A stroke that its clip hides does not count.
+    hidden = [
+        ("path_command", {"path_id": "k", "command": {"type": "rect", "args": [0.0, 0.0, 10.0, 10.0]}}),
+        ("save", {}),
+        ("clip", {"path_id": "k"}),
+        ("stroke_rect", {"args": [700.0, 20.0, 40.0, 40.0]}),
+        ("restore", {}),
+    ]
+    assert placement(BOX) in svg_of(spark, *hidden, box)
 
 
-def test_a_clear_masks_only_what_came_before(spark):
-    table, docs = drawing(
-        spark,
-        ("fill_rect", {"args": RECT, "fill_style": "red"}),
-        ("clear_rect", {"args": [0.0, 0.0, 50.0, 100.0]}),
-        ("fill_rect", {"args": RECT, "fill_style": "blue"}),
-    )
+def test_clears_cut_earlier_paints_only(spark):
+    hole = lambda x: ("clear_rect", {"args": [x, 10.0, 25.0, 30.0]})
+    paint = lambda c: ("fill_rect", {"args": ALL, "fill_style": c})
+    table, docs = drawing(spark, paint("#010203"), hole(20.0), paint("#040506"), hole(90.0), paint("#070809"))
     svg = export.svg_documents(table, docs, SURFACE).first()["svg"]
-    red, close, blue = svg.index('fill="red"'), svg.index("</g>\n    <path"), svg.index('fill="blue"')
-    assert svg.index('<g mask="url(#clear-1)">') < red < close < blue
-    assert 'x="-1" y="-1" width="102" height="102"' in svg
+    body = svg[svg.index('<g id="artwork"') :]
+    marks = [body.index(x) for x in ('<g mask="url(#clear-2)">', '<g mask="url(#clear-1)">', "#010203", "</g>", "#040506")]
+    assert marks == sorted(marks)
+    assert body.index("#040506") < body.index("</g>", marks[3] + 1) < body.index("#070809")
+    assert 'x="-1" y="-1" width="242" height="162"' in svg
     eps = export.eps_documents(table, docs, SURFACE).first()["eps"]
-    first, second = eps.index("1 0 0 setrgbcolor"), eps.index("0 0 1 setrgbcolor")
-    assert eps.count("% clearRect exclusion") == 1 and eps.index("% clearRect exclusion") < first < second
-    assert "50 0 lineto" in eps
+    parts = eps.split("gsave\n")
+    # The first paint carries both clears, the second one the later clear, the last none.
+    assert eps.count("% clearRect exclusion") == 3
+    assert "115 10 lineto" in eps and "45 10 lineto" in eps and len(parts) > 3
 
 
-def test_eps_header_and_colors(spark):
-    table, docs = drawing(
-        spark, ("fill_rect", {"args": RECT, "fill_style": "#ff0000"}), ("fill_rect", {"args": RECT, "fill_style": "none"}),
-        width=200.0, height=100.0, ratio="1:1", min_pixels=40_000.0, max_pixels=40_000.0,
-    )
+def test_eps_page_and_colors(spark):
+    rows = [("fill_rect", {"args": BOX, "fill_style": c}) for c in ("#0000ff", "transparent", "#00ff00")]
+    table, docs = drawing(spark, *rows)
     r = export.eps_documents(table, docs, SURFACE).first()
-    assert (r["art_width"], r["art_height"], r["art_ratio"]) == (200, 200, "1:1")
-    eps = r["eps"]
-    assert eps.startswith("%!PS-Adobe-3.0 EPSF-3.0\n") and eps.endswith("showpage\n%%EOF\n")
-    for part in ("%%BoundingBox: 0 0 200 200\n", "%%LanguageLevel: 3\n", "0 200 translate\n1 -1 scale\n", "1 0 0 setrgbcolor\n"):
-        assert part in eps
-    assert eps.count("newpath\n") == 1
+    assert (r["art_width"], r["art_height"], r["art_ratio"]) == (600, 600, "1:1")
+    lines = r["eps"].splitlines()
+    assert lines[0].startswith("%!PS-Adobe") and lines[-1] == "%%EOF"
+    assert "%%BoundingBox: 0 0 600 600" in lines and "0 600 translate" in lines
+    assert [x for x in lines if x.endswith("setrgbcolor")][-2:] == ["0 0 1 setrgbcolor", "0 1 0 setrgbcolor"]
+    assert lines.count("newpath") == 2
 
 
 def test_removed_colors_leave_the_document(spark):
-    table, docs = drawing(spark, ("fill_rect", {"args": RECT, "fill_style": "#f00"}), ("fill_rect", {"args": RECT, "fill_style": "blue"}))
-    gone = spark.createDataFrame([("rgb(255, 0, 0)",)], "color string")
+    table, docs = drawing(spark, *[("fill_rect", {"args": BOX, "fill_style": c}) for c in ("#0a0b0c", "olive", "rgb(10, 11, 12)")])
+    gone = spark.createDataFrame([("#0A0B0C",)], "color string")
     svg = export.svg_documents(table, docs, SURFACE, removed_colors=gone).first()["svg"]
-    assert 'fill="#f00"' not in svg and 'id="shape-2"' in svg
+    assert "#0a0b0c" not in svg and "rgb(10" not in svg and 'id="shape-2"' in svg
 
 
 def test_wrapped_asset(spark):
-    a = spark.createDataFrame(
-        [("s", "v", 100.0, 50.0, "source.svg", '<svg><path id="a" d="M0 0 L5 5" fill="red" stroke="blue" transform="matrix(2 0 0 2 1 1)"/></svg>')],
-        "session_id string, svg_id string, width double, height double, filename string, markup string",
-    ).withColumns({"ratio": F.lit("1:1"), "min_pixels": F.lit(10_000.0), "max_pixels": F.lit(10_000.0), "background_color": F.lit("#123456"), "artwork_scale": F.lit(2.0)})
+    markup = '<svg><path id="k" d="M3 4 L30 40" fill="#00f" stroke="#0f0" transform="matrix(1 0 0 3 7 9)"/></svg>'
+    a = spark.createDataFrame([("s", "v", 80.0, 20.0, "w.svg", markup)], "session_id string, svg_id string, width double, height double, filename string, markup string")
+    a = a.withColumns({**{k: F.lit(v) for k, v in BOARD.items()}, "background_color": F.lit("#0a0b0c"), "artwork_scale": F.lit(1.0)})
     a = load_export_settings(a).drop("removed_colors", "removed_elements")
     r = export.wrapped_vector_documents(a).first()
-    assert (r["art_width"], r["art_height"], r["art_ratio"]) == (100, 100, "1:1")
-    assert 'fill="#123456"' in r["text"] and "scale(1.8)" in r["text"]
+    assert (r["art_width"], r["art_height"], r["art_ratio"]) == (600, 600, "1:1")
+    assert 'fill="#0a0b0c"' in r["text"] and f"scale({600 * 0.9 / 80:g})" in r["text"]
     eps = export.wrapped_vector_documents(a, fmt="eps").first()["text"]
-    assert "[2 0 0 2 1 1] concat\n1 0 0 setrgbcolor\nnewpath\n0 0 moveto\n5 5 lineto\ngsave\nfill\ngrestore\n0 0 1 setrgbcolor\n1 setlinewidth\n" in eps
+    steps = ["[1 0 0 3 7 9] concat", "0 0 1 setrgbcolor", "3 4 moveto", "30 40 lineto", "fill", "0 1 0 setrgbcolor", "stroke"]
+    found = [eps.index(x, eps.index(steps[0])) for x in steps]
+    assert found == sorted(found)
 
 
 def test_postscript_of_curves(spark):
