@@ -228,7 +228,7 @@ def _exclusions(clears: DataFrame, keys: list[str]) -> DataFrame:
             )
         ).alias("_p"),
     ).select(*keys, "clear_no", "_p.part", "_p.d", "_p.m")
-    ps = sg.postscript_texts(parts, "d", "m")
+    ps = sg.postscript_texts(parts.where(F.col("d").rlike(r"^\s*($|[Mm])")), "d", "m")
     joined = parts.join(ps, ["d", "m"], "left")
     text = F.when(F.col("part") < 3, _cat("newpath\n", F.col("ps"), "clip\n")).otherwise(
         _cat("newpath\n", F.col("ps"), "clip\nclippath\n")

@@ -227,7 +227,7 @@ def _moved_text(rows: DataFrame) -> DataFrame:
     """Text ``d`` of rows (session, frame, sequence, transform) moved by their matrix.
 
     Written as absolute commands with up to four decimals; arcs become cubics.
-    Text that cannot be read gives null.
+    Text that cannot be read, or does not start with a move, gives null.
     """
     seg = explode_path_segments(rows.select(*_KEYED, "d", "transform"))
     base = ["letter", "px", "py", "c1x", "c1y", "c2x", "c2y", "x", "y"]
@@ -252,7 +252,8 @@ def _moved_text(rows: DataFrame) -> DataFrame:
     text = F.array_join(
         F.transform(F.array_sort(F.collect_list(F.struct("seg_no", "piece_no", line.alias("t")))), lambda r: r["t"]), " "
     )
-    return both.groupBy(*_KEYED).agg(text.alias("d"))
+    moved = F.bool_or((F.col("seg_no") == 1) & (F.col("letter") != "M"))
+    return both.groupBy(*_KEYED).agg(F.when(~moved, text).alias("d"))
 
 
 def path_lineage(log: DataFrame, block_rows: int | None = None) -> DataFrame:

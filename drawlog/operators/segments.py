@@ -117,6 +117,11 @@ def with_segments(df: DataFrame, d: str = "d") -> DataFrame:
     return df.withColumn("segments", _read_paths(F.col(d)))
 
 
+def starts_with_move(segments: Column) -> Column:
+    """Of a read path: it is empty or begins with a move."""
+    return (F.size(segments) == 0) | (F.get(F.get(segments, F.lit(0)), F.lit(0)) == float(ord("M")))
+
+
 def explode_path_segments(df: DataFrame, d: str = "d") -> DataFrame:
     """One row per absolute segment: letter, start, controls, end, arc data, seg_no from 1.
 
@@ -308,11 +313,13 @@ def tight_boxes(df: DataFrame, keys: list[str], d: str = "d", transform: str = "
     """One row per key with the tight box of the transformed path and ``readable``.
 
     Curves count with their extrema; a move that draws nothing does not count.
+    A path that does not start with a move is not readable here.
     ``keys`` must identify the rows.
     """
     ident = F.expr("array(1D, 0D, 0D, 1D, 0D, 0D)")
     rows = df.select(*keys, d, F.coalesce(F.col(transform), ident).alias("_m"))
-    read = with_segments(rows, d).select(*keys, "_m", F.col("segments").isNotNull().alias("readable"), "segments")
+    drawn = with_segments(rows, d).withColumn("segments", F.when(starts_with_move(F.col("segments")), F.col("segments")))
+    read = drawn.select(*keys, "_m", F.col("segments").isNotNull().alias("readable"), "segments")
     exploded = read.select(*keys, "_m", "readable", F.posexplode_outer("segments").alias("_p", "_s")).select(
         *keys,
         "_m",
@@ -325,7 +332,7 @@ def tight_boxes(df: DataFrame, keys: list[str], d: str = "d", transform: str = "
     for p in ("p", "c1", "c2", ""):
         nx, ny = _apply("_m", f"{p}x", f"{p}y")
         flat = flat.withColumns({f"_n{p}x": nx, f"_n{p}y": ny})
-    draws = "letter IN ('L', 'C', 'Z')"
+    draws = "letter IN ('L', 'C') OR (letter = 'Z' AND (px <> x OR py <> y))"
     ends = lambda axis: f"array(_np{axis}, _n{axis})"
     values = lambda axis: F.expr(
         f"CASE WHEN {draws} THEN concat({ends(axis)}, CASE WHEN letter = 'C' THEN {_extreme(f'_np{axis}', f'_nc1{axis}', f'_nc2{axis}', f'_n{axis}')} ELSE array() END) END"

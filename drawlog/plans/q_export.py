@@ -89,7 +89,7 @@ def write_documents(spark, sf_dir):
     docs = ex.wrapped_vector_documents(settings, key).join(named, key)
     path = stage_path(spark, "documents")
     sinks.write_documents(docs.select("svg_id", "stored_name", "text"), path, "svg")
-    return spark.read.parquet(path).select("svg_id", "filename", "fmt", F.length("document").cast("bigint").alias("chars"))
+    return spark.read.parquet(path).select("svg_id", "filename", "fmt", F.sha2("document", 256).alias("text_sha256"))
 
 
 QUERIES = {f.__name__: f for f in (svg_documents, eps_documents, document_stats, wrapped_vector_documents, write_documents)}
@@ -112,8 +112,8 @@ _ESC = "replace(replace(replace(replace(d, '&', '&amp;'), '<', '&lt;'), '>', '&g
 _BOX = f"'M 0 0 h ' || {d_fmt4('now_width')} || ' v 100 h ' || {d_fmt4('-now_width')} || ' Z'"
 _I = "matrix(1 0 0 1 0 0)"
 
-# The drawing text rebuilt from the same steps: path text, layers, masks.
-_SVG = (
+# Paints with their path text, the kept ones, and the boxes of all.
+DRAWING_STEPS = (
     PAINT_STEPS
     + [
         (
@@ -147,6 +147,24 @@ FROM pt k JOIN pw p ON p.frame_id = k.frame_id AND p.sequence = k.sequence JOIN
             """SELECT canvas_id, sequence, kind, x0::DOUBLE AS x0, x1::DOUBLE AS x1, y0::DOUBLE AS y0, y1::DOUBLE AS y1, n FROM pp
 UNION ALL SELECT canvas_id, sequence, kind, k, k + 10 + k % 40, event_id % 100, event_id % 100 + 10 + event_id % 30, 1 FROM pt WHERE type IN ('fill_rect', 'stroke_rect')""",
         ),
+        # Tight boxes: of a path only the parts with a line, none if it does not start with a move.
+        (
+            "ti",
+            """SELECT canvas_id, sequence, kind, list_transform(regexp_extract_all(part, '[-0-9.]+'), lambda v: v::DOUBLE) AS v FROM (SELECT canvas_id, sequence, kind, unnest(regexp_extract_all(d, 'M [-0-9.]+ [-0-9.]+(?: L [-0-9.]+ [-0-9.]+)+')) AS part
+FROM pt WHERE type = 'fill' AND starts_with(d, 'M'))""",
+        ),
+        (
+            "tb",
+            """SELECT canvas_id, sequence, kind, min(list_min(list_filter(v, lambda x, i: i % 2 = 1))) AS x0, max(list_max(list_filter(v, lambda x, i: i % 2 = 1))) AS x1,
+  min(list_min(list_filter(v, lambda x, i: i % 2 = 0))) AS y0, max(list_max(list_filter(v, lambda x, i: i % 2 = 0))) AS y1 FROM ti GROUP BY ALL
+UNION ALL SELECT b.canvas_id, b.sequence, b.kind, x0, x1, y0, y1 FROM bx b JOIN pt USING (canvas_id, sequence) WHERE pt.type <> 'fill'""",
+        ),
+    ]
+)
+# The drawing text rebuilt from the same steps: path text, layers, masks.
+_SVG = (
+    DRAWING_STEPS
+    + [
         (
             "ak",
             """SELECT b.canvas_id, coalesce(min(CASE WHEN b.kind = 'shape' THEN x0 END), min(x0)) AS x0, coalesce(max(CASE WHEN b.kind = 'shape' THEN x1 END), max(x1)) AS x1,
@@ -173,7 +191,7 @@ UNION ALL SELECT canvas_id, -clear_no, '<g mask="url(#clear-' || clear_no || ')"
         (
             "mb",
             """SELECT sz.canvas_id, sz.width, least(0.0, min(x0 - g)) - 1 AS mx0, least(0.0, min(y0 - g)) - 1 AS my0, greatest(any_value(sz.width), max(x1 + g)) + 1 AS mx1, greatest(100.0, max(y1 + g)) + 1 AS my1
-FROM sz LEFT JOIN (SELECT b.canvas_id, x0, x1, y0, y1, CASE WHEN b.kind = 'stroke' THEN (pt.k % 5) * 8.0::DOUBLE ELSE 0.0 END AS g FROM bx b JOIN pt ON pt.canvas_id = b.canvas_id AND pt.sequence = b.sequence) z ON z.canvas_id = sz.canvas_id GROUP BY ALL""",
+FROM sz LEFT JOIN (SELECT b.canvas_id, x0, x1, y0, y1, CASE WHEN b.kind = 'stroke' THEN (pt.k % 5) * 8.0::DOUBLE ELSE 0.0 END AS g FROM tb b JOIN pt ON pt.canvas_id = b.canvas_id AND pt.sequence = b.sequence) z ON z.canvas_id = sz.canvas_id GROUP BY ALL""",
         ),
         (
             "df",
@@ -193,6 +211,11 @@ _SVG_TEXT = f"""'<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<svg xml
  || '  <g id="artwork-transform" aria-label="Artwork transform" transform="translate(' || {d_fmt4('ox')} || ' ' || {d_fmt4('oy')} || ') scale(' || {d_fmt4('s')} || ')">' || chr(10) || '    <g id="artwork" aria-label="Artwork">' || chr(10)
  || coalesce(layers, '') || chr(10) || '    </g>' || chr(10) || '  </g>' || chr(10) || '</svg>'"""
 
+# An asset of 100 by 50 at the default size: two to one, at least 15 million pixels, nine tenths of it filled.
+_WRAPPED = """'<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<svg xmlns="http://www.w3.org/2000/svg" version="1.1" width="5478" height="2739" viewBox="0 0 5478 2739" color-interpolation="sRGB">' || chr(10)
+ || '  <title>Imported SVG artwork</title>' || chr(10) || '  <rect id="background-color" width="5478" height="2739" fill="#ffffff"/>' || chr(10)
+ || '  <g id="artwork-transform" aria-label="Artwork transform" transform="translate(273.9 136.95) scale(49.302)">' || chr(10) || markup || chr(10) || '  </g>' || chr(10) || '</svg>'"""
+
 ORACLE = {
     "svg_documents": check_sql(
         f"SELECT canvas_id, {_SVG_TEXT} AS svg, rw * m AS art_width, rh * m AS art_height, ratio AS art_ratio FROM fc LEFT JOIN lt USING (canvas_id) LEFT JOIN df USING (canvas_id)",
@@ -209,8 +232,8 @@ FROM (SELECT *, allshapes > 0 AND errors = 0 AND uf = 0 AND us = 0 AS valid FROM
         PAINT_STEPS + [ERRORS(5000)] + _SIZE,
     ),
     "write_documents": check_sql(
-        """SELECT svg_id, CASE WHEN rn = 0 THEN filename ELSE replace(filename, '.svg', '_' || rn || '.svg') END AS filename, 'svg' AS fmt, CAST(n AS BIGINT) AS chars
-FROM (SELECT svg_id, filename, row_number() OVER (PARTITION BY filename ORDER BY arrival) - 1 AS rn, 408 + length(markup) AS n FROM vl) t""",
+        f"""SELECT svg_id, CASE WHEN rn = 0 THEN filename ELSE replace(filename, '.svg', '_' || rn || '.svg') END AS filename, 'svg' AS fmt, sha256({_WRAPPED}) AS text_sha256
+FROM (SELECT svg_id, filename, row_number() OVER (PARTITION BY filename ORDER BY arrival) - 1 AS rn, markup FROM vl) t""",
         ["svg_asset_updates"],
         _REV,
     ),

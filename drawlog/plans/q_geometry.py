@@ -8,7 +8,7 @@ from drawlog.operators import segments as sg
 from drawlog.operators import surface
 from drawlog.plans import fixtures as fx
 from drawlog.plans.compose import check_sql
-from drawlog.plans.q_surface import PAINT_STEPS
+from drawlog.plans.q_export import DRAWING_STEPS
 from drawlog.sources.staging import stage
 
 _ROW = ["shape_id", "z", "d"]
@@ -41,27 +41,27 @@ def flatten_arcs(spark, sf_dir):
     return flat.select("p_partkey", "seg_no", "piece_no", "letter", *[F.round(c, 6).alias(c) for c in ("px", "py", "c1x", "c1y", "c2x", "c2y", "x", "y")])
 
 
-def _rect_paints(spark, sf_dir):
-    """Current rectangle paints with their path text and size."""
+def _paints(spark, sf_dir):
+    """Current paints with their path text and size."""
     log = stage(fx.draw_log(spark, sf_dir), "log")
     numbered = surface.numbered_log(surface.surface_log(log))
     return numbered, surface.paints(log, numbered)
 
 
 def artwork_bounds(spark, sf_dir):
-    _, p = _rect_paints(spark, sf_dir)
-    return sg.artwork_bounds(p.where("d LIKE 'M % h %'"), ["canvas_id"])
+    _, p = _paints(spark, sf_dir)
+    return sg.artwork_bounds(p, ["canvas_id"])
 
 
 def document_size(spark, sf_dir):
-    _, p = _rect_paints(spark, sf_dir)
-    return sg.document_size(p.where("d LIKE 'M % h %'"), ["canvas_id"])
+    _, p = _paints(spark, sf_dir)
+    return sg.document_size(p, ["canvas_id"])
 
 
 def clear_mask_bounds(spark, sf_dir):
-    s, p = _rect_paints(spark, sf_dir)
+    s, p = _paints(spark, sf_dir)
     sizes = surface.state_of(s).select("canvas_id", "width", "height")
-    return sg.clear_mask_bounds(p.where("d LIKE 'M % h %'"), sizes, ["canvas_id"])
+    return sg.clear_mask_bounds(p, sizes, ["canvas_id"])
 
 
 QUERIES = {
@@ -72,12 +72,10 @@ QUERIES = {
 _X = "CASE WHEN form = 0 THEN CASE WHEN seg_no IN (1, 4) THEN n ELSE n + q END WHEN form = 1 THEN CASE seg_no WHEN 2 THEN q ELSE 0 END ELSE CASE seg_no WHEN 2 THEN q ELSE 0 END END"
 _Y = "CASE WHEN form = 0 THEN CASE WHEN seg_no = 3 THEN 10 ELSE 0 END WHEN form = 1 THEN CASE seg_no WHEN 1 THEN 0 ELSE 20 END ELSE CASE seg_no WHEN 2 THEN 30 ELSE 0 END END"
 
-_RECTS = PAINT_STEPS + [
-    (
-        "rp",
-        """SELECT canvas_id, kind, clip_seq, CAST(k AS DOUBLE) AS x0, CAST(event_id % 100 AS DOUBLE) AS y0, CAST(k + 10 + k % 40 AS DOUBLE) AS x1, CAST(event_id % 100 + 10 + event_id % 30 AS DOUBLE) AS y1, k
-FROM cur WHERE type IN ('fill_rect', 'stroke_rect')""",
-    )
+_BOXES = [step for step in DRAWING_STEPS if step[0] != "kept"]
+_REACH = _BOXES + [
+    ("sm", "SELECT canvas_id, max(x1) AS mx, max(y1) AS my FROM tb WHERE kind = 'shape' GROUP BY canvas_id"),
+    ("so", "SELECT canvas_id, bool_and(type <> 'fill' OR d = '' OR starts_with(d, 'M')) AS ok FROM pt WHERE kind = 'shape' GROUP BY canvas_id"),
 ]
 
 ORACLE = {
@@ -107,19 +105,22 @@ FROM (SELECT *, CASE WHEN z % 2 = 0 THEN 2.0::DOUBLE ELSE 1.0 END AS a, CASE WHE
         ],
     ),
     "artwork_bounds": check_sql(
-        """SELECT canvas_id, coalesce(min(CASE WHEN kind = 'shape' THEN x0 END), min(x0)) AS min_x, coalesce(min(CASE WHEN kind = 'shape' THEN y0 END), min(y0)) AS min_y,
-  coalesce(max(CASE WHEN kind = 'shape' THEN x1 END), max(x1)) AS max_x, coalesce(max(CASE WHEN kind = 'shape' THEN y1 END), max(y1)) AS max_y
-FROM rp WHERE kind = 'shape' OR clip_seq IS NULL GROUP BY canvas_id""",
+        """SELECT b.canvas_id, coalesce(min(CASE WHEN b.kind = 'shape' THEN x0 END), min(x0)) AS min_x, coalesce(min(CASE WHEN b.kind = 'shape' THEN y0 END), min(y0)) AS min_y,
+  coalesce(max(CASE WHEN b.kind = 'shape' THEN x1 END), max(x1)) AS max_x, coalesce(max(CASE WHEN b.kind = 'shape' THEN y1 END), max(y1)) AS max_y
+FROM bx b JOIN pt k ON k.canvas_id = b.canvas_id AND k.sequence = b.sequence WHERE b.kind = 'shape' OR k.clip_seq IS NULL GROUP BY b.canvas_id""",
         ["rec_log"],
-        _RECTS,
+        _BOXES,
     ),
     "document_size": check_sql(
-        "SELECT canvas_id, max(x1) AS doc_width, max(y1) AS doc_height FROM rp WHERE kind = 'shape' GROUP BY canvas_id", ["rec_log"], _RECTS
+        """SELECT canvas_id, CASE WHEN ok AND mx > 0 AND my > 0 THEN ceil(mx) END AS doc_width, CASE WHEN ok AND mx > 0 AND my > 0 THEN ceil(my) END AS doc_height
+FROM so LEFT JOIN sm USING (canvas_id)""",
+        ["rec_log"],
+        _REACH,
     ),
     "clear_mask_bounds": check_sql(
-        """SELECT canvas_id, least(0.0, min(x0 - g)) - 1 AS mask_x0, least(0.0, min(y0 - g)) - 1 AS mask_y0, greatest(any_value(w), max(x1 + g)) + 1 AS mask_x1, greatest(100.0, max(y1 + g)) + 1 AS mask_y1
-FROM (SELECT sz.canvas_id, w, x0, y0, x1, y1, CASE WHEN kind = 'stroke' THEN (k % 5) * 8.0 ELSE 0.0 END AS g FROM sz LEFT JOIN rp ON rp.canvas_id = sz.canvas_id) t GROUP BY canvas_id""",
+        """SELECT sz.canvas_id, least(0.0, min(x0 - g)) - 1 AS mask_x0, least(0.0, min(y0 - g)) - 1 AS mask_y0, greatest(any_value(w), max(x1 + g)) + 1 AS mask_x1, greatest(100.0, max(y1 + g)) + 1 AS mask_y1
+FROM sz LEFT JOIN (SELECT b.canvas_id, x0, x1, y0, y1, CASE WHEN b.kind = 'stroke' THEN (pt.k % 5) * 8.0::DOUBLE ELSE 0.0 END AS g FROM tb b JOIN pt ON pt.canvas_id = b.canvas_id AND pt.sequence = b.sequence) z ON z.canvas_id = sz.canvas_id GROUP BY sz.canvas_id""",
         ["rec_log"],
-        _RECTS + [("sz", "SELECT canvas_id, arg_max(now_width, sequence) AS w FROM c0 GROUP BY canvas_id")],
+        _BOXES + [("sz", "SELECT canvas_id, arg_max(now_width, sequence) AS w FROM c0 GROUP BY canvas_id")],
     ),
 }
