@@ -147,8 +147,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_column: str = "vec_id",
     classes = scratch.put(ids.join(asked, "vec").select(F.col("ids")[0].alias("cid"), "ids", "vec", "asked"))
     some = classes.orderBy(F.xxhash64("cid"), "cid").limit(settings.sample).select("vec").collect()
     index = build_index(np.array([r["vec"] for r in some]), sizes["n"], settings, k)
-    keys = _keys(classes, index, dim, scratch)
-    met = _meet(keys, index, dim, k, scratch)
+    met = _meet(_keys(classes, index, dim, scratch), classes, index, dim, k, scratch)
     best = met.groupBy("qid", "cid").agg(F.max("score").alias("score"))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")
     best = best.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k + 1).drop("nth")
@@ -161,7 +160,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_column: str = "vec_id",
 
 
 def _keys(classes: DataFrame, index: Index, dim: int, scratch: Scratch) -> DataFrame:
-    """``bucket, probe, cid, vec``: every vector under its bucket of each table, every query under each bucket it visits."""
+    """``bucket, probe, cid``: every vector under its bucket of each table, every query under each bucket it visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = index.settings.slots ** index.directions.shape[1]
@@ -183,20 +182,22 @@ def _keys(classes: DataFrame, index: Index, dim: int, scratch: Scratch) -> DataF
             row = np.concatenate(row)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bucket)), pa.array(np.concatenate(probe)), pa.array(cids[row])], ["bucket", "probe", "cid"])
 
-    return scratch.put(classes.select("cid", "vec", "asked").mapInArrow(run, "bucket long, probe boolean, cid long")).join(classes.select("cid", "vec"), "cid")
+    return scratch.put(classes.select("cid", "vec", "asked").mapInArrow(run, "bucket long, probe boolean, cid long"))
 
 
-def _meet(keys: DataFrame, index: Index, dim: int, k: int, scratch: Scratch) -> DataFrame:
+def _meet(keys: DataFrame, classes: DataFrame, index: Index, dim: int, k: int, scratch: Scratch) -> DataFrame:
     """``qid, cid, score``: per bucket and query the best ``k + 1`` vectors, itself included."""
     unit = index.settings.unit
     sizes = keys.groupBy("bucket").agg(F.count_if("probe").alias("p"), F.count_if(~F.col("probe")).alias("n"))
     large = sizes.where((F.col("p") > unit) | (F.col("n") > unit)).select("bucket", F.ceil(F.col("p") / unit).cast("int").alias("ps"), F.ceil(F.col("n") / unit).cast("int").alias("ns"))
-    dealt = keys.join(large, "bucket", "left").withColumns({"ps": F.coalesce("ps", F.lit(1)), "ns": F.coalesce("ns", F.lit(1))})
+    # Written first, so that its size is known and the many rows of a large bucket need not meet in one task.
+    dealt = keys.join(scratch.put(large), "bucket", "left").withColumns({"ps": F.coalesce("ps", F.lit(1)), "ns": F.coalesce("ns", F.lit(1))})
     # A large bucket is a grid of blocks of queries and blocks of vectors; a row goes to all blocks of its line.
     own = F.pmod(F.xxhash64("cid"), F.when(F.col("probe"), F.col("ps")).otherwise(F.col("ns"))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.greatest(F.when(F.col("probe"), F.col("ns")).otherwise(F.col("ps")), F.lit(1)) - 1))
     dealt = dealt.withColumn("own", own).withColumn("other", other)
-    dealt = dealt.select("bucket", F.when(F.col("probe"), F.col("own")).otherwise(F.col("other")).alias("i"), F.when(F.col("probe"), F.col("other")).otherwise(F.col("own")).alias("j"), "probe", "cid", "vec")
+    dealt = dealt.select("bucket", F.when(F.col("probe"), F.col("own")).otherwise(F.col("other")).alias("i"), F.when(F.col("probe"), F.col("other")).otherwise(F.col("own")).alias("j"), "probe", "cid")
+    dealt = dealt.join(classes.select("cid", "vec"), "cid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
