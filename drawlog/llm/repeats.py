@@ -23,6 +23,9 @@ from drawlog.llm.decontaminate import bit_filter, grams, has_bit, WordHashes, wo
 from drawlog.llm.scratch import Scratch
 
 
+_REMEMBERED = 1 << 18
+
+
 @dataclass(frozen=True)
 class Settings:
     """Shingles of ``width`` words; two paragraphs link from ``similar`` on.
@@ -123,6 +126,7 @@ def shingle_sets(docs: DataFrame, bits: bytes, s: Settings) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = WordHashes()
+        given: set[int] = set()  # a task gives a much-repeated paragraph once, as far as it remembers
         flags = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), bitorder="little").view(bool)
         for b in batches:
             pids: list[int] = []
@@ -130,7 +134,10 @@ def shingle_sets(docs: DataFrame, bits: bytes, s: Settings) -> DataFrame:
             for text in b.column(0).to_pylist():
                 for _, _, ws in _lines(text, s.width):
                     pid = _name(ws)
-                    if has_bit(flags, pid):
+                    if has_bit(flags, pid) and pid not in given:
+                        if len(given) >= _REMEMBERED:
+                            given.clear()
+                        given.add(pid)
                         pids.append(pid)
                         own = grams(np.array([seen[w] for w in ws], dtype=np.uint64), s.width) >> np.uint64(33)
                         sets.append(np.unique(own).astype(np.int32))
@@ -151,8 +158,8 @@ def similar_links(distinct: DataFrame, docs: DataFrame, s: Settings, scratch: Sc
     met = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = scratch.put(keyed.join(met, "key").select("key", "pid", "n"))
     wanted = shared.select("pid").distinct()
-    sets = shingle_sets(docs, bit_filter(wanted, "pid"), s).join(wanted, "pid", "left_semi")
-    sets = scratch.put(sets.groupBy("pid").agg(F.first("shingles").alias("shingles")))
+    sets = shingle_sets(docs, bit_filter(wanted, "pid"), s).groupBy("pid").agg(F.first("shingles").alias("shingles"))
+    sets = scratch.put(sets.join(wanted, "pid", "left_semi"))
     light = shared.where(F.col("n") <= s.dense).select("key", "pid")
     pairs = light.alias("a").join(light.alias("b"), F.expr("a.key = b.key and a.pid < b.pid")).select(F.col("a.pid").alias("u"), F.col("b.pid").alias("v")).distinct()
     pairs = pairs.join(sets.select(F.col("pid").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("pid").alias("v"), F.col("shingles").alias("y")), "v")
