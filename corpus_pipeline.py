@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from drawlog.llm import decontaminate, pack, quality, secret_scan, simhash
+from drawlog.llm import copies, decontaminate, pack, quality, secret_scan
 from drawlog.llm.scratch import Scratch, table
 
 
@@ -13,7 +13,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.representatives(docs)
+    return copies.representatives(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,7 +55,7 @@ def _lines(text: str | None, least: int) -> Iterator[tuple[int, int, list[bytes]
         at += len(line) + 1
 
 
-def _name(ws: list[bytes]) -> int:
+def paragraph_name(ws: list[bytes]) -> int:
     """64 bits that stand for a paragraph's words (two of ten billion paragraphs share them by chance about thrice)."""
     return xxhash.xxh3_64_intdigest(b" ".join(ws))
 
@@ -107,7 +107,7 @@ def paragraphs(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for n, (start, end, ws) in enumerate(_lines(text, s.width)):
-                    rows.append((uid, doc_id, n, start, end, len(ws), _name(ws)))
+                    rows.append((uid, doc_id, n, start, end, len(ws), paragraph_name(ws)))
                     flat += [seen[w] for w in ws]
                     if len(flat) > 1 << 20:
                         yield part()
@@ -133,7 +133,7 @@ def shingle_sets(docs: DataFrame, bits: bytes, s: Settings) -> DataFrame:
             sets: list[np.ndarray] = []
             for text in b.column(0).to_pylist():
                 for _, _, ws in _lines(text, s.width):
-                    pid = _name(ws)
+                    pid = paragraph_name(ws)
                     if has_bit(flags, pid) and pid not in given:
                         if len(given) >= _REMEMBERED:
                             given.clear()
@@ -176,7 +176,7 @@ def _dense_links(shared: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     least = s.similar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, ("key", "i", "j")):
+        for t in groups(batches, ("key", "i", "j")):
             pids = t.column("pid").to_numpy()
             side = t.column("own").to_numpy() == t.column("i").to_numpy()[0]
             lists = t.column("shingles").combine_chunks()
@@ -187,7 +187,7 @@ def _dense_links(shared: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "u long, v long")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.Table]:
+def groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.Table]:
     """Tables of neighbouring rows with equal keys."""
     held: list[pa.RecordBatch] = []
     mark = None

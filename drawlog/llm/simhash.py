@@ -7,20 +7,27 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from drawlog.llm.components import components
 from drawlog.llm.scratch import Scratch
 
 BITS, BLOCKS, SEED, NEAR = 64, 4, 42, 2
-_KEPT, _NTH = "__drawlog_kept", "__drawlog_nth"
 _STEP = 1 << 16  # shingles hashed at once, so a very long text needs no more memory
 
 
+def folded_words(text: str | None) -> list[bytes]:
+    """Words between blanks, A-Z as a-z."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
 def fingerprint(text: str | None, width: int = 3) -> int:
     """SimHash of the text's word shingles: a bit is 1 if set in over half of the shingle hashes."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return simhash_of(folded_words(text), width)
+
+
+def simhash_of(words: list[bytes], width: int) -> int:
     if not words:
         return 0
     if len(words) < width:
@@ -108,23 +115,13 @@ def near_duplicates(docs: DataFrame, width: int = 3, scratch: Scratch | None = N
     """
     scratch = scratch or Scratch(docs.sparkSession, "simhash")
     rows = scratch.put(fingerprints(docs, width))
-    nodes = scratch.put(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(near_links(nodes.select("fp"), scratch), scratch)
-    named = nodes.join(roots, nodes.fp == roots.u, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    member = scratch.put(named.join(least, "root").select("fp", "component_id"))
-    return rows.join(member, "fp").select("doc_id", "fp", "component_id")
-
+    links = near_links(rows.select("fp").distinct(), scratch)
+    return members(rows, "fp", components(links, scratch), scratch).select("doc_id", "fp", "component_id")
 
-def representatives(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the one with the smallest doc_id.
 
-    Of repeated rows with that doc_id one stays.  Rows without a doc_id all
-    stay: nothing names them, so nothing can stand for them.
-    """
-    found = near_duplicates(docs, scratch=scratch)
-    ids = found.where("doc_id = component_id").select(F.col("component_id").alias(_KEPT)).distinct()
-    named = docs.join(ids, docs["doc_id"] == ids[_KEPT], "left_semi")
-    at = Window.partitionBy("doc_id").orderBy("doc_id")
-    named = named.withColumn(_NTH, F.row_number().over(at)).where(F.col(_NTH) == 1).drop(_NTH)
-    return named.union(docs.where("doc_id is null"))
+def members(rows: DataFrame, node: str, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """``rows`` with component_id: the smallest doc_id among the rows whose nodes have the same root."""
+    nodes = scratch.put(rows.groupBy(node).agg(F.min("doc_id").alias("first")))
+    named = nodes.join(roots, nodes[node] == roots["u"], "left").select(node, "first", F.coalesce("root", node).alias("root"))
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rows.join(scratch.put(named.join(least, "root").select(node, "component_id")), node)

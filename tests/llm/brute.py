@@ -103,6 +103,32 @@ def simhash_components(rows):
     return {d: (f"{f:016x}", first[find(at[f])]) for d, f in fps.items()}
 
 
+def similar_components(rows):
+    """{doc_id: component} of [(doc_id, text)]: near fingerprints, or a Jaccard similarity of 0.8 on five-word shingles."""
+    groups = {d: c for d, (_, c) in simhash_components(rows).items()}
+    parent = {c: c for c in groups.values()}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    sets, by_shingle = {}, {}
+    for d, t in rows:
+        ws = re.findall(r"[^\x20\x09-\x0D]+", fold(t))
+        sets[d] = {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
+        common = {}
+        for x in sets[d]:
+            for e in by_shingle.setdefault(x, []):
+                common[e] = common.get(e, 0) + 1
+            by_shingle[x].append(d)
+        for e, n in common.items():
+            if n >= 0.8 * (len(sets[d]) + len(sets[e]) - n):
+                a, b = find(groups[d]), find(groups[e])
+                parent[max(a, b)] = min(a, b)
+    return {d: find(c) for d, c in groups.items()}
+
+
 def item_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", fold(text))
 

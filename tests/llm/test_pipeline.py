@@ -23,8 +23,8 @@ def test_stages(spark):
     first = {r.doc_id: r for r in table(spark, SF, "documents").collect()}
     assert all(d in rows["quality"] for d in first if labels.get(d) == 1)
     assert sum(d in rows["quality"] for d in first if labels.get(d) == 0) <= 3
-    groups = brute.simhash_components([(d, r.text) for d, r in rows["quality"].items()])
-    assert set(rows["near_duplicates"]) == {c for _, c in groups.values()}
+    groups = brute.similar_components([(d, r.text) for d, r in rows["quality"].items()])
+    assert set(rows["near_duplicates"]) == set(groups.values())
     items = [tuple(r) for r in table(spark, SF, "benchmark").select("item_id", "text").collect()]
     bad = {d for d, r in brute.contamination_rows([(d, r.text) for d, r in rows["near_duplicates"].items()], items).items() if r[4]}
     assert bad and set(rows["decontamination"]) == set(rows["near_duplicates"]) - bad

@@ -5,7 +5,7 @@ import pytest
 from conftest import EDGE
 from pyspark.sql import functions as F
 
-from drawlog.llm import simhash
+from drawlog.llm import copies, simhash
 from drawlog.llm.components import components
 from drawlog.llm.scratch import Scratch
 
@@ -69,6 +69,25 @@ def test_long_chain_is_one_component(spark):
 
 def test_representatives(make_docs):
     docs = make_docs([(5, "a b c d e"), (3, "a b c d e"), (3, "a b c d e"), (9, "other words stand in here"), (None, "a b c d e")])
-    kept = simhash.representatives(docs)
+    kept = copies.representatives(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "a b c d e"), (3, "a b c d e"), (9, "other words stand in here")]
+
+
+def test_similar_documents_join_at_four_fifths(make_docs):
+    """A group of near copies, some only linked to each other, against all pairs; dense bands and small ones."""
+    rng = random.Random(12)
+    docs = []
+    for g in range(6):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([30, 90, 200]))]
+        for _ in range(60 if g < 2 else 3):
+            ws = list(base)
+            for at in rng.sample(range(len(ws)), rng.randrange(len(ws) // 40 + 2)):
+                ws[at] = f"x{rng.randrange(10**6)}"
+            docs.append((len(docs), " ".join(ws)))
+        docs += [(len(docs), " ".join(base))]
+        docs += [(len(docs), " ".join(base).upper())]
+    docs += [(len(docs), "a b"), (len(docs) + 1, "A B"), (len(docs) + 2, "a b c d e f")]
+    groups = brute.similar_components(docs)
+    got = {r.doc_id: r.component_id for r in copies.similar_documents(make_docs(docs)).collect()}
+    assert got == groups
