@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from drawlog import schema as S
 from drawlog.operators import surface as sf
 from drawlog.operators import tiles
+from drawlog.operators.ingest import joined_frames
 from drawlog.operators.segments import document_size
 from drawlog.sources.staging import stage
 
@@ -63,6 +64,7 @@ def canvas_catalog(
     width, height, revision, shapes, gap_fillers, errors, state.
     """
     if surface is None:
+        log = joined_frames(log, block_rows)
         surface = sf.surface_log(log, resolved, block_rows)
     canvases, order = canvas_table(log, surface, cap, resolved, block_rows)
     groups = stage(tiles.tile_groups(canvases).join(canvases, ["session_id", "canvas_id"]), "groups")
@@ -131,6 +133,7 @@ def document_tables(
     read.
     """
     if surface is None:
+        log = joined_frames(log, block_rows)
         surface = sf.surface_log(log, resolved, block_rows)
     canvases, order = canvas_table(log, surface, cap, resolved, block_rows)
     groups = stage(tiles.tile_groups(canvases).join(canvases, ["session_id", "canvas_id"]), "groups")

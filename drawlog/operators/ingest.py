@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from drawlog import schema as S
-from drawlog.operators.running import BLOCK_ROWS, Run, running, seq_block
+from drawlog.operators.running import BLOCK_ROWS, Run, row_numbers, running, seq_block
 from drawlog.sources.staging import stage
 
 # Least number of arguments per path command.
@@ -31,6 +31,34 @@ def with_defaults(log: DataFrame) -> DataFrame:
     return out
 
 
+def joined_frames(log: DataFrame, block_rows: int | None = None) -> DataFrame:
+    """One line of events for every session whose frames share a canvas or a path.
+
+    A canvas or path belongs to its session, whichever frame speaks of it.
+    Sessions with such an id get the default frame and new sequence numbers, in
+    the order of ``arrival`` if the log has it (else of the old numbers), then
+    frame and old number.  All other sessions stay as they are.
+    """
+    rows = with_defaults(log)
+    ids = F.explode(F.filter(F.array(F.concat(F.lit("c"), "canvas_id"), F.concat(F.lit("p"), "path_id")), lambda i: i.isNotNull()))
+    frames = rows.where("type <> 'session_end'").select("session_id", "frame_id", ids.alias("_id")).groupBy("session_id", "_id")
+    shared = frames.agg(F.min("frame_id").alias("_a"), F.max("frame_id").alias("_z")).where("_a <> _z").select("session_id").distinct()
+    shared = stage(shared, "shared")
+    if shared.isEmpty():
+        return log
+    order = ["arrival"] if "arrival" in log.columns else []
+    mixed = rows.join(shared, "session_id", "left_semi").withColumn("_old", F.col("sequence"))
+    numbered = row_numbers(
+        mixed,
+        ["session_id"],
+        [*order, "_old", "frame_id"],
+        F.floor(F.col(order[0] if order else "_old") / (block_rows or BLOCK_ROWS)),
+        "_new",
+    )
+    numbered = numbered.withColumns({"sequence": F.col("_new"), "frame_id": F.lit(S.DEFAULT_FRAME)})
+    return stage(rows.join(shared, "session_id", "left_anti").unionByName(numbered.select(*rows.columns)), "joined")
+
+
 def command_ok(command: Column, path_id: Column) -> Column:
     arity = F.create_map(*[F.lit(x) for kv in COMMAND_ARITY.items() for x in kv])
     need = F.element_at(arity, command["type"])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from drawlog import schema as S
 from drawlog.functions.geometry import determinant, rect_covers_surface, rect_path_text
 from drawlog.functions.text import close_for_fill
-from drawlog.operators.ingest import with_defaults
+from drawlog.operators.ingest import joined_frames, with_defaults
 from drawlog.operators.paths import epoch_texts, path_state, snapshot
 from drawlog.operators.running import Run, row_numbers, running, seq_block
 from drawlog.sources.staging import stage
@@ -349,7 +349,7 @@ def state_of(surface: DataFrame) -> DataFrame:
 
 def surface_state(log: DataFrame) -> DataFrame:
     """Per canvas: size, visibility, revision (events so far) and whether the session ended."""
-    rows = live_rows(log)
+    rows = live_rows(joined_frames(log))
     side = lambda c: F.coalesce(
         F.max_by(F.greatest(F.col(c), F.lit(1.0)), F.when(F.col(c).isNotNull(), F.col("sequence"))), F.lit(1.0)
     )

@@ -80,8 +80,9 @@ def test_tile_groups_follow_the_greedy_rule(spark):
     df = spark.createDataFrame(rows, "canvas_id string, tx double, ty double").withColumns(
         {"session_id": F.lit("s"), "width": F.lit(100.0), "height": F.lit(100.0), "first_d": F.lit("M 0 0"), "first_fill": F.lit("#fff"), "first_rule": F.lit("nonzero")}
     )
-    got = {x["canvas_id"]: x["leader"] for x in tiles.tile_groups(df).collect()}
-    assert got == _greedy(rows)
+    for many in (10**6, 0):
+        got = {x["canvas_id"]: x["leader"] for x in tiles.tile_groups(df, many).collect()}
+        assert got == _greedy(rows)
 
 
 def _order(spark, orders):

@@ -120,6 +120,19 @@ def test_first_copy_of_a_resent_event_counts(spark):
     assert [r["type"] for r in ingest.accepted_prefix(df).orderBy("sequence").collect()] == ["first", "only"]
 
 
+def test_frames_share_a_canvas(spark):
+    rows = []
+    for f in ("one", "two"):
+        for i, (kind, kw) in enumerate([("canvas_created", {"width": 80.0, "height": 60.0}), ("fill_rect", {"args": [1.0, 1.0, 30.0, 20.0]})], 1):
+            rows.append({**numbered((kind, kw))[0], "frame_id": f, "canvas_id": None, "sequence": i})
+    rows.append({**numbered(("canvas_created", {"width": 20.0, "height": 20.0}))[0], "session_id": "other", "frame_id": "one"})
+    log = frame(spark, rows)
+    got = {r["session_id"]: (r["revision"], r["shapes"]) for r in canvas_catalog(log).collect()}
+    assert got == {"s": (4, 2), "other": (1, 0)}
+    assert sorted(r["revision"] for r in surface.surface_state(log).collect()) == [1, 4]
+    assert ingest.joined_frames(log.where("frame_id = 'one'")).count() == 3
+
+
 def _tile(n, x):
     kw = {"canvas_id": f"f-canvas-{n}", "width": 50.0, "height": 50.0}
     at = {"canvas_id": kw["canvas_id"], "transform": [1.0, 0.0, 0.0, 1.0, x, 0.0]}
