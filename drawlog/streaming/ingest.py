@@ -15,14 +15,14 @@ from drawlog import schema as S
 _INGEST_STATE = T.StructType([T.StructField("last", T.LongType()), T.StructField("held", T.StringType())])
 
 
-def stream_ingest(log: DataFrame, max_pending: int = 10_000) -> DataFrame:
+def stream_ingest(log: DataFrame, max_pending: int | None = None) -> DataFrame:
     """Accept every event of a frame once, in sequence, from an at-least-once stream.
 
     State per (session, frame): the last accepted sequence and the events that
     arrived ahead of a gap.  A resend is dropped; a held event is released when
-    the gap closes.  When more than ``max_pending`` events wait, those with the
-    highest sequences are given out with status ``overflow`` (a producer resends
-    what was not accepted), so the state stays bounded.  Result: the input
+    the gap closes, however many wait.  Only where ``max_pending`` is given,
+    events beyond that number are given out with status ``overflow``, highest
+    sequences first, for a producer that resends what was not accepted.  Result: the input
     columns as JSON in ``event``, plus session_id, frame_id, sequence, status.
     """
     columns = log.columns
@@ -65,7 +65,7 @@ def stream_ingest(log: DataFrame, max_pending: int = 10_000) -> DataFrame:
             if ready:
                 yield frame(key, ready)
         # Only what still waits after the whole micro-batch is really early.
-        if len(held) > max_pending:
+        if max_pending is not None and len(held) > max_pending:
             yield frame(key, [(s, held.pop(s), "overflow") for s in sorted(held)[max_pending:]])
         state.update((last, json.dumps(held)))
 

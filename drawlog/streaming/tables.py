@@ -43,7 +43,7 @@ def _epochs(spark: SparkSession, path: str) -> tuple[object, dict[int, object]]:
     return fs, {int(n.removeprefix("epoch=")): p for n, p in names.items() if n.startswith("epoch=")}
 
 
-def read_state(spark: SparkSession, root: str, table: str, schema: str, epoch: int) -> DataFrame:
+def read_state(spark: SparkSession, root: str, table: str, schema: str | T.StructType, epoch: int) -> DataFrame:
     """The newest whole state before ``epoch``; one folder, however long the stream has run."""
     path = f"{root}/{table}"
     _, epochs = _epochs(spark, path)
@@ -94,20 +94,31 @@ def refused(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, path, "refused", _REFUSED).drop("epoch")
 
 
+_BUCKETS = 64
+
+
 def stream_catalog(log: DataFrame, sink: str, every: str = "500 milliseconds") -> DataStreamWriter:
     """Keep the catalog of every session current, at most one update per ``every``.
 
-    A micro-batch adds its events to ``sink``/log and writes the catalog of the
-    sessions it touched to ``sink``/catalog; the newest epoch of a session is
-    its current one.
+    A micro-batch adds its events to ``sink``/log, by bucket of the session, and
+    writes the catalog of the sessions it touched to ``sink``/catalog; the
+    newest epoch of a session is its current one.  Only the buckets of touched
+    sessions are read again.
     """
+    bucket = F.pmod(F.hash("session_id"), F.lit(_BUCKETS))
     schema = log.select(*S.EVENT.fieldNames()).schema
 
     def take(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        _put(batch.select(*S.EVENT.fieldNames()), sink, "log", epoch)
-        touched = batch.select("session_id").distinct()
-        whole = read_table(spark, sink, "log", schema, epoch + 1).drop("epoch")
+        rows = batch.select(*S.EVENT.fieldNames(), bucket.alias("bucket"))
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{sink}/log/epoch={epoch:012d}")
+        touched = stage(rows.select("session_id", "bucket").distinct(), "touched")
+        own = [r["bucket"] for r in touched.select("bucket").distinct().collect()]  # at most _BUCKETS numbers
+        if not own:
+            return
+        touched = touched.drop("bucket")
+        whole = read_table(spark, sink, "log", schema, epoch + 1)
+        whole = whole.where(F.col("bucket").isin(own)).drop("epoch", "bucket")
         mine = accepted_prefix(whole.join(touched, "session_id", "left_semi"))
         catalog = canvas_catalog(mine)
         # A session without a listed document still replaces its older rows.
@@ -135,16 +146,16 @@ def stored_asset_schema(updates: T.StructType) -> T.StructType:
 def stream_assets(updates: DataFrame, sink: str) -> DataStreamWriter:
     """Upsert captured assets; ``sink``/changes gets one row per real change.
 
-    Stored versions live in ``sink``/changes itself: a micro-batch reads the
-    newest one of each asset it touches and continues its revision.
+    ``sink``/newest holds the newest version of each asset as one whole state; a
+    micro-batch continues from it and replaces it, and reads no older change.
     """
     stored_schema = stored_asset_schema(updates.schema)
 
     def take(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        stored = read_table(spark, sink, "changes", stored_schema, epoch).drop("epoch")
+        state = read_state(spark, sink, "newest", stored_schema, epoch)
         touched = batch.select(*ASSET).distinct()
-        stored = stored.join(touched, ASSET, "left_semi")
+        stored = state.join(touched, ASSET, "left_semi")
         names = [c for c in updates.columns if c not in ASSET]
         last = stored.groupBy(*ASSET).agg(
             F.max_by(F.struct(*names), F.col("revision")).alias("_r"), F.max("revision").alias("_base")
@@ -163,6 +174,10 @@ def stream_assets(updates: DataFrame, sink: str) -> DataStreamWriter:
             .select(*stored_schema.fieldNames())
         )
         _put(new_rows.unionByName(more), sink, "changes", epoch)
+        changes = spark.read.schema(stored_schema).parquet(f"{sink}/changes/epoch={epoch:012d}")
+        rest = [c for c in stored_schema.fieldNames() if c not in ASSET]
+        newest = state.unionByName(changes).groupBy(*ASSET).agg(F.max_by(F.struct(*rest), F.col("revision")).alias("_r"))
+        put_state(newest.select(*ASSET, "_r.*"), sink, "newest", epoch)
 
     return updates.writeStream.foreachBatch(take)
 
