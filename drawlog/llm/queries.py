@@ -47,7 +47,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.repeated_paragraphs(table(spark, sf_dir, "documents"))
+    return repeats.repeated_passages(table(spark, sf_dir, "documents"))
 
 
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

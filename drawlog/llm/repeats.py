@@ -4,6 +4,10 @@ A paragraph is a line.  Bands of MinHash values bring similar paragraphs
 together, the exact Jaccard similarity of their word shingles decides, and
 components of the links are one class.  Runs of neighbouring paragraphs that
 other documents repeat, and that are long enough together, are passages.
+
+Passages that are not aligned to lines are found word by word: every window of
+``passage`` words whose smallest gram occurs in another document is compared,
+by its hash, with all other such windows.
 """
 
 from __future__ import annotations
@@ -19,11 +23,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from drawlog.llm.components import components
-from drawlog.llm.decontaminate import bit_filter, grams, has_bit, WordHashes, words
+from drawlog.llm.decontaminate import _FOLD, bit_filter, grams, has_bit, WordHashes, words
 from drawlog.llm.scratch import Scratch
 
 
 _REMEMBERED = 1 << 18
+_FOLDED = np.frombuffer(_FOLD, dtype=np.uint8)
+_LETTERS = np.random.default_rng(23).integers(0, 1 << 64, 256, dtype=np.uint64)
+_COLUMNS = ["doc_id", "start", "end", "n_words", "class_doc_id", "class_start", "removed"]
 
 
 @dataclass(frozen=True)
@@ -33,7 +40,8 @@ class Settings:
     With 12 bands of 3 values a pair at similarity 0.8 meets with chance
     0.9997.  Paragraphs under ``width`` words are passed over; a passage has
     at least ``passage`` words.  Under a band with over ``dense`` members,
-    pairs are compared in blocks of ``block`` members.
+    pairs are compared in blocks of ``block`` members.  Word for word, windows
+    of ``passage`` words meet by their smallest gram of ``gram`` words.
     """
 
     width: int = 5
@@ -43,6 +51,7 @@ class Settings:
     passage: int = 50
     dense: int = 16
     block: int = 256
+    gram: int = 25
 
 
 def _lines(text: str | None, least: int) -> Iterator[tuple[int, int, list[bytes]]]:
@@ -60,6 +69,10 @@ def paragraph_name(ws: list[bytes]) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(ws))
 
 
+def text_name(text: str | None) -> int:
+    return xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 def _long(values) -> np.ndarray:
     return np.array(values, dtype=np.uint64).view(np.int64)
 
@@ -87,27 +100,28 @@ def minhash_bands(counts: np.ndarray, hashes: np.ndarray, s: Settings) -> np.nda
 
 
 def paragraphs(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """``uid, doc_id, at, start, end, n_words, pid, bands`` of every paragraph; ``uid`` numbers the rows of ``docs``."""
+    """``uid, text_id, doc_id, at, start, end, n_words, pid, bands`` of every paragraph; ``uid`` numbers the rows of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = WordHashes()
         uid = TaskContext.get().partitionId() << 40
-        names = ["uid", "doc_id", "at", "start", "end", "n_words", "pid", "bands"]
+        names = ["uid", "text_id", "doc_id", "at", "start", "end", "n_words", "pid", "bands"]
         for b in batches:
             rows: list[tuple] = []
             flat: list[int] = []
 
             def part() -> pa.RecordBatch:
                 cols = list(zip(*rows))
-                counts = np.array(cols[5], dtype=np.int64)
+                counts = np.array(cols[6], dtype=np.int64)
                 keys = minhash_bands(counts, np.array(flat, dtype=np.uint64), s).view(np.int64)
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, s.bands, dtype=np.int32)), pa.array(keys.ravel()))
-                return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds)), pa.array(_long(cols[6])), bands], names)
+                return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds)), pa.array(_long(cols[7])), bands], names)
 
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own = text_name(text)
                 for n, (start, end, ws) in enumerate(_lines(text, s.width)):
-                    rows.append((uid, doc_id, n, start, end, len(ws), paragraph_name(ws)))
+                    rows.append((uid, own, doc_id, n, start, end, len(ws), paragraph_name(ws)))
                     flat += [seen[w] for w in ws]
                     if len(flat) > 1 << 20:
                         yield part()
@@ -117,7 +131,7 @@ def paragraphs(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
                 yield part()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "uid long, doc_id long, at int, start long, end long, n_words int, pid long, bands array<long>"
+        run, "uid long, text_id long, doc_id long, at int, start long, end long, n_words int, pid long, bands array<long>"
     )
 
 
@@ -260,8 +274,12 @@ def repeated_paragraphs(docs: DataFrame, settings: Settings = Settings(), scratc
     a null doc_id is given out as null; other columns are not read; an empty
     table gives no row.
     """
-    s = settings
-    scratch = scratch or Scratch(docs.sparkSession, "repeats")
+    found = _found_lines(docs, settings, scratch or Scratch(docs.sparkSession, "repeats"))
+    return found.select(*_COLUMNS)
+
+
+def _found_lines(docs: DataFrame, s: Settings, scratch: Scratch) -> DataFrame:
+    """``_COLUMNS`` and ``text_id`` of the paragraphs of repeated passages."""
     rows = scratch.put(paragraphs(docs, s))
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("uid"), F.col("at"), F.col("start"))
     known = scratch.put(rows.groupBy("pid").agg(F.first("bands").alias("bands"), F.min(place).alias("first"), F.min("uid").alias("low"), F.max("uid").alias("high")))
@@ -273,25 +291,209 @@ def repeated_paragraphs(docs: DataFrame, settings: Settings = Settings(), scratc
     alone = known.join(roots, known["pid"] == roots["u"], "left_anti").where("low <> high").select("pid", "first")
     several = near.select("pid", "root").join(groups.where("low <> high").select("root", "first"), "root").select("pid", "first")
     repeated = scratch.put(alone.union(several))
-    found = rows.select("uid", "doc_id", "at", "start", "end", "n_words", "pid").join(repeated, "pid")
+    found = rows.select("uid", "text_id", "doc_id", "at", "start", "end", "n_words", "pid").join(repeated, "pid")
     by_doc = Window.partitionBy("uid").orderBy("at")
     found = found.withColumn("run", F.col("at") - F.row_number().over(by_doc))
     found = found.withColumn("total", F.sum("n_words").over(Window.partitionBy("uid", "run"))).where(F.col("total") >= s.passage)
     removed = ~((F.col("uid") == F.col("first.uid")) & (F.col("at") == F.col("first.at")))
-    return found.select("doc_id", "start", "end", "n_words", F.col("first.doc_id").alias("class_doc_id"), F.col("first.start").alias("class_start"), removed.alias("removed"))
+    return found.select("text_id", "doc_id", "start", "end", "n_words", F.col("first.doc_id").alias("class_doc_id"), F.col("first.start").alias("class_start"), removed.alias("removed"))
+
+
+def _kept_lines(docs: DataFrame, s: Settings, scratch: Scratch) -> DataFrame:
+    """``_found_lines``, written; the tables they are made from are removed."""
+    steps = Scratch(docs.sparkSession, "repeats-lines")
+    lines = scratch.put(_found_lines(docs, s, steps))
+    steps.clear()
+    return lines
+
+
+def _least(own: np.ndarray, w: int) -> np.ndarray:
+    """The smallest of every ``w`` neighbours."""
+    size = 1
+    while 2 * size <= w:
+        own = np.minimum(own[:-size], own[size:])
+        size *= 2
+    return np.minimum(own[: len(own) - (w - size)], own[w - size :])
+
+
+def _window_marks(hashes: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """For every window of ``s.passage`` words: its smallest gram, its own hash."""
+    k, n = min(s.gram, s.passage), len(hashes) - s.passage + 1
+    own = grams(hashes, k)
+    whole = own[:n].copy()
+    for at in [*range(k, s.passage - k, k), s.passage - k]:
+        whole = whole * np.uint64(0x9E3779B97F4A7C15) + own[at : at + n]
+    return _least(own, s.passage - k + 1), whole ^ (whole >> np.uint64(32))
+
+
+def word_spans(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes (64 bits, of the letters and their places), starts and ends (code points) of the words of a text, in the order of ``words``."""
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    folded = _FOLDED[raw]
+    solid = folded != 0x20
+    edge = np.diff(np.concatenate([[False], solid, [False]]).astype(np.int8))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64), starts, ends
+    size = ends - starts
+    begins = np.cumsum(size) - size
+    powers = np.full(int(size.max()), 0x9E3779B97F4A7C15, dtype=np.uint64).cumprod(dtype=np.uint64)
+    letters = _LETTERS[folded[solid]] * powers[np.arange(int(size.sum())) - np.repeat(begins, size)]
+    hashes = np.add.reduceat(letters, begins)
+    hashes ^= hashes >> np.uint64(32)
+    hashes *= np.uint64(0xBF58476D1CE4E5B9)
+    place = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    return hashes ^ (hashes >> np.uint64(29)), place[starts], place[ends]
+
+
+def _filters(rows: DataFrame) -> list[bytes]:
+    """Two bit filters of ``hash``, by different bits of it."""
+    return [bit_filter(rows, "hash"), bit_filter(rows.select(F.shiftrightunsigned("hash", 24).alias("hash")), "hash")]
+
+
+def _passes(filters: list[bytes]):
+    """The test of an array of hashes against ``_filters``."""
+    flags = [np.unpackbits(np.frombuffer(bits, dtype=np.uint8), bitorder="little").view(bool) for bits in filters]
+    mask = np.uint64(len(flags[0]) - 1)
+    return lambda x: flags[0][(x & mask).astype(np.int64)] & flags[1][(x >> np.uint64(24) & mask).astype(np.int64)]
+
+
+def _shared_marks(docs: DataFrame, s: Settings) -> DataFrame:
+    """``hash``: the smallest grams of windows that occur in two rows of ``docs``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uid = TaskContext.get().partitionId() << 40
+        for b in batches:
+            hashes, uids = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+            for text in b.column(0).to_pylist():
+                own = word_spans(text)[0]
+                if len(own) >= s.passage:
+                    hashes.append(np.unique(_window_marks(own, s)[0]))
+                    uids.append(np.full(len(hashes[-1]), uid))
+                uid += 1
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(uids))], ["hash", "uid"])
+
+    marks = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "hash long, uid long")
+    return marks.groupBy("hash").agg(F.min("uid").alias("low"), F.max("uid").alias("high")).where("low <> high").select("hash")
+
+
+_PIECE = "uid long, text_id long, doc_id long, at long, hashes array<long>, starts array<long>, ends array<long>"
+
+
+def _pieces(docs: DataFrame, filters: list[bytes], s: Settings) -> DataFrame:
+    """``_PIECE``: neighbouring windows that other rows may have; ``at`` numbers the words, ``starts`` and ``ends`` are theirs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uid = TaskContext.get().partitionId() << 40
+        passes = _passes(filters)
+        for b in batches:
+            rows: list[tuple] = []
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                hashes, starts, ends = word_spans(text)
+                uid += 1
+                if len(hashes) < s.passage:
+                    continue
+                marks, whole = _window_marks(hashes, s)
+                kept = passes(marks)
+                edge = np.diff(np.concatenate([[False], kept, [False]]).astype(np.int8))
+                if kept.any():
+                    own = text_name(text)
+                    for lo, hi in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
+                        upto = hi + s.passage - 1
+                        rows.append((uid, own, doc_id, lo, whole[lo:hi].view(np.int64), starts[lo:upto], ends[lo:upto]))
+            cols = list(zip(*rows)) if rows else [()] * 7
+            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["uid", "text_id", "doc_id", "at", "hashes", "starts", "ends"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _PIECE)
+
+
+_WINDOW = "hash long, uid long, doc_id long, at long, start long, end long"
+
+
+def _windows(pieces: DataFrame, s: Settings, filters: list[bytes] | None = None) -> DataFrame:
+    """``_WINDOW`` of the windows that the bit filters let through; without them, of those with a word outside the ``lines`` of the piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = filters and _passes(filters)
+        for b in batches:
+            parts: list[np.ndarray] = []
+            names: list[tuple] = []
+            for r in range(b.num_rows):
+                get = lambda c: b.column(c)[r].values.to_numpy()  # noqa: B023, E731
+                hashes, starts, ends = get("hashes"), get("starts"), get("ends")
+                if passes:
+                    kept = np.flatnonzero(passes(hashes.view(np.uint64)))
+                else:
+                    lines = b.column("lines")[r].as_py() or []
+                    begins, stops = (np.array([x[c] for x in lines], dtype=np.int64) for c in ("start", "end"))
+                    line = np.searchsorted(begins, starts, side="right") - 1
+                    outside = (line < 0) | (starts >= stops[line]) if lines else np.ones(len(starts), dtype=bool)
+                    sums = np.concatenate([[0], np.cumsum(outside)])
+                    kept = np.flatnonzero(sums[s.passage :] > sums[: len(hashes)])
+                parts.append(np.stack([hashes[kept], kept + b.column("at")[r].as_py(), starts[kept], ends[kept + s.passage - 1]]))
+                names.append((b.column("uid")[r].as_py(), b.column("doc_id")[r].as_py()))
+            hashes, at, start, end = np.concatenate([np.zeros((4, 0), dtype=np.int64), *parts], axis=1)
+            times = pa.array(np.repeat(np.arange(len(parts)), [x.shape[1] for x in parts]).astype(np.int64))
+            uids, docs = (pa.array([x[c] for x in names], pa.int64()).take(times) for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), uids, docs, pa.array(at), pa.array(start), pa.array(end)], ["hash", "uid", "doc_id", "at", "start", "end"])
+
+    return pieces.mapInArrow(run, _WINDOW)
+
+
+def _found_runs(docs: DataFrame, lines: DataFrame, s: Settings, scratch: Scratch) -> DataFrame:
+    """``_COLUMNS`` of the runs of at least ``s.passage`` words with a word outside ``lines`` that another row has word for word."""
+    pieces = scratch.put(_pieces(docs, _filters(scratch.put(_shared_marks(docs, s))), s))
+    known = lines.groupBy("text_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("lines"))
+    asked = scratch.put(_windows(pieces.join(known, "text_id", "left"), s))
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("uid"), F.col("at"), F.col("start"))
+    met = _windows(pieces, s, _filters(asked)).groupBy("hash").agg(F.min(place).alias("first"), F.min("uid").alias("low"), F.max("uid").alias("high"))
+    found = asked.join(met.where("low <> high").select("hash", "first"), "hash")
+    # Windows one word apart whose first occurrences are one word apart as well make up a run.
+    found = found.withColumn("apart", F.col("first.at") - F.col("at"))
+    by_word = Window.partitionBy("uid", "first.uid", "apart").orderBy("at")
+    found = found.withColumn("run", F.col("at") - F.row_number().over(by_word))
+    runs = found.groupBy("uid", F.col("first.uid").alias("class_uid"), "apart", "run").agg(
+        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), (F.count("*") + s.passage - 1).cast("int").alias("n_words"), F.first("first.doc_id").alias("class_doc_id"), F.min("first.start").alias("class_start")
+    )
+    return runs.withColumn("removed", ~((F.col("uid") == F.col("class_uid")) & (F.col("apart") == 0))).select(*_COLUMNS)
+
+
+def repeated_passages(docs: DataFrame, settings: Settings = Settings(), scratch: Scratch | None = None) -> DataFrame:
+    """``repeated_paragraphs``, and a row for every run of words that they leave out.
+
+    Such a run has at least ``passage`` words (of any lines, short ones
+    included), stands word for word in another row of ``docs``, wherever its
+    lines begin and end, and is given from its first to its last word as far as
+    its windows of ``passage`` words have a word outside the given paragraphs.
+    ``class_doc_id`` and ``class_start`` name the first occurrence of its words
+    in the order of ``repeated_paragraphs``; where that changes within a run, a
+    new row begins, and the two rows overlap.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "repeats")
+    lines = _kept_lines(docs, settings, scratch)
+    return lines.select(*_COLUMNS).union(_found_runs(docs, lines, settings, scratch))
 
 
 def without_repeats(docs: DataFrame, settings: Settings = Settings(), scratch: Scratch | None = None) -> DataFrame:
-    """``docs`` with the removed paragraphs cut out of ``text``; rows and columns stay.
+    """``docs`` with the removed paragraphs and runs of words cut out of ``text``; rows and columns stay.
+
+    A paragraph goes with the line break behind it.
 
     Rows share the cuts of their doc_id, so doc_ids must be unique; rows
     without a doc_id stay whole.
     """
-    found = repeated_paragraphs(docs, settings, scratch).where("removed and doc_id is not null")
+    scratch = scratch or Scratch(docs.sparkSession, "repeats")
+    lines = _kept_lines(docs, settings, scratch)
+    found = lines.select("doc_id", "start", (F.col("end") + 1).alias("end"), "removed").union(_found_runs(docs, lines, settings, scratch).select("doc_id", "start", "end", "removed"))
+    found = found.where("removed and doc_id is not null")
+    # Runs overlap each other and lines: a cut begins where the one before it ends.
+    before = Window.partitionBy("doc_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("start", F.greatest("start", F.coalesce(F.max("end").over(before), "start"))).where("start < end")
     cuts = found.groupBy(F.col("doc_id").alias("__drawlog_id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__drawlog_cuts"))
     joined = docs.join(cuts, docs["doc_id"] == cuts["__drawlog_id"], "left")
     spots = F.col("__drawlog_cuts")
-    begins = F.concat(F.array(F.lit(0).cast("long")), F.transform(spots, lambda c: c["end"] + 1))
+    begins = F.concat(F.array(F.lit(0).cast("long")), F.transform(spots, lambda c: c["end"]))
     ends = F.concat(F.transform(spots, lambda c: c["start"]), F.array(F.length("text").cast("long")))
     kept = F.array_join(F.zip_with(begins, ends, lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))), "")
     return joined.withColumn("text", F.when(spots.isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)

@@ -54,6 +54,10 @@ class Scratch:
             if path:
                 self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
 
+    def clear(self) -> None:
+        """Remove all written tables, once nothing reads them any more."""
+        self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.root), True)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

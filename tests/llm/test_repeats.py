@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 import brute
@@ -52,3 +53,51 @@ def test_forest_spans_its_links():
     offsets = np.cumsum([0, *map(len, sets)])
     u, v = repeats.forest(np.arange(5), np.ones(5, dtype=bool), offsets, np.concatenate(sets), 0.8)
     assert sorted(zip(u, v)) == [(0, 1), (0, 4), (2, 3)]
+
+
+def places(text):
+    return [(m.start(), m.end()) for m in re.finditer(r"[0-9A-Za-z\x80-\U0010ffff]+", text or "")]
+
+
+def shared_words(docs, passage=50):
+    """(row, word) of every word in a window of ``passage`` words that another row has as well."""
+    seen, own = {}, [brute.item_words(t) for _, t in docs]
+    for uid, ws in enumerate(own):
+        for i in range(len(ws) - passage + 1):
+            seen.setdefault(tuple(ws[i : i + passage]), set()).add(uid)
+    return {(uid, i + j) for uid, ws in enumerate(own) for i in range(len(ws) - passage + 1) if len(seen[tuple(ws[i : i + passage])]) > 1 for j in range(passage)}
+
+
+def covered_words(docs, found):
+    spans = {}
+    for r in found:
+        spans.setdefault(r[0], []).append((r[1], r[2]))
+    return {(uid, n) for uid, (d, t) in enumerate(docs) for n, (a, b) in enumerate(places(t)) if any(x <= a and b <= y for x, y in spans.get(d, ()))}
+
+
+def test_passages_off_the_lines(make_docs):
+    rng = random.Random(3)
+    own = lambda n: " ".join(f"o{rng.randrange(10**9)}" for _ in range(n))
+    p = [f"é{i}" for i in range(60)]
+    inside = " ".join(p)
+    short = "\n".join(" ".join(p[i : i + 3]) for i in range(0, 60, 3))
+    docs = [(1, f"{own(30)} {inside} {own(30)}"), (2, f"{own(9)}\n{own(7)} {inside[:150]}\n{inside[150:]} {own(8)}"), (3, f"{own(20)}\n{short}\n{own(5)}"), (4, f"{own(40)} {' '.join(p[:49])} {own(40)}"), (None, f"{own(3)} {' '.join(p[5:55])} x"), (6, None)]
+    got = list(map(tuple, repeats.repeated_passages(make_docs(docs)).collect()))
+    assert covered_words(docs, got) == shared_words(docs)
+    assert {(r[0], r[3], r[4], r[6]) for r in got} == {(1, 60, 1, False), (2, 60, 1, True), (3, 60, 1, True), (None, 50, 1, True)}
+    named = [d for d in docs if d[0]]
+    out = {r.doc_id: r.text for r in repeats.without_repeats(make_docs(named)).collect()}
+    assert out[1] == docs[0][1] and out[4] == docs[3][1] and "é" not in out[2] + out[3]
+    assert len(brute.item_words(out[2])) == 24 and len(brute.item_words(out[3])) == 25
+
+
+def test_all_shared_words_of_the_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    assert len({d for d, _ in rows}) == len(rows)
+    got = list(map(tuple, repeats.repeated_passages(docs).collect()))
+    lines = list(brute.repeated_paragraphs(rows))
+    want = shared_words(rows)
+    assert want - covered_words(rows, lines)  # what lines leave out
+    assert want <= covered_words(rows, got)
+    assert covered_words(rows, got) == want | covered_words(rows, lines)
