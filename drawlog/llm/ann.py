@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from drawlog.llm.scratch import Scratch
 
+_HELD = 1 << 20  # probes that a task gives out at once
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -27,8 +29,9 @@ class Settings:
     ``width`` and ``slots`` cut each projection (outer slots are open);
     ``bucket`` is the mean size of a bucket the number of hashes aims at;
     ``sample`` bounds the vectors from which the likely cosine of a neighbour
-    is taken; ``unit`` bounds the vectors and the queries that one step
-    compares at once.
+    is taken; ``most_probes`` is how many buckets are ranked at first, four
+    times as many each time that they do not hold the target; ``unit`` bounds
+    the vectors and the queries that one step compares at once.
     """
 
     tables: int = 2
@@ -77,13 +80,18 @@ class Index:
         spread = math.sqrt(max(1.0 - self.likely**2, 1e-4)) * np.linalg.norm(self.directions[table], axis=1)[:, None] / math.sqrt(len(unit))
         z = (inner - self.likely * at[:, None]) / (spread * math.sqrt(2))
         below = np.array([[0.0, *(0.5 + 0.5 * math.erf(x) for x in row), 1.0] for row in z])
-        chance, code = np.ones(1), np.zeros(1, dtype=np.int64)
-        for p in np.maximum(np.diff(below, axis=1), 1e-300):
-            chance = (chance[:, None] * p).ravel()
-            code = (code[:, None] * s.slots + np.arange(s.slots)).ravel()
-            if len(chance) > s.most_probes:
-                best = np.argpartition(-chance, s.most_probes)[: s.most_probes]
-                chance, code = chance[best], code[best]
+        most = s.most_probes
+        while True:
+            chance, code = np.ones(1), np.zeros(1, dtype=np.int64)
+            for p in np.maximum(np.diff(below, axis=1), 1e-300):
+                chance = (chance[:, None] * p).ravel()
+                code = (code[:, None] * s.slots + np.arange(s.slots)).ravel()
+                if len(chance) > most:
+                    best = np.argpartition(-chance, most)[:most]
+                    chance, code = chance[best], code[best]
+            if chance.sum() >= s.success or most >= s.slots ** len(below):
+                break
+            most *= 4
         order = np.lexsort((code, -chance))
         return code[order[: int(np.searchsorted(np.cumsum(chance[order]), s.success)) + 1]]
 
@@ -169,7 +177,11 @@ def _keys(classes: DataFrame, index: Index, dim: int, scratch: Scratch) -> DataF
                 continue
             cids, asked = b.column(0).to_numpy(), b.column(2).to_numpy(zero_copy_only=False).astype(bool)
             unit = _unit(_matrix(b.column(1), dim))
-            bucket, probe, row = [], [], []
+            bucket, probe, row, held = [], [], [], 0
+
+            def part() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(bucket)), pa.array(np.concatenate(probe)), pa.array(cids[np.concatenate(row)])], ["bucket", "probe", "cid"])
+
             for t in range(len(index.directions)):
                 bucket.append(index.buckets(unit, t) + t * width)
                 row.append(np.arange(len(unit)))
@@ -179,8 +191,12 @@ def _keys(classes: DataFrame, index: Index, dim: int, scratch: Scratch) -> DataF
                     bucket.append(visit)
                     row.append(np.full(len(visit), i))
                     probe.append(np.ones(len(visit), dtype=bool))
-            row = np.concatenate(row)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bucket)), pa.array(np.concatenate(probe)), pa.array(cids[row])], ["bucket", "probe", "cid"])
+                    held += len(visit)
+                    if held > _HELD:
+                        yield part()
+                        bucket, probe, row, held = [], [], [], 0
+            if row:
+                yield part()
 
     return scratch.put(classes.select("cid", "vec", "asked").mapInArrow(run, "bucket long, probe boolean, cid long"))
 

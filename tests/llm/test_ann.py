@@ -1,3 +1,4 @@
+import dataclasses
 import math
 
 import numpy as np
@@ -73,3 +74,19 @@ def test_probes_come_in_order_of_success():
     place = {c: n for n, c in enumerate(codes.tolist())}
     ranks = [place[c] for c in index.buckets(near / np.linalg.norm(near, axis=1)[:, None], 0).tolist()]
     assert np.mean(np.array(ranks) < len(codes) // 4) > 0.8
+
+
+def test_probes_reach_the_target_on_a_large_table():
+    rng = np.random.default_rng(4)
+    index = ann.build_index(rng.standard_normal((200, 64)), 200_000_000, ann.Settings())
+    index = dataclasses.replace(index, likely=0.3)
+    assert index.directions.shape[1] == 10
+    held = []
+    for _ in range(6):
+        u = rng.standard_normal(64)
+        u /= np.linalg.norm(u)
+        side = rng.standard_normal((4000, 64))
+        side -= (side @ u)[:, None] * u
+        near = 0.3 * u + math.sqrt(1 - 0.09) * side / np.linalg.norm(side, axis=1)[:, None]
+        held.append(np.isin(index.buckets(near, 0), index.probes(u, 0)).mean())
+    assert np.mean(held) >= 0.68
