@@ -3,7 +3,9 @@
 Unit vectors are projected on Gaussian directions and cut into slots; a table's
 bucket is the tuple of its slots.  A query visits buckets in the order of the
 chance that they hold a near neighbour, until that chance reaches a target, in
-each of a few tables; what it meets is ranked by the exact cosine.
+each of a few tables; what it meets is ranked by the exact cosine.  A query that meets
+too few vectors, or only such as are farther than a neighbour was taken to be,
+visits further buckets for the distance it has found, in the end all of them.
 """
 
 from __future__ import annotations
@@ -66,19 +68,20 @@ class Index:
             code = code * self.settings.slots + column
         return code
 
-    def probes(self, unit: np.ndarray, table: int) -> np.ndarray:
+    def probes(self, unit: np.ndarray, table: int, near: float | None = None) -> np.ndarray:
         """Buckets to visit for one vector, likeliest first.
 
-        A neighbour's projection is normal around ``likely`` times the
+        A neighbour's projection is normal around ``near`` (``likely`` if not given) times the
         query's, so each hash gives its slots' chances, and the best products
         are built hash by hash (the best ``n`` tuples extend the best ``n``
         shorter ones).
         """
         s = self.settings
+        near = self.likely if near is None else near
         at = self.directions[table] @ unit
         inner = (np.arange(1, s.slots) - s.slots // 2) * s.width - self.offsets[table][:, None]
-        spread = math.sqrt(max(1.0 - self.likely**2, 1e-4)) * np.linalg.norm(self.directions[table], axis=1)[:, None] / math.sqrt(len(unit))
-        z = (inner - self.likely * at[:, None]) / (spread * math.sqrt(2))
+        spread = math.sqrt(max(1.0 - near**2, 1e-4)) * np.linalg.norm(self.directions[table], axis=1)[:, None] / math.sqrt(len(unit))
+        z = (inner - near * at[:, None]) / (spread * math.sqrt(2))
         below = np.array([[0.0, *(0.5 + 0.5 * math.erf(x) for x in row), 1.0] for row in z])
         most = s.most_probes
         while True:
@@ -135,7 +138,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_column: str = "vec_id",
     vectors with a null or non-finite component take no part, nor do vectors of
     another length than the most common one; a row repeated with the same id
     and vector counts once; an empty table gives no row; other columns are not
-    read.  Equal vectors are one entry with its ``k + 1`` smallest ids, so
+    read.  A query that at first finds fewer than ``k``, or a ``k``-th one
+    farther than the likely cosine, searches on for its own distance; with
+    fewer than ``k`` it sees all vectors.  Equal vectors are one entry with its ``k + 1`` smallest ids, so
     copies cost nothing and lose nothing.  Buckets with more vectors or
     queries than ``settings.unit`` are compared in blocks.
     """
@@ -155,10 +160,11 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_column: str = "vec_id",
     classes = scratch.put(ids.join(asked, "vec").select(F.col("ids")[0].alias("cid"), "ids", "vec", "asked"))
     some = classes.orderBy(F.xxhash64("cid"), "cid").limit(settings.sample).select("vec").collect()
     index = build_index(np.array([r["vec"] for r in some]), sizes["n"], settings, k)
-    met = _meet(_keys(classes, index, dim, scratch), classes, index, dim, k, scratch)
-    best = met.groupBy("qid", "cid").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")
-    best = best.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k + 1).drop("nth")
+    keys = _keys(classes, index, dim, scratch)
+    best = scratch.put(_best(_meet(keys, classes, index, dim, k, scratch), k))
+    far = scratch.put(_far(best, classes, index, k))
+    if not far.isEmpty():
+        best = _best(best.union(_meet(_further(far, keys, index, dim, scratch), classes, index, dim, k, scratch)), k)
     found = best.join(classes.select("cid", "ids"), "cid").select("qid", "score", F.explode("ids").alias("vec_id"))
     queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "vec").distinct()
     queries = queries.join(classes.where("asked").select("vec", F.col("cid").alias("qid")), "vec").select("query_id", "qid")
@@ -167,6 +173,44 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_column: str = "vec_id",
     return out.select("query_id", "rank", "vec_id", "score")
 
 
+def _best(met: DataFrame, k: int) -> DataFrame:
+    """The ``k + 1`` nearest of what every query met, itself included."""
+    best = met.groupBy("qid", "cid").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")
+    return best.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k + 1).drop("nth")
+
+
+def _far(best: DataFrame, classes: DataFrame, index: Index, k: int) -> DataFrame:
+    """``cid, vec, near``: queries whose ``k``-th neighbour so far has a cosine ``near`` below the likely one; null if they have met fewer."""
+    upto = Window.partitionBy("qid").orderBy(F.desc("score"), "cid").rowsBetween(Window.unboundedPreceding, 0)
+    sized = best.join(classes.select("cid", F.size("ids").alias("n")), "cid").withColumn("upto", F.sum("n").over(upto))
+    kth = sized.where(F.col("upto") > k).groupBy(F.col("qid").alias("cid")).agg(F.max("score").alias("near"))
+    asked = classes.where("asked").select("cid", "vec").join(kth, "cid", "left")
+    return asked.where(F.col("near").isNull() | (F.col("near") < index.likely))
+
+
+def _further(far: DataFrame, keys: DataFrame, index: Index, dim: int, scratch: Scratch) -> DataFrame:
+    """``_keys`` of a second visit: buckets for each query's own ``near``, all of one table where that is null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = index.settings.slots ** index.directions.shape[1]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cids, nears = b.column(0).to_numpy(), b.column(2).to_pylist()
+            for cid, u, near in zip(cids, _unit(_matrix(b.column(1), dim)), nears):
+                for t in range(1 if near is None else len(index.directions)):
+                    visit = np.arange(width) if near is None else index.probes(u, t, near) + t * width
+                    for at in range(0, len(visit), _HELD):
+                        some = visit[at : at + _HELD]
+                        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.ones(len(some), dtype=bool)), pa.array(np.full(len(some), cid))], ["bucket", "probe", "cid"])
+
+    held = keys.where("not probe")
+    visits = far.mapInArrow(run, "bucket long, probe boolean, cid long").join(held.select("bucket").distinct(), "bucket", "left_semi")
+    visits = scratch.put(visits)
+    return scratch.put(visits.union(held.join(visits.select("bucket").distinct(), "bucket", "left_semi")))
+
+
 def _keys(classes: DataFrame, index: Index, dim: int, scratch: Scratch) -> DataFrame:
     """``bucket, probe, cid``: every vector under its bucket of each table, every query under each bucket it visits."""
 

@@ -90,3 +90,26 @@ def test_probes_reach_the_target_on_a_large_table():
         near = 0.3 * u + math.sqrt(1 - 0.09) * side / np.linalg.norm(side, axis=1)[:, None]
         held.append(np.isin(index.buckets(near, 0), index.probes(u, 0)).mean())
     assert np.mean(held) >= 0.68
+
+
+def test_recall_beside_clusters(spark):
+    """Tight clusters set the likely cosine; queries that stand alone are found their neighbours as well."""
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((40, 32))
+    rows = [(i + 1 + i // 49, (centres[i % 40] + 0.25 * rng.standard_normal(32)).tolist()) for i in range(20_000)]
+    alone = [(50 * (i + 1) + 10**6, rng.standard_normal(32).tolist()) for i in range(60)]
+    want, got = exact(rows + alone, 5, lambda i: i > 10**6), found(table(spark, rows + alone))
+    hits = sum(len({i for i, _ in want[q]} & {i for i, _ in got.get(q, [])}) for q in want)
+    assert hits / sum(map(len, want.values())) >= 0.85
+    assert all(len(got[q]) == 5 for q in want)
+
+
+def test_small_tables_whole(spark):
+    rng = np.random.default_rng(7)
+    for n in (2, 6, 10):
+        rows = [(50 * i, rng.standard_normal(8).tolist()) for i in range(n)]
+        got = found(table(spark, rows))
+        assert {q: len(x) for q, x in got.items()} == {i: min(5, n - 1) for i, _ in rows}
+        if n <= 6:
+            want = exact(rows, 5, lambda i: True)
+            assert {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in want.items()}
