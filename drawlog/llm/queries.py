@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawlog.llm import ann, chat, decontaminate, oracle, pack, pii, quality, repeats, secret_scan, simhash, urls
+from drawlog.llm import ann, chat, decontaminate, oracle, pack, pii, quality, repeats, secret_scan, simhash, spelling, urls
 from drawlog.llm.scratch import table
 
 
@@ -61,5 +61,9 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows.unionByName(own)))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_url_filters, op3_quality, op4_simhash, op5_secrets, op6_decontamination, op7_packing, op8_repeats, op9_neighbours, op10_chat)}
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_url_filters, op3_quality, op4_simhash, op5_secrets, op6_decontamination, op7_packing, op8_repeats, op9_neighbours, op10_chat, op13_spelling)}
 ORACLE = oracle.ORACLE
