@@ -103,4 +103,14 @@ _CHAT = """
            sum(size)::BIGINT AS formatted_chars
     FROM e GROUP BY conv_id"""
 
-ORACLE = {"op1_pii": _pii(), "op2_url_filters": _urls(), "op6_decontamination": _DECONTAMINATION, "op10_chat": _CHAT}
+_TOPK = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS w FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, max(list_inner_product(q.w, v.w))::BIGINT AS score
+  FROM v AS q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id GROUP BY ALL)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+QUALIFY rank <= 5"""
+
+ORACLE = {"op1_pii": _pii(), "op2_url_filters": _urls(), "op6_decontamination": _DECONTAMINATION, "op10_chat": _CHAT, "op12_topk": _TOPK}

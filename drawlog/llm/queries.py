@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawlog.llm import ann, chat, decontaminate, oracle, pack, pii, quality, repeats, secret_scan, simhash, spelling, urls
+from drawlog.llm import align, ann, chat, decontaminate, oracle, pack, pii, quality, repeats, secret_scan, simhash, spelling, topk, urls
 from drawlog.llm.scratch import table
 
 
@@ -61,9 +61,17 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows.unionByName(own)))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"))
+
+
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_inner(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_url_filters, op3_quality, op4_simhash, op5_secrets, op6_decontamination, op7_packing, op8_repeats, op9_neighbours, op10_chat, op13_spelling)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_url_filters, op3_quality, op4_simhash, op5_secrets, op6_decontamination, op7_packing, op8_repeats, op9_neighbours, op10_chat, op11_alignment, op12_topk, op13_spelling)}
 ORACLE = oracle.ORACLE
