@@ -74,15 +74,21 @@ def pack_postings(pair: np.ndarray, doc: np.ndarray, times: np.ndarray, chunk: i
     heads = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))) if len(pair) else np.zeros(0, dtype=np.int64)
     n = np.diff(np.append(heads, len(pair)))
     links = np.add.reduceat(times, heads) if len(heads) else np.zeros(0, dtype=np.int64)
-    lone, small = n == 1, doc.astype("<u2").tobytes()
-    bitmaps, planes = [], []
-    for b, m, alone, t in zip(heads.tolist(), n.tolist(), lone.tolist(), times[heads].tolist()):
-        if alone:  # most pairs: one document, each plane one byte
-            bitmaps.append(small[2 * b : 2 * b + 2])
-            planes.append(b"".join(b"\x80" if t >> p & 1 else b"\x00" for p in range(t.bit_length())))
-        else:
-            bitmaps.append(pack_docs(doc[b : b + m], chunk))
-            planes.append(pack_planes(times[b : b + m]))
+    small, end = doc.astype("<u2").tobytes(), np.append(heads[1:], len(pair))
+    sparse = 2 * n < -(-chunk // 8)
+    bitmaps = [small[2 * b : 2 * e] if s or e - b == 1 else pack_docs(doc[b:e], chunk) for b, e, s in zip(heads.tolist(), end.tolist(), sparse.tolist())]
+    # A plane of all pairs at once, each pair's bits beginning at a byte of its own.
+    size = -(-n // 8)
+    first = np.cumsum(size) - size
+    place = np.repeat(first * 8 - heads, n) + np.arange(len(pair))
+    planes = [b""] * len(heads)
+    most = np.maximum.reduceat(times, heads) if len(heads) else np.zeros(0, dtype=np.int64)
+    for p in range(int(most.max(initial=0)).bit_length()):
+        bits = np.zeros(8 * int(size.sum()), dtype=np.uint8)
+        bits[place] = times >> p & 1
+        plane = np.packbits(bits).tobytes()
+        for i in np.flatnonzero(most >> p).tolist():
+            planes[i] += plane[first[i] : first[i] + size[i]]
     return pair[heads], n, bitmaps, planes, links
 
 
@@ -117,6 +123,20 @@ def merge_postings(parts: list[tuple], chunk: int) -> tuple[np.ndarray, np.ndarr
 # ---------------------------------------------------------------- one text
 
 
+def _laid_out(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths and places of the tokens' bytes in one array."""
+    length = np.array([len(x) for x in tokens], dtype=np.int64)
+    return length, np.cumsum(length) - length, np.frombuffer(b"".join(tokens), dtype=np.uint8)
+
+
+def _same(whole: np.ndarray, size: np.ndarray, begin: np.ndarray, flat: np.ndarray) -> bool:
+    """Whether tokens of these sizes, from these places, make up the text."""
+    if int(size.sum()) != len(whole):
+        return False
+    at = np.cumsum(size) - size
+    return bool((flat[np.repeat(begin - at, size) + np.arange(len(whole))] == whole).all())
+
+
 class Aligner:
     """Both tokenizers and the bytes of their tokens."""
 
@@ -138,12 +158,11 @@ class Aligner:
         for i in range(self._b.get_piece_size()):
             piece = self._b.id_to_piece(i)
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self._b.is_byte(i) else piece.replace("▁", " ").encode())
-        self._a_length = np.array([len(x) for x in self.a_bytes], dtype=np.int64)
-        self._b_length = np.array([len(x) for x in self.b_bytes], dtype=np.int64)
+        self._a_length, self._a_from, self._a_flat = _laid_out(self.a_bytes)
+        self._b_length, self._b_from, self._b_flat = _laid_out(self.b_bytes)
         self.width = len(self.b_bytes)
-        many = max(size, self.width)
-        self._many = many
-        self._written = [f"{i}{mark}" for mark in ",|;" for i in range(many)] + [str(i) for i in range(many)]
+        self._many = max(size, self.width)
+        self._written = np.array([f"{i}{mark}".encode() for mark in (",", "|", ";", "") for i in range(self._many)])
 
     def a_ids(self, text: str) -> np.ndarray:
         """The rank file is the tokenizer file's vocabulary and several times as fast; a text it refuses goes to the latter."""
@@ -162,11 +181,12 @@ class Aligner:
         """``(n_a, n_b, n_groups, n_links, sha256, pairs, times)``; None without tokens."""
         if not text:
             return None
-        whole = (" " + text).encode()
+        whole = np.frombuffer((" " + text).encode(), dtype=np.uint8)
         a, b = self.a_ids(" " + text), np.array(self._b.encode(text, num_threads=1), dtype=np.int64)
-        if not len(a) or not len(b) or b"".join(map(self.a_bytes.__getitem__, a.tolist())) != whole or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != whole:
+        a_size, b_size = self._a_length[a], self._b_length[b]
+        if not (_same(whole, a_size, self._a_from[a], self._a_flat) and _same(whole, b_size, self._b_from[b], self._b_flat)):
             return None
-        a_end, b_end = np.cumsum(self._a_length[a]), np.cumsum(self._b_length[b])
+        a_end, b_end = np.cumsum(a_size), np.cumsum(b_size)
         ends = np.intersect1d(a_end, b_end, assume_unique=True)
         a_upto, b_upto = np.searchsorted(a_end, ends, side="right"), np.searchsorted(b_end, ends, side="right")
         na, nb = np.diff(a_upto, prepend=0), np.diff(b_upto, prepend=0)
@@ -177,9 +197,9 @@ class Aligner:
         written = np.empty(len(a) + len(b), dtype=np.int64)
         written[np.arange(len(a)) + np.repeat(b_upto - nb, na)] = a + a_mark * self._many
         written[np.arange(len(b)) + np.repeat(a_upto, nb)] = b + b_mark * self._many
-        said = "".join(map(self._written.__getitem__, written.tolist()))
+        said = self._written[written].tobytes().translate(None, b"\0")  # of fixed width, filled up with zeros
         pairs, times = self._pairs(a, b, a_upto - na, b_upto - nb, na, nb)
-        return len(a), len(b), len(ends), int((na * nb).sum()), hashlib.sha256(said.encode()).hexdigest(), pairs, times
+        return len(a), len(b), len(ends), int((na * nb).sum()), hashlib.sha256(said).hexdigest(), pairs, times
 
     def _pairs(self, a: np.ndarray, b: np.ndarray, a_from: np.ndarray, b_from: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct linked pairs of a text and how often each is linked."""
