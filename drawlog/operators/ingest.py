@@ -31,21 +31,28 @@ def with_defaults(log: DataFrame) -> DataFrame:
     return out
 
 
-def joined_frames(log: DataFrame, block_rows: int | None = None) -> DataFrame:
+def joined_frames(log: DataFrame, block_rows: int | None = None, old: str | None = None) -> DataFrame:
     """One line of events for every session whose frames share a canvas or a path.
 
-    A canvas or path belongs to its session, whichever frame speaks of it.
+    A canvas or path belongs to its session, whichever frame speaks of it.  A
+    canvas is shared if events of several frames name it and one of them
+    created it; events about paths are not about a canvas.
     Sessions with such an id get the default frame and new sequence numbers, in
     the order of ``arrival`` if the log has it (else of the old numbers), then
-    frame and old number.  All other sessions stay as they are.
+    frame and old number.  All other sessions stay as they are.  ``old`` names
+    a further column for the numbers as they were.
     """
     rows = with_defaults(log)
-    ids = F.explode(F.filter(F.array(F.concat(F.lit("c"), "canvas_id"), F.concat(F.lit("p"), "path_id")), lambda i: i.isNotNull()))
-    frames = rows.where("type <> 'session_end'").select("session_id", "frame_id", ids.alias("_id")).groupBy("session_id", "_id")
-    shared = frames.agg(F.min("frame_id").alias("_a"), F.max("frame_id").alias("_z")).where("_a <> _z").select("session_id").distinct()
+    on_canvas = rows.where(~F.col("type").isin("session_end", "path_created", "path_command", "path_append"))
+    canvases = on_canvas.groupBy("session_id", F.col("canvas_id").alias("_id")).agg(
+        F.min("frame_id").alias("_a"), F.max("frame_id").alias("_z"), F.max(F.col("type") == "canvas_created").alias("_made")
+    )
+    named = rows.where(F.col("path_id").isNotNull()).groupBy("session_id", F.col("path_id").alias("_id"))
+    paths = named.agg(F.min("frame_id").alias("_a"), F.max("frame_id").alias("_z"), F.lit(True).alias("_made"))
+    shared = canvases.unionByName(paths).where("_a <> _z AND _made").select("session_id").distinct()
     shared = stage(shared, "shared")
     if shared.isEmpty():
-        return log
+        return log if old is None else log.withColumn(old, F.col("sequence"))
     order = ["arrival"] if "arrival" in log.columns else []
     mixed = rows.join(shared, "session_id", "left_semi").withColumn("_old", F.col("sequence"))
     numbered = row_numbers(
@@ -56,7 +63,9 @@ def joined_frames(log: DataFrame, block_rows: int | None = None) -> DataFrame:
         "_new",
     )
     numbered = numbered.withColumns({"sequence": F.col("_new"), "frame_id": F.lit(S.DEFAULT_FRAME)})
-    return stage(rows.join(shared, "session_id", "left_anti").unionByName(numbered.select(*rows.columns)), "joined")
+    apart = rows.join(shared, "session_id", "left_anti").withColumn("_old", F.col("sequence"))
+    out = apart.unionByName(numbered.select(*apart.columns))
+    return stage(out.withColumnRenamed("_old", old) if old else out.drop("_old"), "joined")
 
 
 def command_ok(command: Column, path_id: Column) -> Column:
@@ -393,83 +402,6 @@ def _settle_within(frames: DataFrame, sizes: DataFrame, used: DataFrame | None,
         frames = stage(frames.join(over, "batch_id", "left_anti"), "frames")
 
 
-def session_event_cap(
-    batches: DataFrame, n: int = S.MAX_SESSION_EVENTS, span: int = BLOCK_ROWS, used: DataFrame | None = None
-) -> DataFrame:
-    """Batches that fit when a session takes at most ``n`` events, in order of arrival.
-
-    A batch that does not fit leaves the count as it is, so a later, smaller
-    one may fit.  ``batches``: session_id, batch_id, arrival, new_events;
-    ``used`` (session_id, events): what sessions took before.  Adds
-    session_events, the session's count with the batch.
-
-    A round takes everything before the first batch that does not fit and
-    drops all later ones larger than the room that is left.  The room falls
-    below the size of each refused batch, so rounds are bounded by the number
-    of different sizes, whatever the number of batches.
-    """
-    cols, at = batches.columns, F.struct("arrival", "batch_id")
-    if used is None:
-        cur = batches.withColumn("_used", F.lit(0).cast("bigint"))
-    else:
-        cur = batches.join(used.select("session_id", F.col("events").alias("_used")), "session_id", "left")
-        cur = cur.withColumn("_used", F.coalesce("_used", F.lit(0).cast("bigint")))
-    taken = None
-    while True:
-        ran = running(
-            cur,
-            ["session_id"],
-            ["arrival", "batch_id"],
-            F.floor(F.col("arrival") / span),
-            {"_sum": Run("sum", F.col("new_events"))},
-        ).withColumn("session_events", (F.col("_used") + F.col("_sum")).cast("bigint"))
-        over = ran.where(F.col("session_events") > n).groupBy("session_id").agg(F.min(at).alias("_over"))
-        marked = stage(ran.join(over, "session_id", "left").drop("_sum"), "cap")
-        good = marked.where(F.col("_over").isNull() | (at < F.col("_over"))).select(*cols, "session_events")
-        taken = good if taken is None else taken.unionByName(good)
-        now = good.groupBy("session_id").agg(F.max("session_events").alias("_now"))
-        rest = marked.where(at > F.col("_over")).drop("_over", "session_events").join(now, "session_id", "left")
-        rest = rest.withColumn("_used", F.coalesce("_now", "_used")).drop("_now")
-        cur = stage(rest.where(F.col("new_events") <= n - F.col("_used")), "cap")
-        if cur.isEmpty():
-            return taken
-
-
-def _new_events(kept: DataFrame) -> DataFrame:
-    fresh = F.sum(F.greatest(F.col("hi") - F.col("reached"), F.lit(0))).cast("bigint").alias("new_events")
-    return kept.groupBy("batch_id").agg(fresh)
-
-
-def _settle_within(frames: DataFrame, sizes: DataFrame, used: DataFrame | None, n: int, span: int) -> tuple[DataFrame, DataFrame]:
-    """:func:`_settle` under the event limit: accepted (batch, frame) rows, and the batches the limit refuses.
-
-    The first accepted batch of a session that would pass the limit is refused
-    for good: all decisions before it stand.  Without it its frame stops, so
-    the rest is settled anew; a round refuses one batch in every session that
-    is over its limit.
-    """
-    batches = sizes.select("batch_id", "session_id", "arrival")
-    refused = None
-    while True:
-        kept = _settle(frames, span)
-        counted = running(
-            batches.join(_new_events(kept), "batch_id"),
-            ["session_id"],
-            ["arrival", "batch_id"],
-            F.floor(F.col("arrival") / span),
-            {"_sum": Run("sum", F.col("new_events"))},
-        )
-        if used is not None:
-            counted = counted.join(used.select("session_id", F.col("events").alias("_used")), "session_id", "left")
-            counted = counted.withColumn("_sum", F.col("_sum") + F.coalesce("_used", F.lit(0)))
-        first = counted.where(F.col("_sum") > n).groupBy("session_id")
-        over = stage(first.agg(F.min(F.struct("arrival", "batch_id")).alias("_o")).select(F.col("_o.batch_id").alias("batch_id")), "over")
-        refused = over if refused is None else refused.unionByName(over)
-        if over.isEmpty():
-            return kept, refused
-        frames = stage(frames.join(over, "batch_id", "left_anti"), "frames")
-
-
 def session_lifecycle(log: DataFrame, control: DataFrame) -> DataFrame:
     """Log rows that survive the control events of their session.
 

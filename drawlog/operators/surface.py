@@ -348,8 +348,11 @@ def state_of(surface: DataFrame) -> DataFrame:
 
 
 def surface_state(log: DataFrame) -> DataFrame:
-    """Per canvas: size, visibility, revision (events so far) and whether the session ended."""
-    rows = live_rows(joined_frames(log))
+    """Per canvas: size, visibility, revision (events so far) and whether the session ended.
+
+    ``created_at`` is the sequence number of the creating event in its own frame.
+    """
+    rows = live_rows(joined_frames(log, old="_number"))
     side = lambda c: F.coalesce(
         F.max_by(F.greatest(F.col(c), F.lit(1.0)), F.when(F.col(c).isNotNull(), F.col("sequence"))), F.lit(1.0)
     )
@@ -357,7 +360,7 @@ def surface_state(log: DataFrame) -> DataFrame:
         (F.col("type") == "canvas_visibility") & F.col("value").isin("true", "false"), F.col("sequence")
     )
     state = rows.groupBy(*S.SURFACE).agg(
-        F.min("_born").alias("created_at"),
+        F.min_by("_number", "sequence").alias("created_at"),
         side("width").alias("width"),
         side("height").alias("height"),
         F.coalesce(F.max_by(F.col("value") == "true", flag), F.lit(True)).alias("visible"),

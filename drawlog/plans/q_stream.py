@@ -19,16 +19,19 @@ _PARTS = 3
 
 
 def _deliveries(df: DataFrame, order: str) -> DataFrame:
-    """A stream of the table in ``_PARTS`` deliveries of rising ``order``."""
+    """A stream of the table in ``_PARTS`` deliveries of rising ``order``, each of as many files."""
     spark = df.sparkSession
     df = stage(df, "delivered")
     low, high = df.agg(F.min(order), F.max(order)).first()
     width = (high - low) // _PARTS + 1
     path = stage_path(spark, "stream")
+    sizes = df.groupBy(F.floor((F.col(order) - low) / width).alias("i")).count().collect()
+    # Every delivery gets so many files, and every file some rows.
+    files = max(1, min(spark.sparkContext.defaultParallelism, min(r["count"] for r in sizes) // 200))
     for i in range(_PARTS):
         part = df.where(f"{order} >= {low + i * width} AND {order} < {low + (i + 1) * width}")
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        part.repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _finish(writer, spark, name: str) -> None:

@@ -2,73 +2,131 @@
 
 from __future__ import annotations
 
-import json
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from drawlog import schema as S
 
-_INGEST_STATE = T.StructType([T.StructField("last", T.LongType()), T.StructField("held", T.StringType())])
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+_OUT = "session_id string, frame_id string, sequence long, event string, status string"
+_COLUMNS = ["session_id", "frame_id", "sequence", "event", "status"]
 
-def stream_ingest(log: DataFrame, max_pending: int | None = None) -> DataFrame:
+
+class _FrameState(StatefulProcessor):
+    """State of one (session, frame): how far it has come, and one entry for every event that waits.
+
+    ``place`` holds the last accepted sequence, the number of events that
+    wait, and a bound that none of them is below.  A micro-batch that closes
+    no gap writes its own early events and this one row, however many wait.
+    """
+
+    def __init__(self, max_pending: int | None, report_after: int | None):
+        self._most, self._patience = max_pending, report_after
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        long = T.LongType()
+        self._place = handle.getValueState("place", T.StructType([T.StructField(n, long) for n in ("last", "waiting", "lowest")]))
+        self._held = handle.getMapState("held", T.StructType([T.StructField("sequence", long)]), T.StructType([T.StructField("event", T.StringType())]))
+
+    def _rows(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(*key, *r) for r in rows], columns=_COLUMNS)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last, waiting, lowest = self._place.get() if self._place.exists() else (0, 0, 0)
+        before = last
+        early: dict[int, str] = {}  # what this micro-batch brought and no event before it has released
+        for pdf in rows:
+            for sequence, event in zip(pdf["sequence"], pdf["event"]):
+                if pd.notna(sequence) and sequence > last:
+                    early.setdefault(int(sequence), event)
+            ready = []
+            while True:
+                at = last + 1
+                # The copy that arrived first counts: what waits goes before what has just come.
+                if waiting and at >= lowest and self._held.containsKey((at,)):
+                    ready.append((at, self._held.getValue((at,))[0], "accepted"))
+                    self._held.removeKey((at,))
+                    early.pop(at, None)
+                    waiting -= 1
+                elif at in early:
+                    ready.append((at, early.pop(at), "accepted"))
+                else:
+                    break
+                last = at
+            if ready:
+                yield self._rows(key, ready)
+        lowest = max(lowest, last + 1)
+        for sequence in sorted(early):
+            if not (waiting and self._held.containsKey((sequence,))):
+                lowest = min(lowest, sequence) if waiting else sequence
+                self._held.updateValue((sequence,), (early[sequence],))
+                waiting += 1
+        if self._most is not None and waiting > self._most:
+            over = sorted(k[0] for k in self._held.keys())[self._most :]
+            yield self._rows(key, [(s, self._held.getValue((s,))[0], "overflow") for s in over])
+            for s in over:
+                self._held.removeKey((s,))
+            waiting -= len(over)
+        self._place.update((last, waiting, lowest))
+        if self._patience is not None and (last > before or not self._timed()):
+            for t in self._handle.listTimers():
+                self._handle.deleteTimer(t)
+            if waiting:
+                self._handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self._patience)
+
+    def _timed(self) -> bool:
+        return any(True for _ in self._handle.listTimers())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last, waiting, _ = self._place.get()
+        if waiting:
+            yield self._rows(key, [(last + 1, None, "missing")])
+            self._handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self._patience)
+
+    def close(self) -> None:
+        pass
+
+
+def keyed_state(spark: SparkSession) -> None:
+    """Keep streaming state in RocksDB, which writes changes only; a provider set by the user must be one that knows named states."""
+    if spark.conf.get(_PROVIDER) != _ROCKSDB:
+        spark.conf.set(_PROVIDER, _ROCKSDB)
+
+
+def stream_ingest(log: DataFrame, max_pending: int | None = None, report_after: int | None = None) -> DataFrame:
     """Accept every event of a frame once, in sequence, from an at-least-once stream.
 
-    State per (session, frame): the last accepted sequence and the events that
-    arrived ahead of a gap.  A resend is dropped; a held event is released when
-    the gap closes, however many wait.  Only where ``max_pending`` is given,
-    events beyond that number are given out with status ``overflow``, highest
-    sequences first, for a producer that resends what was not accepted.  Result: the input
-    columns as JSON in ``event``, plus session_id, frame_id, sequence, status.
+    State per (session, frame): the last accepted sequence and, one entry per
+    sequence, the events that arrived ahead of a gap.  A resend is dropped (the
+    first copy counts); a held event is released when the gap closes, however
+    many wait, and a micro-batch that closes none writes only what it brought.
+    Only where ``max_pending`` is given, events beyond that number are given
+    out with status ``overflow``, highest sequences first, for a producer that
+    resends what was not accepted; where ``report_after`` (milliseconds) is
+    given, a gap that stays open that long is reported, again and again, by a
+    row of status ``missing`` with the sequence waited for and no event.
+    Events without a sequence or with one below 1 are not taken.  Result: the
+    input columns as JSON in ``event``, plus session_id, frame_id, sequence,
+    status.  The session's state store is set to RocksDB.
     """
-    columns = log.columns
+    keyed_state(log.sparkSession)
     packed = log.select(
-        "session_id",
+        F.coalesce("session_id", F.lit("")).alias("session_id"),
         F.coalesce("frame_id", F.lit(S.DEFAULT_FRAME)).alias("frame_id"),
         "sequence",
-        F.to_json(F.struct(*columns)).alias("event"),
-    )
-    text = T.StringType()
-    out = T.StructType(
-        [
-            T.StructField("session_id", text),
-            T.StructField("frame_id", text),
-            T.StructField("sequence", T.LongType()),
-            T.StructField("event", text),
-            T.StructField("status", text),
-        ]
+        F.to_json(F.struct(*log.columns)).alias("event"),
     )
-
-    def frame(key, rows):
-        out = pd.DataFrame(rows, columns=["sequence", "event", "status"])
-        out.insert(0, "session_id", key[0])
-        out.insert(1, "frame_id", key[1])
-        return out
-
-    def step(key, batches, state):
-        last, held = 0, {}
-        if state.exists:
-            last, kept = state.get
-            held = {int(s): e for s, e in json.loads(kept).items()}
-        for pdf in batches:
-            for seq, event in zip(pdf["sequence"], pdf["event"]):
-                if pd.notna(seq) and seq > last:
-                    held.setdefault(int(seq), event)
-            ready = []
-            while last + 1 in held:
-                last += 1
-                ready.append((last, held.pop(last), "accepted"))
-            if ready:
-                yield frame(key, ready)
-        # Only what still waits after the whole micro-batch is really early.
-        if max_pending is not None and len(held) > max_pending:
-            yield frame(key, [(s, held.pop(s), "overflow") for s in sorted(held)[max_pending:]])
-        state.update((last, json.dumps(held)))
-
-    return packed.groupBy("session_id", "frame_id").applyInPandasWithState(
-        step, out, _INGEST_STATE, "append", GroupStateTimeout.NoTimeout
+    return packed.groupBy("session_id", "frame_id").transformWithStateInPandas(
+        statefulProcessor=_FrameState(max_pending, report_after),
+        outputStructType=_OUT,
+        outputMode="Append",
+        timeMode="None" if report_after is None else "ProcessingTime",
     )

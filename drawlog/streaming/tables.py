@@ -17,6 +17,7 @@ from drawlog.operators.catalog import canvas_catalog
 from drawlog.operators.feed import device_admission
 from drawlog.operators.ingest import accepted_prefix, batch_gate, with_defaults
 from drawlog.sources.staging import stage
+from drawlog.streaming.buckets import Buckets
 
 
 def _put(df: DataFrame, root: str, table: str, epoch: int) -> None:
@@ -34,57 +35,35 @@ def read_table(spark: SparkSession, root: str, table: str, schema, before: int |
     return rows if before is None else rows.where(F.col("epoch") < before)
 
 
-def _epochs(spark: SparkSession, path: str) -> tuple[object, dict[int, object]]:
-    """The file system and the epoch folders of a table."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = fs.listStatus(hadoop) if fs.exists(hadoop) else []
-    names = {f.getPath().getName(): f.getPath() for f in found}
-    return fs, {int(n.removeprefix("epoch=")): p for n, p in names.items() if n.startswith("epoch=")}
-
-
-def read_state(spark: SparkSession, root: str, table: str, schema: str | T.StructType, epoch: int) -> DataFrame:
-    """The newest whole state before ``epoch``; one folder, however long the stream has run."""
-    path = f"{root}/{table}"
-    _, epochs = _epochs(spark, path)
-    old = [e for e in epochs if e < epoch]
-    if not old:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/epoch={max(old):012d}")
-
-
-def put_state(df: DataFrame, root: str, table: str, epoch: int) -> None:
-    """Write the whole state after ``epoch``; the state before it stays for a retry, older ones go."""
-    _put(df, root, table, epoch)
-    fs, epochs = _epochs(df.sparkSession, f"{root}/{table}")
-    for e in sorted(epochs)[:-2]:
-        fs.delete(epochs[e], True)
-
-
 _COUNTS = "session_id string, events bigint"
 _STATE = "session_id string, frame_id string, last bigint"
 _REFUSED = "batch_id string, session_id string, arrival bigint, events bigint, new_events bigint, reason string"
 
 
-def stream_quarantine(log: DataFrame, path: str, sessions: DataFrame | None = None, **limits) -> DataStreamWriter:
+def stream_quarantine(log: DataFrame, path: str, sessions: DataFrame | None = None, buckets: int = 64, **limits) -> DataStreamWriter:
     """Write refused batches with their reason to ``path``/refused.
 
-    ``path``/frames and ``path``/counts hold, after every micro-batch, the last
-    accepted sequence of each frame and the events of each session; the next
-    one starts from there, so the result does not depend on how the input was
-    cut, and old input is never read again.
+    ``path``/frames and ``path``/counts are keyed state: the last accepted
+    sequence of each frame and the events of each session.  A micro-batch
+    reads and writes those of the sessions it brings, so the result does not
+    depend on how the input was cut, and old input is never read again.
     """
 
     def take(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        state = read_state(spark, path, "frames", _STATE, epoch)
-        used = read_state(spark, path, "counts", _COUNTS, epoch)
+        frames = Buckets(spark, path, "frames", _STATE, S.FRAME, ["session_id"], buckets)
+        counts = Buckets(spark, path, "counts", _COUNTS, ["session_id"], None, buckets)
+        batch = with_defaults(batch)
+        touched = stage(batch.select("session_id").distinct(), "touched")
+        state, used = stage(frames.read(touched, epoch), "state"), stage(counts.read(touched, epoch), "used")
         verdict = stage(batch_gate(batch, sessions, state=state, used=used, **limits), "verdict")
-        good = with_defaults(batch).join(verdict.where("reason IS NULL").select("batch_id"), "batch_id", "left_semi")
-        reached = state.unionByName(good.select("session_id", "frame_id", F.col("sequence").alias("last")))
-        put_state(reached.groupBy("session_id", "frame_id").agg(F.max("last").alias("last")), path, "frames", epoch)
-        counts = used.unionByName(verdict.select("session_id", F.col("new_events").alias("events")))
-        put_state(counts.groupBy("session_id").agg(F.sum("events").alias("events")), path, "counts", epoch)
+        good = batch.join(verdict.where("reason IS NULL").select("batch_id"), "batch_id", "left_semi")
+        # Only frames that have come further are written.
+        reached = good.groupBy(*S.FRAME).agg(F.max("sequence").alias("last"))
+        old = state.withColumnRenamed("last", "_old")
+        frames.put(reached.join(old, S.FRAME, "left").where("_old IS NULL OR last > _old").drop("_old"), epoch)
+        more = verdict.groupBy("session_id").agg(F.sum("new_events").alias("_new")).where("_new > 0")
+        counts.put(more.join(used, "session_id", "left").select("session_id", (F.coalesce("events", F.lit(0)) + F.col("_new")).alias("events")), epoch)
         _put(verdict.where("reason IS NOT NULL"), path, "refused", epoch)
 
     return log.writeStream.foreachBatch(take)
@@ -143,27 +122,21 @@ def stored_asset_schema(updates: T.StructType) -> T.StructType:
     return T.StructType([*updates.fields, T.StructField("revision", T.LongType())])
 
 
-def stream_assets(updates: DataFrame, sink: str) -> DataStreamWriter:
+def stream_assets(updates: DataFrame, sink: str, buckets: int = 64) -> DataStreamWriter:
     """Upsert captured assets; ``sink``/changes gets one row per real change.
 
-    ``sink``/newest holds the newest version of each asset as one whole state; a
-    micro-batch continues from it and replaces it, and reads no older change.
+    ``sink``/newest is keyed state, the newest version of each asset; a
+    micro-batch reads and writes those it brings, and no older change.
     """
     stored_schema = stored_asset_schema(updates.schema)
 
     def take(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        state = read_state(spark, sink, "newest", stored_schema, epoch)
-        touched = batch.select(*ASSET).distinct()
-        stored = state.join(touched, ASSET, "left_semi")
-        names = [c for c in updates.columns if c not in ASSET]
-        last = stored.groupBy(*ASSET).agg(
-            F.max_by(F.struct(*names), F.col("revision")).alias("_r"), F.max("revision").alias("_base")
-        )
-        base = last.select(*ASSET, "_base")
-        again = last.select(*ASSET, "_r.*").select(*updates.columns)
+        newest = Buckets(spark, sink, "newest", stored_schema, ASSET, None, buckets)
+        stored = stage(newest.read(batch, epoch), "stored")
+        base = stored.select(*ASSET, F.col("revision").alias("_base"))
         fresh = batch.join(base, ASSET, "left_anti")
-        known = batch.join(base, ASSET, "left_semi").unionByName(again)
+        known = batch.join(base, ASSET, "left_semi").unionByName(stored.select(*updates.columns))
         new_rows = asset_revisions(fresh).where("changed").drop("changed").select(*stored_schema.fieldNames())
         # The stored version comes first and counts as revision 1 of the rest.
         more = (
@@ -176,48 +149,46 @@ def stream_assets(updates: DataFrame, sink: str) -> DataStreamWriter:
         _put(new_rows.unionByName(more), sink, "changes", epoch)
         changes = spark.read.schema(stored_schema).parquet(f"{sink}/changes/epoch={epoch:012d}")
         rest = [c for c in stored_schema.fieldNames() if c not in ASSET]
-        newest = state.unionByName(changes).groupBy(*ASSET).agg(F.max_by(F.struct(*rest), F.col("revision")).alias("_r"))
-        put_state(newest.select(*ASSET, "_r.*"), sink, "newest", epoch)
+        last = changes.groupBy(*ASSET).agg(F.max_by(F.struct(*rest), F.col("revision")).alias("_r"))
+        newest.put(last.select(*ASSET, "_r.*"), epoch)
 
     return updates.writeStream.foreachBatch(take)
 
 
-def current_assets(spark: SparkSession, sink: str, updates: T.StructType) -> DataFrame:
-    rows = read_table(spark, sink, "changes", stored_asset_schema(updates)).drop("epoch")
-    rest = [c for c in rows.columns if c not in ASSET]
-    return rows.groupBy(*ASSET).agg(F.max_by(F.struct(*rest), F.col("revision")).alias("_r")).select(*ASSET, "_r.*")
+def current_assets(spark: SparkSession, sink: str, updates: T.StructType, buckets: int = 64) -> DataFrame:
+    """The newest version of each asset, from the keyed state."""
+    return Buckets(spark, sink, "newest", stored_asset_schema(updates), ASSET, None, buckets).read()
 
 
 _ADMITTED = "license_key {key}, device_id {device}"
 
 
-def stream_admission(uses: DataFrame, sink: str, max_devices: int = 1) -> DataStreamWriter:
+def stream_admission(uses: DataFrame, sink: str, max_devices: int = 1, buckets: int = 64) -> DataStreamWriter:
     """Admit the first devices of every license as they come.
 
-    ``sink``/devices holds the admitted devices, at most ``max_devices`` per
-    license, ``sink``/uses the decisions.  A micro-batch ranks its new devices
-    behind the admitted ones, so a busy license is aggregated before it is
-    shuffled.
+    ``sink``/devices is keyed state, the admitted devices, at most
+    ``max_devices`` per license; ``sink``/uses holds the decisions.  A
+    micro-batch reads the devices of its licenses and ranks its new ones
+    behind them, so a busy license is aggregated before it is shuffled.
     """
     types = dict(uses.dtypes)
     schema = _ADMITTED.format(key=types["license_key"], device=types["device_id"])
 
     def take(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
         names = ["license_key", "device_id", "ts", "event_id"]
-        old = read_state(spark, sink, "devices", schema, epoch)
+        devices = Buckets(batch.sparkSession, sink, "devices", schema, ["license_key", "device_id"], ["license_key"], buckets)
         # Devices already in come before every new use.
         floor = batch.agg(F.min("ts").alias("ts"), (F.min("event_id") - 1).alias("event_id"))
         start = floor.withColumn("ts", F.col("ts") - F.expr("INTERVAL 1 SECOND")).first()
         if start is None or start["ts"] is None:
-            put_state(old, sink, "devices", epoch)
             return
+        old = stage(devices.read(batch, epoch), "devices")
         known = old.select("license_key", "device_id", F.lit(start["ts"]).cast(types["ts"]).alias("ts"), F.lit(start["event_id"]).cast("bigint").alias("event_id"))
         decided = device_admission(batch.select(*names).unionByName(known), max_devices)
-        fresh = decided.where(F.col("event_id") > start["event_id"])
+        fresh = stage(decided.where(F.col("event_id") > start["event_id"]), "decided")
         _put(fresh.select("event_id", "license_key", "device_id", "admitted"), sink, "uses", epoch)
-        admitted = fresh.where("admitted").select("license_key", "device_id")
-        put_state(old.unionByName(admitted).distinct(), sink, "devices", epoch)
+        admitted = fresh.where("admitted").select("license_key", "device_id").distinct()
+        devices.put(admitted.join(old, ["license_key", "device_id"], "left_anti"), epoch)
 
     return uses.writeStream.foreachBatch(take)
 
