@@ -2,32 +2,89 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from drawlog import schema as S
 
 
+def _lines(spark: SparkSession, path: str, streaming: bool) -> DataFrame:
+    lines = (spark.readStream if streaming else spark.read).text(path)
+    return lines.where(F.trim("value") != "").select("value", F.xxhash64("value").cast("string").alias("batch_id"))
+
+
+def _events(lines: DataFrame) -> DataFrame:
+    """``value, batch_id, position, text, kind``: the elements of every line that is a JSON array, each as its text."""
+    array = F.try_parse_json("value")
+    parts = F.try_variant_get(array, "$", "array<variant>")
+    rows = lines.select("value", "batch_id", F.posexplode(parts).alias("position", "_v"))
+    return rows.select("value", "batch_id", F.col("position").cast("bigint").alias("position"), F.to_json("_v").alias("text"), F.schema_of_variant("_v").alias("kind"))
+
+
+_CHECKED = [f for f in S.EVENT.fields if f.name != "value"]
+#: Fields that hold a text whatever their kind.
+_TEXTS = {f.name for f in _CHECKED if isinstance(f.dataType, T.StringType)}
+
+
+def _faults() -> Column:
+    """Fields of an event whose value is not of their type; null where all are."""
+    event = F.try_parse_json("text")
+    odd = []
+    for f in _CHECKED:
+        there = F.try_variant_get(event, f"$.{f.name}", "variant")
+        kind = F.schema_of_variant(there)
+        missing = there.isNull() | (kind == "VOID")
+        if f.name in _TEXTS:
+            fits = kind == "STRING"
+        elif isinstance(f.dataType, T.ArrayType):
+            fits = kind.startswith("ARRAY<") & ~kind.rlike("STRING|BOOLEAN|OBJECT|VARIANT")
+        elif isinstance(f.dataType, T.StructType):
+            fits = kind.startswith("OBJECT<")
+        else:
+            fits = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+        odd.append(F.when(~missing & ~F.coalesce(fits, F.lit(False)), F.lit(f.name)))
+    names = F.array_compact(F.array(*odd))
+    return F.when(F.size(names) > 0, F.concat(F.lit("type of "), F.array_join(names, ", ")))
+
+
 def read_draw_log(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
     """Text files with one JSON array of events per line, to typed log rows.
 
     Unknown fields are dropped and missing ones are null; a transform that does
     not have six numbers becomes null.  ``batch_id`` names the line's batch by
-    content so that a resent line gets the same id.
+    content so that a resent line gets the same id.  What cannot be read this
+    way is given, with the reason, by :func:`rejected_draw_log`; a blank line
+    is no batch.
     """
-    reader = spark.readStream if streaming else spark.read
-    lines = reader.text(path)
-    batch = F.from_json("value", T.ArrayType(S.EVENT))
-    rows = lines.select(F.xxhash64("value").cast("string").alias("batch_id"), F.posexplode(batch).alias("position", "e"))
+    rows = _events(_lines(spark, path, streaming)).where(F.col("kind").startswith("OBJECT<"))
+    rows = rows.withColumn("_fault", _faults()).where("_fault IS NULL")
+    rows = rows.withColumn("e", F.from_json("text", S.EVENT))
     return rows.select(
         *[F.col(f"e.{n}").alias(n) for n in S.EVENT.fieldNames() if n != "transform"],
         F.when(F.size("e.transform") == 6, F.col("e.transform")).alias("transform"),
         "batch_id",
-        F.col("position").cast("bigint").alias("position"),
+        "position",
     )
 
 
+def rejected_draw_log(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
+    """What :func:`read_draw_log` leaves out: ``batch_id, position, reason, text``.
+
+    A line that is no JSON or no array is one row without a position; an
+    element that is no object, or has a field of another type, is one row with
+    its place.  Together with the log's rows they make up the whole input.
+    """
+    lines = _lines(spark, path, streaming)
+    array = F.try_parse_json("value")
+    kind = F.schema_of_variant(array)
+    whole = F.when(array.isNull(), "not JSON").when(~kind.startswith("ARRAY<"), "not an array")
+    bad = lines.withColumn("reason", whole).where("reason IS NOT NULL")
+    bad = bad.select("batch_id", F.lit(None).cast("bigint").alias("position"), "reason", F.col("value").alias("text"))
+    odd = _events(lines).withColumn("reason", F.when(~F.col("kind").startswith("OBJECT<"), "not an object").otherwise(_faults()))
+    return bad.unionByName(odd.where("reason IS NOT NULL").select("batch_id", "position", "reason", "text"))
+
+
 def read_vector_assets(spark: SparkSession, path: str) -> DataFrame:
     """Captured SVG rows; camelCase names become column names."""
     raw = spark.read.schema(S.VECTOR_ASSET).json(path)

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from drawlog.sources.staging import stage
+
 _AT = "_epoch"
 
 
@@ -70,11 +72,12 @@ class Buckets:
         return self._newest(rows).drop(_AT)
 
     def put(self, changed: DataFrame, epoch: int) -> None:
-        """Write the rows that ``epoch`` made or changed, each key once; then rewrite buckets with many deltas."""
+        """Write the rows that ``epoch`` made or changed, each key once; then rewrite those of its buckets that have many deltas."""
         rows = changed.select(*self.schema.fieldNames()).withColumns({_AT: F.lit(epoch).cast("long"), "bucket": self._number(), "epoch": F.lit(epoch)})
-        rows = rows.repartition("bucket")
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "epoch").parquet(self.path)
-        for bucket in range(self._buckets):
+        rows = stage(rows, "delta")
+        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]
+        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "epoch").parquet(self.path)
+        for bucket in touched:
             base, folders = self._folders(bucket, epoch)
             if len(folders) - (base >= 0) > self._deltas:
                 # Up to the micro-batch before: a retry of this one still finds what it read.
