@@ -26,7 +26,7 @@ _HELD = 1 << 20  # probes that a task gives out at once
 
 @dataclass(frozen=True)
 class Settings:
-    """``tables`` and ``success`` (chance per table that the probed buckets hold a neighbour) set the recall.
+    """``tables`` and ``success`` (chance per table that the probed buckets hold a neighbour) set the recall; ``further`` is that chance for queries that search on.
 
     ``width`` and ``slots`` cut each projection (outer slots are open);
     ``bucket`` is the mean size of a bucket the number of hashes aims at;
@@ -38,6 +38,7 @@ class Settings:
 
     tables: int = 2
     success: float = 0.72
+    further: float = 0.85
     width: float = 1.1
     slots: int = 4
     bucket: int = 512
@@ -68,7 +69,7 @@ class Index:
             code = code * self.settings.slots + column
         return code
 
-    def probes(self, unit: np.ndarray, table: int, near: float | None = None) -> np.ndarray:
+    def probes(self, unit: np.ndarray, table: int, near: float | None = None, success: float | None = None) -> np.ndarray:
         """Buckets to visit for one vector, likeliest first.
 
         A neighbour's projection is normal around ``near`` (``likely`` if not given) times the
@@ -78,6 +79,7 @@ class Index:
         """
         s = self.settings
         near = self.likely if near is None else near
+        success = s.success if success is None else success
         at = self.directions[table] @ unit
         inner = (np.arange(1, s.slots) - s.slots // 2) * s.width - self.offsets[table][:, None]
         spread = math.sqrt(max(1.0 - near**2, 1e-4)) * np.linalg.norm(self.directions[table], axis=1)[:, None] / math.sqrt(len(unit))
@@ -92,14 +94,20 @@ class Index:
                 if len(chance) > most:
                     best = np.argpartition(-chance, most)[:most]
                     chance, code = chance[best], code[best]
-            if chance.sum() >= s.success or most >= s.slots ** len(below):
+            if chance.sum() >= success or most >= s.slots ** len(below):
                 break
             most *= 4
         order = np.lexsort((code, -chance))
-        return code[order[: int(np.searchsorted(np.cumsum(chance[order]), s.success)) + 1]]
+        return code[order[: int(np.searchsorted(np.cumsum(chance[order]), success)) + 1]]
+
+
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector divided by a power of two, so that its largest component is about 1: cosines stay as they are, and no square leaves the range of a double."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
+    vectors = _scaled(vectors)
     return vectors / np.linalg.norm(vectors, axis=1)[:, None]
 
 
@@ -200,7 +208,7 @@ def _further(far: DataFrame, keys: DataFrame, index: Index, dim: int, scratch: S
             cids, nears = b.column(0).to_numpy(), b.column(2).to_pylist()
             for cid, u, near in zip(cids, _unit(_matrix(b.column(1), dim)), nears):
                 for t in range(1 if near is None else len(index.directions)):
-                    visit = np.arange(width) if near is None else index.probes(u, t, near) + t * width
+                    visit = np.arange(width) if near is None else index.probes(u, t, near, max(index.settings.further, index.settings.success)) + t * width
                     for at in range(0, len(visit), _HELD):
                         some = visit[at : at + _HELD]
                         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.ones(len(some), dtype=bool)), pa.array(np.full(len(some), cid))], ["bucket", "probe", "cid"])
@@ -270,6 +278,7 @@ def _meet(keys: DataFrame, classes: DataFrame, index: Index, dim: int, k: int, s
                 return
             cid = t.column("cid").to_numpy()
             vec = _matrix(t.column("vec").combine_chunks() if isinstance(t.column("vec"), pa.ChunkedArray) else t.column("vec"), dim)
+            vec = _scaled(vec)
             norm = np.sqrt((vec * vec).sum(axis=1))
             q, c = np.flatnonzero(probe), np.flatnonzero(~probe)
             for part in np.array_split(q, -(-len(q) // 512)):
