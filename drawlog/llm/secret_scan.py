@@ -92,7 +92,7 @@ def triple_codes(letters: np.ndarray) -> np.ndarray:
 
 
 def features(value: str, before: str, after: str, source: str | None, spelling: Spelling) -> list[float]:
-    raw = value.encode("utf-8", "surrogatepass")[:4096]
+    raw = value.encode("utf-8", "surrogatepass")
     kinds = _CLASSES[np.frombuffer(raw, dtype=np.uint8)]
     n = len(raw)
     share = np.bincount(kinds, minlength=4) / n
@@ -166,7 +166,11 @@ def _text(docs: DataFrame) -> list:
 
 
 class Model:
-    """Spelling of the corpus and the forest; without findings of both kinds the rules alone decide."""
+    """Spelling of the corpus and the forest; without findings of both kinds the rules alone decide.
+
+    A finding in a stated format is confirmed; the forest judges all others,
+    each by its whole text, however long.
+    """
 
     def __init__(self, spelling: Spelling, forest: Forest | None, settings: Settings):
         self.spelling, self.forest, self.settings = spelling, forest, settings
@@ -176,16 +180,19 @@ class Model:
         spots: list[list[tuple[int, int]]] = []
         rows: list[list[float]] = []
         rule: list[float] = []
+        stated: list[bool] = []
         for text, source in zip(texts, sources):
             own = []
             for start, end, value, before, after in candidates(text):
                 own.append((start, end))
                 rule.append(rule_label(value, before) or 0.0)
+                stated.append(bool(_STATED.match(value)))
                 rows.append(features(value, before, after, source, self.spelling))
             spots.append(own)
         if not rows:
             return [[] for _ in texts]
-        chance = iter((self.forest.chance(np.array(rows)) if self.forest else np.array(rule)).tolist())
+        judged = self.forest.chance(np.array(rows)) if self.forest else np.array(rule)
+        chance = iter(np.where(stated, 1.0, judged).tolist())  # a stated format needs no vote
         return [[(a, b, next(chance)) for a, b in own] for own in spots]
 
 
