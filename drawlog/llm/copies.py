@@ -6,22 +6,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from drawlog.llm.components import components
 from drawlog.llm.decontaminate import WordHashes, bit_filter, grams, has_bit
 from drawlog.llm.repeats import Settings, forest, groups, minhash_bands, paragraph_name
 from drawlog.llm.scratch import Scratch
-from drawlog.llm.simhash import folded_words, members, near_links, simhash_of
+from drawlog.llm.simhash import folded_words, near_links, simhash_of
 
-_KEPT, _NTH = "__drawlog_kept", "__drawlog_nth"
+_KEPT, _NTH, _TEXT = "__drawlog_kept", "__drawlog_nth", "__drawlog_text_key"
 #: 16 bands of 4 values: a pair at similarity 0.8 meets with chance 0.9998.
 SIMILAR = Settings(bands=16, rows=4)
 
 
 def profiles(docs: DataFrame, width: int, s: Settings = SIMILAR) -> DataFrame:
-    """``doc_id, fp, pid, bands`` of whole texts; pid names the words, null for a text under ``s.width`` words."""
+    """``doc_id, fp, pid, bands, tkey`` of whole texts; pid names the words, null for a text under ``s.width`` words; tkey names the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = WordHashes()
@@ -37,11 +37,16 @@ def profiles(docs: DataFrame, width: int, s: Settings = SIMILAR) -> DataFrame:
                     pids.append(int(np.uint64(paragraph_name(ws)).view(np.int64)))
                     keys.append(minhash_bands(np.array([len(ws)]), np.array([seen[w] for w in ws], dtype=np.uint64), s).view(np.int64)[0])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(pids, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "fp", "pid", "bands"],
+                [b.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(pids, pa.int64()), pa.array(keys, pa.list_(pa.int64())), b.column(2)],
+                ["doc_id", "fp", "pid", "bands", "tkey"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, pid long, bands array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_key().alias("tkey"))
+    return rows.mapInArrow(run, "doc_id long, fp long, pid long, bands array<long>, tkey long")
+
+
+def _text_key() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def _sets(docs: DataFrame, bits: bytes, s: Settings) -> DataFrame:
@@ -110,7 +115,7 @@ def similar_links(rows: DataFrame, docs: DataFrame, scratch: Scratch, s: Setting
 
 
 def similar_documents(docs: DataFrame, width: int = 3, scratch: Scratch | None = None) -> DataFrame:
-    """``near_duplicates`` with further links: five-word shingles with a Jaccard similarity of at least 0.8.
+    """``near_duplicates`` with further links (and ``root``, which names the group, and ``tkey``, which names the text): five-word shingles with a Jaccard similarity of at least 0.8.
 
     Two bits are far nearer than that: documents at 0.8 to 0.9 differ in about
     seven.  So texts that meet under a MinHash band are verified too; both
@@ -126,18 +131,24 @@ def similar_documents(docs: DataFrame, width: int = 3, scratch: Scratch | None =
     alike = scratch.put(alike)
     linked = alike.select(F.col("u").alias("v")).union(alike.select("v")).distinct()
     roots = components(near.union(alike).union(own.join(linked, "v", "left_semi").select("u", "v")), scratch)
-    return members(rows.select("doc_id", "fp", label("f", "fp").alias("node")), "node", roots, scratch).select("doc_id", "fp", "component_id")
+    rows = rows.select("doc_id", "fp", "tkey", label("f", "fp").alias("node"))
+    nodes = scratch.put(rows.groupBy("node").agg(F.min("doc_id").alias("first")).join(roots.withColumnRenamed("u", "node"), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
+    least = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rows.join(scratch.put(nodes.join(least, "root").select("node", "root", "component_id")), "node").select("doc_id", "fp", "component_id", "root", "tkey")
 
 
 def representatives(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``docs`` with one row of each group of :func:`similar_documents`: the one with the smallest doc_id.
 
-    Of repeated rows with that doc_id one stays.  Rows without a doc_id all
-    stay: nothing names them, so nothing can stand for them.
+    Where rows of a group share that doc_id but not their text, one of the
+    texts stays; texts of one doc_id that are no near copies are groups of
+    their own, and each keeps a row.  Of repeated rows one stays.  Rows without
+    a doc_id all stay: nothing names them, so nothing can stand for them.
     """
-    found = similar_documents(docs, scratch=scratch)
-    ids = found.where("doc_id = component_id").select(F.col("component_id").alias(_KEPT)).distinct()
-    named = docs.join(ids, docs["doc_id"] == ids[_KEPT], "left_semi")
-    at = Window.partitionBy("doc_id").orderBy("doc_id")
-    named = named.withColumn(_NTH, F.row_number().over(at)).where(F.col(_NTH) == 1).drop(_NTH)
-    return named.union(docs.where("doc_id is null"))
+    found = similar_documents(docs, scratch=scratch).where("doc_id = component_id")
+    kept = found.groupBy("root").agg(F.min(F.struct("doc_id", "tkey")).alias("k")).select(F.col("k.doc_id").alias(_KEPT), F.col("k.tkey").alias(_TEXT)).distinct()
+    keyed = docs.withColumn(_NTH, _text_key())
+    named = keyed.join(kept, (keyed["doc_id"] == kept[_KEPT]) & (keyed[_NTH] == kept[_TEXT]), "left_semi")
+    at = Window.partitionBy("doc_id", _NTH).orderBy("doc_id")
+    once = named.withColumn(_KEPT, F.row_number().over(at)).where(F.col(_KEPT) == 1).select(*docs.columns)
+    return once.union(docs.where("doc_id is null"))

@@ -91,3 +91,13 @@ def test_similar_documents_join_at_four_fifths(make_docs):
     groups = brute.similar_components(docs)
     got = {r.doc_id: r.component_id for r in copies.similar_documents(make_docs(docs)).collect()}
     assert got == groups
+
+
+def test_one_id_with_two_texts(make_docs):
+    """Texts that share a doc_id but are no near copies both stay; a near copy under the same id does not."""
+    a = " ".join(f"alpha{i}" for i in range(60))
+    b = " ".join(f"beta{i}" for i in range(60))
+    docs = make_docs([(1, a), (1, b), (1, a), (2, a), (3, b), (4, a + " more"), (4, a), (5, None), (5, None), (None, "x")])
+    kept = copies.representatives(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(1, a), (1, b), (5, ""), (0, "x")])
