@@ -99,40 +99,59 @@ def minhash_bands(counts: np.ndarray, hashes: np.ndarray, s: Settings) -> np.nda
     return keys.T
 
 
-def paragraphs(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """``uid, text_id, doc_id, at, start, end, n_words, pid, bands`` of every paragraph; ``uid`` numbers the rows of ``docs``."""
+_PARAGRAPH = "uid long, text_id long, doc_id long, at int, start long, end long, n_words int, pid long, bands array<long>"
+
+
+def first_reading(docs: DataFrame, s: Settings, scratch: Scratch, marks: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Paragraphs and window marks of all texts, from one pass with one hash per word.
+
+    ``uid, text_id, doc_id, at, start, end, n_words, pid, bands`` of every
+    paragraph, ``uid`` numbering the rows of ``docs``; and, if asked for,
+    ``hash, uid``: the smallest grams of every row's windows, each once.
+    """
+    names = [c.split()[0] for c in _PARAGRAPH.split(", ")] + ["hash"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = WordHashes()
         uid = TaskContext.get().partitionId() << 40
-        names = ["uid", "text_id", "doc_id", "at", "start", "end", "n_words", "pid", "bands"]
         for b in batches:
             rows: list[tuple] = []
-            flat: list[int] = []
+            flat: list[np.ndarray] = []
+            found, owners = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+            held = 0
 
             def part() -> pa.RecordBatch:
                 cols = list(zip(*rows))
-                counts = np.array(cols[6], dtype=np.int64)
-                keys = minhash_bands(counts, np.array(flat, dtype=np.uint64), s).view(np.int64)
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+                keys = minhash_bands(np.array(cols[6], dtype=np.int64), np.concatenate(flat), s).view(np.int64)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, s.bands, dtype=np.int32)), pa.array(keys.ravel()))
-                return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds)), pa.array(_long(cols[7])), bands], names)
+                return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds[:7])), pa.array(_long(cols[7])), bands, pa.nulls(len(rows), pa.int64())], names)
 
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = text_name(text)
-                for n, (start, end, ws) in enumerate(_lines(text, s.width)):
-                    rows.append((uid, own, doc_id, n, start, end, len(ws), paragraph_name(ws)))
-                    flat += [seen[w] for w in ws]
-                    if len(flat) > 1 << 20:
+                own, hashes = text_name(text), word_spans(text)[0]
+                at, n = 0, 0
+                for start, end, ws in _lines(text, 0):
+                    if len(ws) >= s.width:
+                        rows.append((uid, own, doc_id, n, start, end, len(ws), paragraph_name(ws)))
+                        flat.append(hashes[at : at + len(ws)])
+                        n, held = n + 1, held + len(ws)
+                    at += len(ws)
+                    if held > 1 << 20:
                         yield part()
-                        rows, flat = [], []
+                        rows, flat, held = [], [], 0
+                if marks and len(hashes) >= s.passage:
+                    found.append(np.unique(_window_marks(hashes, s)[0]))
+                    owners.append(np.full(len(found[-1]), uid))
                 uid += 1
             if rows:
                 yield part()
+            if len(found) > 1:
+                hashes, uids = np.concatenate(found).view(np.int64), np.concatenate(owners)
+                empty = {n: pa.nulls(len(uids), k) for n, k in zip(names, kinds)} | {"uid": pa.array(uids), "hash": pa.array(hashes)}
+                yield pa.RecordBatch.from_arrays([empty[n] for n in names], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "uid long, text_id long, doc_id long, at int, start long, end long, n_words int, pid long, bands array<long>"
-    )
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _PARAGRAPH + ", hash long")
+    made = scratch.put(made)
+    return made.where("pid is not null").drop("hash"), made.where("hash is not null").select("hash", "uid")
 
 
 def shingle_sets(docs: DataFrame, bits: bytes, s: Settings) -> DataFrame:
@@ -274,13 +293,13 @@ def repeated_paragraphs(docs: DataFrame, settings: Settings = Settings(), scratc
     a null doc_id is given out as null; other columns are not read; an empty
     table gives no row.
     """
-    found = _found_lines(docs, settings, scratch or Scratch(docs.sparkSession, "repeats"))
-    return found.select(*_COLUMNS)
+    scratch = scratch or Scratch(docs.sparkSession, "repeats")
+    rows, _ = first_reading(docs, settings, scratch, marks=False)
+    return _found_lines(docs, rows, settings, scratch).select(*_COLUMNS)
 
 
-def _found_lines(docs: DataFrame, s: Settings, scratch: Scratch) -> DataFrame:
-    """``_COLUMNS`` and ``text_id`` of the paragraphs of repeated passages."""
-    rows = scratch.put(paragraphs(docs, s))
+def _found_lines(docs: DataFrame, rows: DataFrame, s: Settings, scratch: Scratch) -> DataFrame:
+    """``_COLUMNS`` and ``text_id`` of the paragraphs of repeated passages; ``rows``: all paragraphs."""
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("uid"), F.col("at"), F.col("start"))
     known = scratch.put(rows.groupBy("pid").agg(F.first("bands").alias("bands"), F.min(place).alias("first"), F.min("uid").alias("low"), F.max("uid").alias("high")))
     links = similar_links(known.select("pid", "bands"), docs, s, scratch)
@@ -299,10 +318,10 @@ def _found_lines(docs: DataFrame, s: Settings, scratch: Scratch) -> DataFrame:
     return found.select("text_id", "doc_id", "start", "end", "n_words", F.col("first.doc_id").alias("class_doc_id"), F.col("first.start").alias("class_start"), removed.alias("removed"))
 
 
-def _kept_lines(docs: DataFrame, s: Settings, scratch: Scratch) -> DataFrame:
+def _kept_lines(docs: DataFrame, rows: DataFrame, s: Settings, scratch: Scratch) -> DataFrame:
     """``_found_lines``, written; the tables they are made from are removed."""
     steps = Scratch(docs.sparkSession, "repeats-lines")
-    lines = scratch.put(_found_lines(docs, s, steps))
+    lines = scratch.put(_found_lines(docs, rows, s, steps))
     steps.clear()
     return lines
 
@@ -358,22 +377,8 @@ def _passes(filters: list[bytes]):
     return lambda x: flags[0][(x & mask).astype(np.int64)] & flags[1][(x >> np.uint64(24) & mask).astype(np.int64)]
 
 
-def _shared_marks(docs: DataFrame, s: Settings) -> DataFrame:
-    """``hash``: the smallest grams of windows that occur in two rows of ``docs``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uid = TaskContext.get().partitionId() << 40
-        for b in batches:
-            hashes, uids = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
-            for text in b.column(0).to_pylist():
-                own = word_spans(text)[0]
-                if len(own) >= s.passage:
-                    hashes.append(np.unique(_window_marks(own, s)[0]))
-                    uids.append(np.full(len(hashes[-1]), uid))
-                uid += 1
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(uids))], ["hash", "uid"])
-
-    marks = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "hash long, uid long")
+def _shared_marks(marks: DataFrame) -> DataFrame:
+    """``hash``: the smallest grams of windows that occur in two rows."""
     return marks.groupBy("hash").agg(F.min("uid").alias("low"), F.max("uid").alias("high")).where("low <> high").select("hash")
 
 
@@ -441,9 +446,9 @@ def _windows(pieces: DataFrame, s: Settings, filters: list[bytes] | None = None)
     return pieces.mapInArrow(run, _WINDOW)
 
 
-def _found_runs(docs: DataFrame, lines: DataFrame, s: Settings, scratch: Scratch) -> DataFrame:
+def _found_runs(docs: DataFrame, lines: DataFrame, shared: DataFrame, s: Settings, scratch: Scratch) -> DataFrame:
     """``_COLUMNS`` of the runs of at least ``s.passage`` words with a word outside ``lines`` that another row has word for word."""
-    pieces = scratch.put(_pieces(docs, _filters(scratch.put(_shared_marks(docs, s))), s))
+    pieces = scratch.put(_pieces(docs, _filters(shared), s))
     known = lines.groupBy("text_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("lines"))
     asked = scratch.put(_windows(pieces.join(known, "text_id", "left"), s))
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("uid"), F.col("at"), F.col("start"))
@@ -471,8 +476,18 @@ def repeated_passages(docs: DataFrame, settings: Settings = Settings(), scratch:
     new row begins, and the two rows overlap.
     """
     scratch = scratch or Scratch(docs.sparkSession, "repeats")
-    lines = _kept_lines(docs, settings, scratch)
-    return lines.select(*_COLUMNS).union(_found_runs(docs, lines, settings, scratch))
+    lines, shared = _read(docs, settings, scratch)
+    return lines.select(*_COLUMNS).union(_found_runs(docs, lines, shared, settings, scratch))
+
+
+def _read(docs: DataFrame, s: Settings, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Paragraphs of repeated passages, and the shared window marks, both written."""
+    reading = Scratch(docs.sparkSession, "repeats-reading")
+    rows, marks = first_reading(docs, s, reading)
+    shared = scratch.put(_shared_marks(marks))
+    lines = _kept_lines(docs, rows, s, scratch)
+    reading.clear()
+    return lines, shared
 
 
 def without_repeats(docs: DataFrame, settings: Settings = Settings(), scratch: Scratch | None = None) -> DataFrame:
@@ -484,8 +499,8 @@ def without_repeats(docs: DataFrame, settings: Settings = Settings(), scratch: S
     without a doc_id stay whole.
     """
     scratch = scratch or Scratch(docs.sparkSession, "repeats")
-    lines = _kept_lines(docs, settings, scratch)
-    found = lines.select("doc_id", "start", (F.col("end") + 1).alias("end"), "removed").union(_found_runs(docs, lines, settings, scratch).select("doc_id", "start", "end", "removed"))
+    lines, shared = _read(docs, settings, scratch)
+    found = lines.select("doc_id", "start", (F.col("end") + 1).alias("end"), "removed").union(_found_runs(docs, lines, shared, settings, scratch).select("doc_id", "start", "end", "removed"))
     found = found.where("removed and doc_id is not null")
     # Runs overlap each other and lines: a cut begins where the one before it ends.
     before = Window.partitionBy("doc_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
