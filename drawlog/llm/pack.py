@@ -148,7 +148,8 @@ def pack(docs: DataFrame, capacity: int = 2048, keep_ids: bool = False, scratch:
     plan = spark.createDataFrame(best_fit(counts, capacity), schema)
     before = Window.partitionBy("length").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     bases = dealt.select("pid", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = made.join(bases, ["pid", "length"]).withColumn("rank", F.col("base") + F.col("nth"))
+    # One row per partition and length: grows with the input, so it is never sent to every task.
+    ranked = made.join(bases.hint("merge"), ["pid", "length"]).withColumn("rank", F.col("base") + F.col("nth"))
     slot = F.col("rank") - F.col("rank_from")
     return (
         ranked.join(plan, "length")
