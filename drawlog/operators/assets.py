@@ -210,14 +210,73 @@ def _candidate(stem: str, ext: str, index: str):
     return F.expr(f"CASE WHEN {index} = 0 THEN {stem} ELSE concat({stem}, '_', CAST({index} AS STRING)) END || {ext}")
 
 
+_NUMBERED = r"_[1-9][0-9]{0,17}$"
+
+
+def _number(name: str):
+    return F.regexp_extract(name, r"_([1-9][0-9]*)$", 1).cast("bigint")
+
+
+def _taken_or_lost(asked: DataFrame, ranked: DataFrame, blocked: DataFrame, key: list[str], span: int) -> DataFrame:
+    """Who gets a number that is also another asked name: ``asked`` with ``_lost`` (the other name was first).
+
+    Row j of a name (from 0) comes to its i-th free number m when j + (numbers
+    lost before) = m.  The number is lost if ``_first``, the other name's first
+    row, comes before row j, so with c rows before ``_first``: lost if
+    (lost before) <= m - c.  This one count is walked over blocks of numbers;
+    all names walk their blocks side by side.
+    """
+    names = asked.select(*key).distinct()
+    numbers = asked.select(*key, "taken", "_first", "_child", F.lit(0).cast("bigint").alias("_one"))
+    passed = blocked.join(names, key, "left_semi").select(
+        *key, "taken", F.lit(None).cast("bigint").alias("_first"), F.lit(None).cast("string").alias("_child"),
+        F.lit(1).cast("bigint").alias("_one"),
+    )
+    free = running(
+        numbers.unionByName(passed), key, ["taken"], F.floor(F.col("taken") / span), {"_passed": Run("sum", F.col("_one"))}
+    ).where("_first IS NOT NULL")
+    rows = ranked.join(names, key, "left_semi").select(
+        *key, "row_no", F.lit(None).cast("bigint").alias("taken"), F.lit(1).cast("bigint").alias("_one")
+    )
+    asks = asked.select(*key, F.col("_first").alias("row_no"), "taken", F.lit(0).cast("bigint").alias("_one"))
+    before = running(
+        rows.unionByName(asks), key, ["row_no"], F.floor(F.col("row_no") / span), {"_before": Run("sum", F.col("_one"))}
+    ).where("taken IS NOT NULL")
+    slack = free.join(before.select(*key, "taken", "_before"), [*key, "taken"]).select(
+        *key, "taken", "_child", (F.col("taken") - F.col("_passed") - F.col("_before")).alias("_slack")
+    )
+    nth = {"_nth": Run("sum", F.lit(1).cast("bigint"))}
+    slack = running(slack, key, ["taken"], F.floor(F.col("taken") / span), nth)
+    slack = stage(slack.withColumn("_part", F.floor((F.col("_nth") - 1) / span)).drop("_nth"), "slack")
+
+    def walk(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("taken")
+        lost, n = [], int(part["_sofar"].iloc[0])
+        for room in part["_slack"]:
+            lost.append(n <= room)
+            n += lost[-1]
+        return part.assign(_lost=lost, _sofar=n)[[*key, "taken", "_child", "_lost", "_sofar"]]
+
+    schema = f"{key[0]} string, {key[1]} string, taken bigint, _child string, _lost boolean, _sofar bigint"
+    out, sofar = None, names.withColumn("_sofar", F.lit(0).cast("bigint"))
+    for i in range(slack.agg(F.max("_part")).first()[0] + 1):
+        part = slack.where(F.col("_part") == i).join(sofar, key)
+        done = stage(part.groupBy(*key).applyInPandas(walk, schema), "walked")
+        out = done if out is None else out.unionByName(done)
+        sofar = done.groupBy(*key).agg(F.max("_sofar").alias("_sofar"))
+    return out.drop("_sofar")
+
+
 def allocate_unique_filenames(df: DataFrame, existing: DataFrame, span: int = BLOCK_ROWS) -> DataFrame:
-    """Add ``stored_name``: first free of name, name_1, name_2, ...
+    """Add ``stored_name``: first free of name, name_1, name_2, ..., row by row in the order of row_no.
 
     ``df``: row_no (unique, decides who comes first) and filename; ``existing``:
-    filename.  Requests for one name are numbered with the blocked count, then
-    numbers already used by stored files or by other requests are skipped in
-    rounds: a round finds the names asked for twice, leaves each to the earlier
-    row and blocks it for the other name's later requests.
+    filename.  Two names meet in one place only: number k of ``a`` is the plain
+    name of ``a_k``, and the first row that asks for ``a_k`` tries that first.
+    So which of them gets it depends on ``a`` alone, and names are settled from
+    ``a`` to ``a_k`` to ``a_k_l``: one round per level of nesting, whatever the
+    number of collisions.  Then the j-th request for a name takes the j-th
+    number that stored files and other names leave it.
     """
     parts = df.withColumns(
         {
@@ -231,46 +290,42 @@ def allocate_unique_filenames(df: DataFrame, existing: DataFrame, span: int = BL
         .withColumn("_rank", F.col("_rank") - 1),
         "names",
     )
-    groups = ranked.select(*key).distinct()
+    names = ranked.groupBy(*key).agg(F.min("row_no").cast("bigint").alias("_first"))
     # Numbers of a name that stored files occupy.
-    stored = existing.select(F.col("filename").alias("_f")).distinct()
-    split = stored.select(
-        F.regexp_replace("_f", r"(?<=.)\.[^.]*$", "").alias("_s"), F.regexp_extract("_f", r"(?<=.)(\.[^.]*)$", 1).alias("_ext")
-    )
+    split = existing.select(
+        F.regexp_replace("filename", r"(?<=.)\.[^.]*$", "").alias("_s"),
+        F.regexp_extract("filename", r"(?<=.)(\.[^.]*)$", 1).alias("_ext"),
+    ).distinct()
+    parent = F.regexp_replace("_s", _NUMBERED, "").alias("_stem")
     plain = split.select(F.col("_s").alias("_stem"), "_ext", F.lit(0).cast("bigint").alias("taken"))
-    numbered = split.where(F.col("_s").rlike(r"_[1-9][0-9]{0,17}$")).select(
-        F.regexp_replace("_s", r"_[1-9][0-9]*$", "").alias("_stem"),
-        "_ext",
-        F.regexp_extract("_s", r"_([1-9][0-9]*)$", 1).cast("bigint").alias("taken"),
+    numbered = split.where(F.col("_s").rlike(_NUMBERED)).select(parent, "_ext", _number("_s").alias("taken"))
+    blocked = stage(plain.unionByName(numbered).join(names, key, "left_semi").distinct(), "taken")
+    # Asked names that are a number of another asked name.
+    nested = names.withColumnRenamed("_stem", "_s").where(F.col("_s").rlike(_NUMBERED)).select(
+        parent, "_ext", _number("_s").alias("taken"), "_first", F.col("_s").alias("_child")
     )
-    blocked = stage(plain.unionByName(numbered).join(groups, key, "left_semi").distinct(), "taken")
-    while True:
-        # j-th request takes number j plus the blocked numbers it has to pass.
-        passes = running(
-            blocked, key, ["taken"], F.floor(F.col("taken") / span), {"_nth": Run("sum", F.lit(1).cast("bigint"))}
-        ).withColumn("_from", F.col("taken") - (F.col("_nth") - 1))
-        steps = passes.groupBy(*key, "_from").agg(F.count(F.lit(1)).alias("_k"))
-        line = ranked.select(*key, F.col("_rank").alias("_at"), "row_no", F.lit(0).cast("bigint").alias("_k")).unionByName(
-            steps.select(*key, F.col("_from").alias("_at"), F.lit(-1).cast("bigint").alias("row_no"), "_k")
-        )
-        placed = running(
-            line, key, ["_at", "row_no"], F.floor(F.col("_at") / span), {"_skip": Run("sum", F.col("_k"))}
-        ).where("row_no >= 0")
-        named = stage(
-            placed.withColumn("_index", F.col("_at") + F.col("_skip"))
-            .withColumn("stored_name", _candidate("_stem", "_ext", "_index"))
-            .select(*key, "row_no", "_index", "stored_name"),
-            "named",
-        )
-        twice = named.groupBy("stored_name").agg(F.count(F.lit(1)).alias("_n"), F.min("row_no").alias("_first")).where("_n > 1")
-        lost = (
-            named.join(twice, "stored_name")
-            .where(F.col("row_no") != F.col("_first"))
-            .select(*key, F.col("_index").alias("taken"))
-            .distinct()
-        )
-        lost = stage(lost, "lost")
-        if lost.isEmpty():
-            break
-        blocked = stage(blocked.unionByName(lost).distinct(), "taken")
-    return df.join(named.select("row_no", "stored_name"), "row_no")
+    nested = stage(nested.join(names.select(*key), key, "left_semi"), "nested")
+    while not nested.isEmpty():
+        waiting = nested.select(F.col("_child").alias("_stem"), "_ext")
+        asked = stage(nested.join(waiting, key, "left_anti").join(blocked, [*key, "taken"], "left_anti"), "asked")
+        if not asked.isEmpty():
+            judged = stage(_taken_or_lost(asked, ranked, blocked, key, span), "judged")
+            lost = judged.where("_lost").select(*key, "taken")
+            got = judged.where("NOT _lost").select(F.col("_child").alias("_stem"), "_ext", F.lit(0).cast("bigint").alias("taken"))
+            blocked = stage(blocked.unionByName(lost).unionByName(got).distinct(), "taken")
+        nested = stage(nested.join(waiting, key, "left_semi"), "nested")
+    # j-th request takes number j plus the blocked numbers it has to pass.
+    passes = running(
+        blocked, key, ["taken"], F.floor(F.col("taken") / span), {"_nth": Run("sum", F.lit(1).cast("bigint"))}
+    ).withColumn("_from", F.col("taken") - (F.col("_nth") - 1))
+    steps = passes.groupBy(*key, "_from").agg(F.count(F.lit(1)).alias("_k"))
+    line = ranked.select(*key, F.col("_rank").alias("_at"), "row_no", F.lit(0).cast("bigint").alias("_k")).unionByName(
+        steps.select(*key, F.col("_from").alias("_at"), F.lit(-1).cast("bigint").alias("row_no"), "_k")
+    )
+    placed = running(
+        line, key, ["_at", "row_no"], F.floor(F.col("_at") / span), {"_skip": Run("sum", F.col("_k"))}
+    ).where("row_no >= 0")
+    named = placed.withColumn("_index", F.col("_at") + F.col("_skip")).select(
+        "row_no", _candidate("_stem", "_ext", "_index").alias("stored_name")
+    )
+    return df.join(named, "row_no")

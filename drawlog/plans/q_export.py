@@ -86,10 +86,13 @@ def write_documents(spark, sf_dir):
     asked = catalog.select(F.col("arrival").alias("row_no"), "filename", *key)
     named = av.allocate_unique_filenames(asked, none).select(*key, "stored_name")
     settings = readers.load_export_settings(catalog).drop("removed_colors", "removed_elements")
-    docs = ex.wrapped_vector_documents(settings, key).join(named, key)
+    docs = stage(ex.wrapped_vector_documents(settings, key).join(named, key).select("svg_id", "stored_name", "text"), "named")
     path = stage_path(spark, "documents")
-    sinks.write_documents(docs.select("svg_id", "stored_name", "text"), path, "svg")
-    return spark.read.parquet(path).select("svg_id", "filename", "fmt", F.sha2("document", 256).alias("text_sha256"))
+    sinks.write_documents(docs, path, "svg")
+    files = sinks.read_documents(spark, path, "svg")
+    return files.join(docs.select("svg_id", F.col("stored_name").alias("filename")), "filename").select(
+        "svg_id", "filename", F.lit("svg").alias("fmt"), F.sha2("document", 256).alias("text_sha256")
+    )
 
 
 QUERIES = {f.__name__: f for f in (svg_documents, eps_documents, document_stats, wrapped_vector_documents, write_documents)}

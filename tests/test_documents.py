@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from events import frame, numbered
 from pyspark.sql import functions as F
@@ -6,6 +8,7 @@ from drawlog.operators import export, segments, surface
 from drawlog.operators.assets import allocate_unique_filenames, asset_revisions, edit_markup, vector_elements
 from drawlog.schema import SURFACE
 from drawlog.sources.readers import load_export_settings
+from drawlog.sources.sinks import read_documents, write_documents
 
 BOARD = {"ratio": "1:1", "min_pixels": 360_000.0, "max_pixels": 360_000.0}  # 600 by 600
 WIDE, HIGH, SIDE = 240.0, 160.0, 600.0
@@ -124,10 +127,8 @@ def test_tight_boxes(spark):
     assert got[4]["readable"] is False
 
 
-def test_file_names_match_first_free(spark):
-    asked = ["a.svg", "a.svg", "a_1.svg", "a.svg", "b.svg", "a_1.svg", "b.svg", "c"]
-    stored = {"a_2.svg", "b.svg", "b_1.svg"}
-    taken, want = set(stored), []
+def first_free(asked, stored):
+    taken, out = set(stored), []
     for name in asked:
         stem, dot, ext = name.rpartition(".") if "." in name else (name, "", "")
         k, cand = 0, name
@@ -135,10 +136,50 @@ def test_file_names_match_first_free(spark):
             k += 1
             cand = f"{stem}_{k}{dot}{ext}"
         taken.add(cand)
-        want.append(cand)
+        out.append(cand)
+    return out
+
+
+def stored_names(spark, asked, stored, span):
     df = spark.createDataFrame(list(enumerate(asked)), "row_no long, filename string")
-    got = allocate_unique_filenames(df, spark.createDataFrame([(s,) for s in stored], "filename string"), span=2)
-    assert [r["stored_name"] for r in got.orderBy("row_no").collect()] == want
+    got = allocate_unique_filenames(df, spark.createDataFrame([(s,) for s in stored], "filename string"), span=span)
+    return [r["stored_name"] for r in got.orderBy("row_no").collect()]
+
+
+def test_file_names_match_first_free(spark):
+    asked = ["a.svg", "a.svg", "a_1.svg", "a.svg", "b.svg", "a_1.svg", "b.svg", "c"]
+    stored = {"a_2.svg", "b.svg", "b_1.svg"}
+    assert stored_names(spark, asked, stored, 2) == first_free(asked, stored)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_file_names_in_chains(spark, seed):
+    """Names that are numbers of each other, three levels deep, in any order and beside stored files."""
+    rng = random.Random(seed)
+    stems = ["a"] * 6 + [f"a_{k}" for k in (1, 2, 3, 5, 8, 9, 12)] * 2 + ["a_1_1", "a_1_2", "a_2_1", "a_1_1_1", "a_1_1_2", "b_1", "b_3", "a_01", "_1", "b"]
+    asked = [rng.choice(stems) + rng.choice([".svg"] * 5 + [".eps", ""]) for _ in range(150)]
+    stored = {rng.choice(["a", "a_4", "a_7", "a_2", "a_1_3", "a_1_1_1", "b"]) + ".svg" for _ in range(4)}
+    assert stored_names(spark, asked, stored, 1 + seed * 3) == first_free(asked, stored)
+
+
+def test_documents_are_files(spark, tmp_path):
+    docs = spark.createDataFrame([("a.svg", "<svg>é</svg>"), ("_b.svg", ""), ("c d%20.svg", None), (".e", "x\ny\n")], "stored_name string, text string")
+    write_documents(docs, str(tmp_path), "svg")
+    write_documents(docs.limit(0), str(tmp_path), "svg")
+    write_documents(docs.withColumn("stored_name", F.concat(F.lit("2"), "stored_name")), str(tmp_path), "svg")
+    want = {"a.svg": "<svg>é</svg>", "_b.svg": "", "c d%20.svg": "", ".e": "x\ny\n"}
+    got = {r["filename"]: r["document"] for r in read_documents(spark, str(tmp_path), "svg").collect()}
+    assert got == want | {"2" + k: v for k, v in want.items()}
+    assert sorted(f.name for f in (tmp_path / "svg").glob("part-*/*")) == sorted(got)
+
+
+@pytest.mark.parametrize("bad", ["a.svg", "", "../up.svg", None])
+def test_failed_documents_leave_no_file(spark, tmp_path, bad):
+    rows = [(f"{n}.svg", "x") for n in "abcdefgh"] + [(bad, "y")]
+    docs = spark.createDataFrame(rows, "stored_name string, text string").repartition(4)
+    with pytest.raises(Exception, match="file name|are named"):
+        write_documents(docs, str(tmp_path), "svg")
+    assert [f for f in tmp_path.rglob("*") if f.is_file()] == []
 
 
 def test_asset_sent_twice_then_changed(spark):
