@@ -402,28 +402,72 @@ def _settle_within(frames: DataFrame, sizes: DataFrame, used: DataFrame | None,
         frames = stage(frames.join(over, "batch_id", "left_anti"), "frames")
 
 
-def session_lifecycle(log: DataFrame, control: DataFrame) -> DataFrame:
+# Control events at one arrival, and the log rows there (2), act in this order.
+_TURN = {"stop": 0, "start": 1, "clear_surfaces": 3, "clear": 4}
+
+
+def session_lifecycle(log: DataFrame, control: DataFrame, span: int = BLOCK_ROWS) -> DataFrame:
     """Log rows that survive the control events of their session.
 
-    ``control``: session_id, arrival, action in stop / clear / clear_surfaces
-    (a session starts with its first row).  A clear, or a clear_surfaces after
-    the session was stopped, drops everything; nothing is taken after a stop.
-    Rows older than the last clear_surfaces keep their sequence numbers but no
-    longer count and no longer belong to a surface (``on_surface`` false).
+    ``control``: session_id, arrival, action in start / stop / clear /
+    clear_surfaces; repeated rows count once.  Every start begins a new
+    generation of the session with its own sequences, surfaces and count; a
+    session without any start has one generation from its first row on.  A
+    generation takes rows from its start until a stop or clear.  A clear, or a
+    clear_surfaces while no generation takes rows, drops everything before it.
+    Rows older than a clear_surfaces of their generation keep their sequence
+    numbers but no longer count and no longer belong to a surface
+    (``on_surface`` false).  Adds on_surface and generation (from 1);
+    :func:`generations_apart` makes generations sessions of their own.
     """
-    stops = control.groupBy("session_id").agg(
-        F.min(F.when(F.col("action") == "stop", F.col("arrival"))).alias("_stop"),
-        F.max(F.when(F.col("action") == "clear", F.col("arrival"))).alias("_clear"),
-        F.max(F.when(F.col("action") == "clear_surfaces", F.col("arrival"))).alias("_surfaces"),
-    )
-    dropped = F.col("_clear").isNotNull() | (F.col("_surfaces") > F.col("_stop"))
-    state = stops.select(
-        "session_id", "_stop", "_surfaces", F.coalesce(dropped, F.lit(False)).alias("_dropped")
-    )
-    return (
-        log.join(state, "session_id", "left")
-        .where(~F.coalesce("_dropped", F.lit(False)))
-        .where(F.col("_stop").isNull() | (F.col("arrival") < F.col("_stop")))
-        .withColumn("on_surface", F.col("_surfaces").isNull() | (F.col("arrival") > F.col("_surfaces")))
-        .drop("_stop", "_surfaces", "_dropped")
+    acts = stage(control.select("session_id", "arrival", F.col("action").alias("_action")).distinct(), "control")
+    turn = F.coalesce(*[F.when(F.col("_action") == a, n) for a, n in _TURN.items()], F.lit(5)).alias("_turn")
+    begins = F.coalesce(F.col("_action") == "start", F.lit(False)).cast("bigint")
+    started = acts.where("_action = 'start'").select("session_id", F.lit(True).alias("_started")).distinct()
+    none = acts.where("_action = 'start'").isEmpty()
+
+    def in_generation(df: DataFrame) -> DataFrame:
+        """Add generation: starts so far, 1 for sessions without any."""
+        if none:
+            return df.withColumn("generation", F.lit(1).cast("bigint"))
+        block = F.floor(F.col("arrival") / span)
+        # Rows of one session at one place have the same starts before them, in whatever order they come.
+        counted = running(df, ["session_id"], ["arrival", "_turn"], block, {"generation": Run("sum", begins)})
+        counted = counted.join(started, "session_id", "left")
+        return counted.withColumn("generation", F.when(F.col("_started"), F.col("generation")).otherwise(1)).drop("_started")
+
+    at = F.struct("arrival", "_turn")
+    acts = stage(in_generation(acts.select("*", turn)), "control")
+    halts = acts.where("_action IN ('stop', 'clear')").groupBy("session_id", "generation").agg(F.min(at).alias("_halt"))
+    acts = acts.join(halts, ["session_id", "generation"], "left")
+    idle = (F.col("generation") == 0) | F.coalesce(at > F.col("_halt"), F.lit(False))
+    on_surfaces = F.col("_action") == "clear_surfaces"
+    wiped = acts.where((F.col("_action") == "clear") | (on_surfaces & idle)).groupBy("session_id").agg(F.max(at).alias("_wiped"))
+    cleared = acts.where(on_surfaces & ~idle).groupBy("session_id", "generation").agg(F.max("arrival").alias("_cleared"))
+
+    rows = log.withColumns({"_turn": F.lit(2), "_action": F.lit(None).cast("string")})
+    if not none:
+        marks = acts.where("_action = 'start'").select("session_id", "arrival", "_action", "_turn")
+        rows = in_generation(rows.unionByName(marks, allowMissingColumns=True)).where("_action IS NULL")
+    else:
+        rows = in_generation(rows)
+    kept = (
+        rows.where("generation > 0")
+        .join(wiped, "session_id", "left")
+        .join(halts, ["session_id", "generation"], "left")
+        .where(F.col("_wiped").isNull() | (at > F.col("_wiped")))
+        .where(F.col("_halt").isNull() | (at < F.col("_halt")))
+        .join(cleared, ["session_id", "generation"], "left")
     )
+    on_surface = F.col("_cleared").isNull() | (F.col("arrival") > F.col("_cleared"))
+    return kept.select(*log.columns, on_surface.alias("on_surface"), "generation")
+
+
+def generations_apart(rows: DataFrame) -> DataFrame:
+    """Rows of :func:`session_lifecycle` with every later generation as a session of its own, ``<session_id>#<generation>``.
+
+    All other operators work by session, so sequences, surfaces, paths and
+    counts then begin anew with each start.
+    """
+    later = F.concat("session_id", F.lit("#"), F.col("generation").cast("string"))
+    return rows.withColumn("session_id", F.when(F.col("generation") > 1, later).otherwise(F.col("session_id")))

@@ -96,6 +96,17 @@ def session_lifecycle(spark, sf_dir) -> DataFrame:
     )
 
 
+def session_generations(spark, sf_dir) -> DataFrame:
+    starts = fx.table(spark, sf_dir, "events").where("event_id % 811 = 3").select(
+        F.concat(F.lit("rec-"), (F.col("user_id") % 15).cast("string")).alias("session_id"),
+        F.col("event_id").alias("arrival"),
+        F.lit("start").alias("action"),
+    )
+    log = fx.rec_log(spark, sf_dir).withColumn("arrival", F.col("event_id"))
+    kept = ingest.session_lifecycle(log, control(spark, sf_dir).unionByName(starts))
+    return ingest.generations_apart(kept).select("session_id", "frame_id", "sequence", "arrival", "on_surface", "generation")
+
+
 QUERIES = {
     "read_draw_log": read_draw_log,
     "accepted_prefix": accepted_prefix,
@@ -103,6 +114,7 @@ QUERIES = {
     "batch_gate": batch_gate,
     "session_event_cap": session_event_cap,
     "session_lifecycle": session_lifecycle,
+    "session_generations": session_generations,
 }
 
 _GATE_STEPS = [
@@ -191,4 +203,41 @@ FROM events WHERE event_id % 487 = 0 OR event_id % 1999 = 7 OR event_id % 4001 =
             )
         ],
     ),
+    # Places in the order of the log: stop, start, row, clear_surfaces, clear.
+    "session_generations": check_sql(
+        """SELECT CASE WHEN generation > 1 THEN session_id || '#' || generation ELSE session_id END AS session_id, frame_id, sequence, event_id AS arrival,
+  NOT EXISTS (SELECT 1 FROM ct WHERE ct.session_id = r.session_id AND ct.since = r.since AND NOT idle AND action = 'clear_surfaces' AND ct.p > r.p) AS on_surface, generation
+FROM r
+WHERE since >= 0
+  AND NOT EXISTS (SELECT 1 FROM ct WHERE ct.session_id = r.session_id AND action IN ('stop', 'clear') AND ct.p BETWEEN r.since AND r.p)
+  AND NOT EXISTS (SELECT 1 FROM ct WHERE ct.session_id = r.session_id AND (action = 'clear' OR action = 'clear_surfaces' AND idle) AND ct.p > r.p)""",
+        ["rec_log"],
+        [
+            (
+                "ctl",
+                """SELECT *, arrival * 5 + CASE action WHEN 'stop' THEN 0 WHEN 'start' THEN 1 WHEN 'clear_surfaces' THEN 3 ELSE 4 END AS p
+FROM (SELECT 'rec-' || CAST(user_id % 15 AS VARCHAR) AS session_id, event_id AS arrival, unnest(list_concat(
+    CASE WHEN event_id % 487 = 0 THEN ['clear_surfaces'] WHEN event_id % 1999 = 7 THEN ['stop'] WHEN event_id % 4001 = 11 THEN ['clear'] ELSE [] END,
+    CASE WHEN event_id % 811 = 3 THEN ['start'] ELSE [] END)) AS action FROM events) t""",
+            ),
+            ("sn", "SELECT session_id, min(p) AS p0 FROM ctl WHERE action = 'start' GROUP BY session_id"),
+            (
+                "cs",
+                """SELECT c.session_id, c.action, c.p, coalesce(max(s.p), CASE WHEN c.session_id IN (SELECT session_id FROM sn) THEN -1 ELSE 0 END) AS since
+FROM ctl c LEFT JOIN ctl s ON s.session_id = c.session_id AND s.action = 'start' AND s.p <= c.p GROUP BY c.session_id, c.action, c.p""",
+            ),
+            (
+                "ct",
+                """SELECT *, since < 0 OR EXISTS (SELECT 1 FROM ctl h WHERE h.session_id = cs.session_id AND h.action IN ('stop', 'clear') AND h.p >= cs.since AND h.p < cs.p) AS idle FROM cs""",
+            ),
+            (
+                "r",
+                """SELECT l.session_id, l.frame_id, l.sequence, l.event_id, l.event_id * 5 + 2 AS p,
+  coalesce(max(s.p), CASE WHEN l.session_id IN (SELECT session_id FROM sn) THEN -1 ELSE 0 END) AS since,
+  count(s.p) + CASE WHEN l.session_id IN (SELECT session_id FROM sn) THEN 0 ELSE 1 END AS generation
+FROM rec_log l LEFT JOIN ctl s ON s.session_id = l.session_id AND s.action = 'start' AND s.p <= l.event_id * 5 + 2
+GROUP BY l.session_id, l.frame_id, l.sequence, l.event_id""",
+            ),
+        ],
+    ),
 }

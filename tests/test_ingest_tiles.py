@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from drawlog.operators import ingest, tiles
@@ -106,3 +107,47 @@ def test_merged_order_respects_every_tile(spark):
     assert _order(spark, ["pssu"] * 3) == "pssu"
     # No order holds for both: the gap behind the last anchor goes to the end.
     assert _order(spark, ["puv", "vp"]) == "puvp"
+
+
+def lifecycle(log, control):
+    """One recorder after another, event by event."""
+    out = []
+    for session in sorted({r[0] for r in log}):
+        own = sorted({c[1:] for c in control if c[0] == session}, key=lambda c: (c[0], ["stop", "start", "", "clear_surfaces", "clear"].index(c[1])))
+        steps = [(a, ["stop", "start", "", "clear_surfaces", "clear"].index(k), k, None) for a, k in own]
+        steps = sorted(steps + [(r[1], 2, "row", r) for r in log if r[0] == session], key=lambda x: x[:2])
+        started = any(k == "start" for _, k in own)
+        generation, active, held = int(not started), not started, []
+        for _, _, kind, row in steps:
+            if kind == "start":
+                generation, active = generation + 1, True
+            elif kind == "stop":
+                active = False
+            elif kind == "row" and active:
+                held.append([*row, True, generation])
+            elif kind == "clear_surfaces" and active:
+                held = [h[:-2] + [h[-2] and h[-1] != generation, h[-1]] for h in held]
+            elif kind == "clear" or (kind == "clear_surfaces" and not active):
+                held, active = [], False
+        out += map(tuple, held)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_sessions_start_again(spark, seed):
+    rng = random.Random(seed)
+    log = [(f"s{rng.randrange(8)}", i // 2, i) for i in range(400)]
+    kinds = ["start", "start", "stop", "clear_surfaces", "clear_surfaces"] * 3 + ["clear"]
+    control = [(f"s{rng.randrange(1, 8)}", rng.randrange(200), rng.choice(kinds[: 16 if seed else 15])) for _ in range(60)]
+    control = [c for c in control if c[2] != "start" or c[0] != "s1"]
+    df = spark.createDataFrame(log, "session_id string, arrival long, k long")
+    acts = spark.createDataFrame(control + control[:5], "session_id string, arrival long, action string")
+    got = ingest.session_lifecycle(df, acts, span=7)
+    assert got.columns == ["session_id", "arrival", "k", "on_surface", "generation"]
+    assert sorted(map(tuple, got.collect())) == lifecycle(log, control)
+    apart = ingest.generations_apart(got).select("session_id").distinct().collect()
+    assert {r[0] for r in apart} == {r[0] + (f"#{r[4]}" if r[4] > 1 else "") for r in lifecycle(log, control)}
+    # No start at all: one generation from the first row on.
+    plain = [c for c in control if c[2] != "start"]
+    got = ingest.session_lifecycle(df, acts.where("action <> 'start'"), span=7)
+    assert sorted(map(tuple, got.collect())) == lifecycle(log, plain)
