@@ -256,12 +256,57 @@ def _moved_text(rows: DataFrame) -> DataFrame:
     return both.groupBy(*_KEYED).agg(F.when(~moved, text).alias("d"))
 
 
+def _bends() -> Column:
+    ident = F.expr("array(1D, 0D, 0D, 1D, 0D, 0D)")
+    return F.coalesce((F.col("type") == "path_append") & F.col("transform").isNotNull() & (F.col("transform") != ident), F.lit(False))
+
+
+def _plain_copies(refs: DataFrame, used: DataFrame, block_rows: int | None = None) -> DataFrame:
+    """References whose source held nothing but one other reference: _KEYED, ``_root``, ``_keeps``.
+
+    Such a reference has the text of the other one, so a chain of them is
+    followed by pointer doubling down to ``_root``, the sequence of the first
+    that is none itself.  ``_keeps`` tells whether the root's current point is
+    kept on the way (a creation keeps it, an append does not).
+    """
+    epoch = {"p_epoch": Run("sum", F.expr(f"CAST({_BEGINS} AS BIGINT)"))}
+    source = [*S.PATH, "p_epoch"]
+    events = running(used.select(*S.PATH, "sequence", "type", "command"), S.PATH, ["sequence"], seq_block("sequence", block_rows), epoch)
+    events = stage(events.where(f"NOT coalesce({_BEGINS}, false)").select(*source, "sequence"), "lineage-events")
+    first = events.groupBy(*source).agg(F.min("sequence").alias("_root"))
+    second = events.join(first, source).where("sequence > _root").groupBy(*source).agg(F.min("sequence").alias("_second"))
+    only = (
+        refs.select(*source, F.col("sequence").alias("_root"), (F.col("type") == "path_created").alias("_keeps"))
+        .join(first, [*source, "_root"])
+        .where("NOT _keeps OR p_epoch = 0")  # a creation only has an effect as the first event of its path
+        .join(second, source, "left")
+        .withColumnsRenamed({"path_id": "source_path_id", "p_epoch": "src_epoch"})
+    )
+    plain = (
+        refs.where(~_bends())
+        .join(only, [*S.FRAME, "source_path_id", "src_epoch"])
+        .where("_root < sequence AND (_second IS NULL OR _second >= sequence)")
+        .select(*_KEYED, "_root", "_keeps")
+    )
+    plain = stage(plain, "lineage-plain")
+    while True:
+        further = plain.select(*S.FRAME, F.col("sequence").alias("_root"), F.col("_root").alias("_next"), F.col("_keeps").alias("_too"))
+        if plain.join(further, [*S.FRAME, "_root"], "left_semi").isEmpty():
+            return plain
+        plain = plain.join(further, [*S.FRAME, "_root"], "left").select(
+            *_KEYED, F.coalesce("_next", "_root").alias("_root"), (F.col("_keeps") & F.coalesce("_too", F.lit(True))).alias("_keeps")
+        )
+        plain = stage(plain, "lineage-plain")
+
+
 def path_lineage(log: DataFrame, block_rows: int | None = None) -> DataFrame:
     """Text of every copy and append: its source's text at that moment.
 
-    References are resolved from the bottom up.  A round takes those whose
-    source holds no open reference before them, so each text is built once;
-    the number of rounds is the longest chain of references.  Result:
+    Copies of copies with nothing added in between take the text of the first
+    one, found by pointer doubling.  The other references are resolved from
+    the bottom up: a round takes those whose source holds no open reference
+    before them, so each text is built once; the number of rounds is the
+    longest chain of references that add or move something.  Result:
     session_id, frame_id, sequence, type, path_id, source_path_id, d,
     has_current.
     """
@@ -269,7 +314,8 @@ def path_lineage(log: DataFrame, block_rows: int | None = None) -> DataFrame:
     sources = refs.select(*S.FRAME, F.col("source_path_id").alias("path_id")).distinct()
     used = with_defaults(log).where(F.col("type").isin(*PATH_EVENTS)).join(sources, S.PATH, "left_semi")
     used = stage(used.select(*S.PATH, "sequence", "type", "command", "value"), "lineage-sources")
-    open_refs, resolved = refs, None
+    plain = _plain_copies(refs, used, block_rows)
+    open_refs, resolved = refs.join(plain, _KEYED, "left"), None
     while True:
         waiting = (
             open_refs.groupBy(*S.FRAME, F.col("path_id").alias("source_path_id"), F.col("p_epoch").alias("src_epoch"))
@@ -277,7 +323,7 @@ def path_lineage(log: DataFrame, block_rows: int | None = None) -> DataFrame:
         )
         marked = stage(
             open_refs.join(waiting, [*S.FRAME, "source_path_id", "src_epoch"], "left").withColumn(
-                "_ready", F.col("_open").isNull() | (F.col("_open") >= F.col("sequence"))
+                "_ready", F.col("_root").isNull() & (F.col("_open").isNull() | (F.col("_open") >= F.col("sequence")))
             ).drop("_open"),
             "lineage-round",
         )
@@ -289,20 +335,20 @@ def path_lineage(log: DataFrame, block_rows: int | None = None) -> DataFrame:
         texts = epoch_texts(used, NO_REFS if resolved is None else resolved, block_rows)
         copied = snapshot(asks, texts, keep_current=True)
         copied = stage(copied, "lineage-texts")
-        ident = F.expr("array(1D, 0D, 0D, 1D, 0D, 0D)")
-        bends = (F.col("type") == "path_append") & F.col("transform").isNotNull() & (F.col("transform") != ident)
-        moved = _moved_text(copied.where(bends & (F.col("d") != "")))
+        moved = _moved_text(copied.where(_bends() & (F.col("d") != "")))
+        named = [*_KEYED, "type", F.col("_target").alias("path_id"), F.col("path_id").alias("source_path_id")]
         done = (
-            copied.where(~F.coalesce(bends, F.lit(False)))
-            .select(*_KEYED, "type", F.col("_target").alias("path_id"), F.col("path_id").alias("source_path_id"), "d", "has_current")
-            .unionByName(
-                copied.where(bends)
-                .select(*_KEYED, "type", F.col("_target").alias("path_id"), F.col("path_id").alias("source_path_id"), "has_current")
-                .join(moved, _KEYED, "left")
-            )
+            copied.where(~_bends())
+            .select(*named, "d", "has_current")
+            .unionByName(copied.where(_bends()).select(*named, "has_current").join(moved, _KEYED, "left"))
         )
         done = stage(done, "lineage-done")
+        roots = done.select(*S.FRAME, F.col("sequence").alias("_root"), F.coalesce("d", F.lit("")).alias("d"), "has_current")
+        follow = marked.where("_root IS NOT NULL").join(roots, [*S.FRAME, "_root"]).select(
+            *_KEYED, "type", "path_id", "source_path_id", "d", (F.col("_keeps") & F.col("has_current")).alias("has_current")
+        )
+        done = done.unionByName(stage(follow, "lineage-follow"))
         resolved = done if resolved is None else resolved.unionByName(done)
-        open_refs = marked.where("NOT _ready").drop("_ready")
+        open_refs = marked.drop("_ready").join(done.select(*_KEYED), _KEYED, "left_anti")
         if open_refs.isEmpty():
             return resolved

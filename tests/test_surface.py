@@ -88,3 +88,67 @@ def test_clip_ends_with_its_restore(spark):
     clips = [r["clip_d"] for r in surface.paints(log, n).orderBy("order_no").collect()]
     assert clips == ["M 0 0 h 5 v 5 h -5 Z", None]
     assert IDENT[0] == 1.0
+
+
+def copy_of(kind, target, source, **kw):
+    return (kind, {"path_id": target, "value": '{"source_path_id": "%s"}' % source, "canvas_id": None, **kw})
+
+
+def command(path, name, *args):
+    return ("path_command", {"path_id": path, "command": {"type": name, "args": list(args)}, "canvas_id": None})
+
+
+def test_long_chain_of_copies_takes_few_rounds(spark, monkeypatch):
+    staged, real = [], paths.stage
+    monkeypatch.setattr(paths, "stage", lambda df, name: (staged.append(name), real(df, name))[1])
+    chain = [copy_of("path_append" if i % 7 == 3 else "path_created", f"p{i}", f"p{i - 1}") for i in range(1, 1001)]
+    rows = numbered(command("p0", "move_to", 1.0, 2.0), command("p0", "line_to", 3.0, 4.0), *chain, command("p500", "line_to", 9.0, 9.0))
+    got = paths.path_lineage(frame(spark, rows)).orderBy("sequence").collect()
+    assert [r["d"] for r in got] == ["M 1 2 L 3 4"] * 1000
+    # The current point goes with creations and ends at the first append.
+    assert [r["has_current"] for r in got] == [True] * 3 + [False] * 997
+    assert staged.count("lineage-round") == 1 and staged.count("lineage-plain") <= 11
+
+
+def tangled(seed, n, moved):
+    """Copies of copies, appends and edits of a few paths; ``moved`` of the appends have a matrix."""
+    r = random.Random(seed)
+    rows, ids = [("canvas_created", {"width": 100.0, "height": 50.0, "canvas_id": "c"}), command("p0", "move_to", 1.0, 1.0)], ["p0"]
+    for i in range(n):
+        kind = r.choices(["copy", "append", "begin", "line", "arc", "fill", "again"], [9, 5, 2, 3, 2, 4, 1])[0]
+        p, q = r.choice(ids[-6:]), r.choice(ids[-6:])
+        if kind == "copy":
+            ids.append(f"p{i + 1}")
+            rows.append(copy_of("path_created", ids[-1], q))
+        elif kind == "again":
+            rows.append(copy_of("path_created", p, q))
+        elif kind == "append":
+            p = r.choice([p, f"n{i}"])
+            ids.append(p)
+            rows.append(copy_of("path_append", p, q, transform=[2.0, 0.0, 0.0, 1.0, 3.0, 5.0] if r.random() < moved else None))
+        elif kind == "fill":
+            rows.append(("fill", {"path_id": p, "canvas_id": "c", "fill_style": "#f00"}))
+        else:
+            rows.append(command(p, *{"begin": ("begin_path",), "line": ("line_to", float(i), 2.0), "arc": ("arc", 9.0, 9.0, 5.0, 0.0, 1.0, 0.0)}[kind]))
+    return numbered(*rows)
+
+
+def test_tangled_copies_match_the_sequential_fold(spark):
+    rows = tangled(1, 70, 0.0)
+    canvases, refs = fold(rows, cap=5000)
+    log = frame(spark, rows)
+    resolved = paths.path_lineage(log, 16)
+    texts = {x["sequence"]: x["d"] for x in resolved.collect()}
+    assert {k: v for k, v in texts.items() if v} == {k: v for k, v in refs.items() if v}
+    n = surface.numbered_log(surface.surface_log(log, resolved, 16), 16)
+    got = [p["d"] for p in surface.paints(log, n, 5000, resolved, 16).orderBy("order_no").collect()]
+    assert got == [d for _, d, _, _ in canvases["c"].ops]
+
+
+def test_doubling_and_rounds_agree_on_moved_appends(spark, monkeypatch):
+    log = frame(spark, tangled(2, 60, 0.4))
+    by_doubling = {x["sequence"]: (x["d"] or "", x["has_current"]) for x in paths.path_lineage(log, 16).collect()}
+    real = paths._plain_copies
+    monkeypatch.setattr(paths, "_plain_copies", lambda *a: real(*a).limit(0))
+    by_rounds = {x["sequence"]: (x["d"] or "", x["has_current"]) for x in paths.path_lineage(log, 16).collect()}
+    assert by_doubling == by_rounds and len({d for d, _ in by_rounds.values()}) > 5
