@@ -207,7 +207,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """``docs`` without the rows whose text holds a benchmark window."""
+    """``docs`` without the rows whose text holds a benchmark window.
+
+    All rows of one text go or stay together, whatever their doc_id, null ones
+    included.  Null or blank text stays, as does everything beside an empty
+    benchmark; an empty table gives no row; columns stay.
+    """
     found = contamination(docs, benchmark, scratch=scratch)
     bad = found.where("n_hit > 0").select(F.col("k1").alias("__drawlog_k1"), F.col("k2").alias("__drawlog_k2")).distinct()
     k1, k2 = text_key("text")

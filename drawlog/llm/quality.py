@@ -199,11 +199,22 @@ def scorer(model: Model):
 
 
 def score(docs: DataFrame, model: Model, into: str = "__drawlog_score") -> DataFrame:
-    """``docs`` with a column of both views' chances and the combined one; a row for every row."""
+    """``docs`` with a column of both views' chances and the combined one; a row for every row.
+
+    Null text, lang, source and n_chars have features of their own; whole texts
+    are read; repeated rows are scored one by one and alike; an empty table
+    gives no row; further columns stay, one named as ``into`` is replaced.
+    """
     return docs.withColumn(into, scorer(model)(*_columns(docs)))
 
 
 def good(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``docs`` without the rows that the classifier rejects; without usable labels all stay."""
+    """``docs`` without the rows that the classifier rejects.
+
+    Where the labels name fewer than two documents a fold, or a fold's rest has
+    only one label, nothing is fitted and all rows stay.  A chance equal to
+    ``least`` stays.  Nulls, repeated rows, empty tables and further columns as
+    in :func:`score`; columns and their order stay.
+    """
     name = "__drawlog_score"
     return score(docs, fit(docs, labels, settings), name).where(F.col(f"{name}.quality") >= settings.least).drop(name)

@@ -229,7 +229,11 @@ def fit(docs: DataFrame, settings: Settings = Settings(), findings: DataFrame |
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``__drawlog_found``: all candidates ``(start, end, chance)`` of a text, in order; code points, end exclusive."""
+    """``docs`` with ``__drawlog_found``: all candidates ``(start, end, chance)`` of a text, in order; code points, end exclusive.
+
+    Null or empty text has an empty list; whole texts are read; a row for every
+    row, repeated ones alike; further columns stay.
+    """
 
     @F.pandas_udf("array<struct<start:bigint,end:bigint,chance:double>>")
     def found(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -253,7 +257,12 @@ def find_secrets(docs: DataFrame, settings: Settings = Settings(), findings: Dat
 
 
 def redact(docs: DataFrame, settings: Settings = Settings(), findings: DataFrame | None = None, mask: str = "<secret>") -> DataFrame:
-    """``docs`` with every secret in ``text`` replaced by ``mask`` and ``n_chars`` set to the new length where that changed; all rows and columns stay."""
+    """``docs`` with every secret in ``text`` replaced by ``mask`` and ``n_chars`` set to the new length where that changed; all rows and columns stay.
+
+    Null, empty and clean texts and their ``n_chars`` stay as they are;
+    repeated rows are changed alike; an empty table gives no row.  A chance
+    equal to ``settings.least`` counts as a secret.
+    """
     model = fit(docs, settings, findings)
     least = settings.least
 
