@@ -12,6 +12,7 @@ from drawlog.functions.text import fmt4, let, strip, xml_escape
 from drawlog.operators import segments as sg
 from drawlog.operators.assets import ASSET, vector_elements
 from drawlog.operators.paint import drop_colors, drop_elements, portable_paint, stock_validation
+from drawlog.operators.running import Run, running, seq_block
 from drawlog.sources.staging import stage
 
 SETTINGS = ["min_pixels", "max_pixels", "ratio", "background_color", "transparent_background", "artwork_scale"]
@@ -67,6 +68,38 @@ def _joined(rows: DataFrame, keys: list[str], order: list[str], text: str, name:
     )
 
 
+def document_chunks(rows: DataFrame, keys: list[str], chunk_chars: int = 2**20, block_rows: int | None = None) -> DataFrame:
+    """Texts of documents of any size as numbered chunks: keys, chunk, text.
+
+    ``rows``: keys, part, order_no, text; they follow each other by part, then
+    order_no, then text.  A row belongs to the chunk in which it begins, so a
+    chunk has at most ``chunk_chars`` characters and the rest of one row.
+    Numbers rise from 0 and skip the chunks that lie within one long row.  Rows
+    without text are left out.  Places are running sums over blocks, so no task
+    holds a document.
+    """
+    order = ["part", "order_no", "text"]
+    rows = stage(rows.where("text <> ''").select(*keys, *order), "document-rows")
+    block = F.col("part").cast("bigint") * F.lit(2**40) + seq_block("order_no", block_rows)
+    start = Run("sum", F.length("text").cast("bigint"), inclusive=False)
+    placed = running(rows, keys, order, block, {"_start": start})
+    return _joined(placed.withColumn("chunk", F.floor(F.col("_start") / chunk_chars)), [*keys, "chunk"], order[:2], "text", "text")
+
+
+def _framed(frame: DataFrame, parts: list[DataFrame | Column], keys: list[str]) -> DataFrame:
+    """Rows for :func:`document_chunks`: texts of ``frame`` and tables (keys, order_no, _t) in the given order."""
+    frame = stage(frame, "frame")
+    out = None
+    for i, part in enumerate(parts):
+        if isinstance(part, Column):
+            part = frame.select(*keys, F.lit(0).cast("bigint").alias("order_no"), part.alias("_t"))
+        else:
+            part = part.join(frame.select(*keys), keys, "left_semi")
+        part = part.select(*keys, F.lit(i).alias("part"), F.col("order_no").cast("bigint").alias("order_no"), F.col("_t").alias("text"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _numbered_clears(table: DataFrame, keys: list[str]) -> DataFrame:
     """Clears of every document with their number and how many there are.
 
@@ -111,24 +144,17 @@ def _clear_defs(clears: DataFrame, masks: DataFrame, keys: list[str]) -> DataFra
         '" width="', w, '" height="', h, '" style="mask-type:luminance"><rect x="', x0, '" y="', y0, '" width="', w,
         '" height="', h, '" fill="white"/>', erase, "</mask>\n",
     )
-    rows = clears.join(masks, keys).select(*keys, "clear_no", F.concat(clips, mask).alias("_def"))
-    return _joined(rows, keys, ["clear_no"], "_def", "clear_defs")
+    return clears.join(masks, keys).select(*keys, F.col("clear_no").alias("order_no"), F.concat(clips, mask).alias("_t"))
 
 
-def svg_documents(
-    table: DataFrame,
-    docs: DataFrame,
-    keys: list[str],
-    removed_ids: DataFrame | None = None,
-    removed_colors: DataFrame | None = None,
-) -> DataFrame:
-    """One SVG text per document: keys, svg, art_width, art_height, art_ratio.
+_DEFS = ("<defs>\n", "</defs>\n")
+_SVG_TAIL = "\n    </g>\n  </g>\n</svg>"
 
-    ``table`` is a paint table, ``docs`` has keys, width, height and the export
-    settings.  A partial clear masks everything before it: the groups of all
-    clears open at the start, the last one outermost, and each closes where its
-    clear was.
-    """
+
+def _svg_parts(
+    table: DataFrame, docs: DataFrame, keys: list[str], removed_ids: DataFrame | None, removed_colors: DataFrame | None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Placed documents with ``head`` and ``artwork``, the texts that open them; rows of their masks; rows of their layers."""
     kept = kept_paints(table, keys, removed_ids, removed_colors)
     placed = _placed(docs, kept, keys)
     n = _s(F.col("kind_index"))
@@ -148,12 +174,11 @@ def svg_documents(
     openings = clears.select(
         *keys, (-F.col("clear_no")).alias("order_no"), _cat('<g mask="url(#clear-', _s(F.col("clear_no")), ')">\n').alias("_t")
     )
-    layers = _joined(paints.unionByName(closings).unionByName(openings), keys, ["order_no"], "_t", "layers")
+    layers = paints.unionByName(closings).unionByName(openings)
     cleared = clears.select(*keys).distinct()
     masked = table.join(cleared, keys, "left_semi")
     sizes = docs.select(*keys, "width", "height").join(cleared, keys, "left_semi")
     defs = _clear_defs(clears, sg.clear_mask_bounds(masked, sizes, keys), keys)
-    whole = placed.join(layers, keys, "left").join(defs, keys, "left")
     w, h = _s(F.col("art_width")), _s(F.col("art_height"))
     background = F.when(F.col("transparent_background"), "").otherwise(
         _cat(
@@ -161,18 +186,61 @@ def svg_documents(
             '" fill="', xml_escape(_background()), '"/>\n  </g>\n',
         )
     )
-    with_defs = F.when(F.col("clear_defs").isNull(), "").otherwise(_cat("<defs>\n", F.col("clear_defs"), "</defs>\n"))
-    svg = _cat(
+    head = _cat(
         '<?xml version="1.0" encoding="UTF-8"?>\n<svg xmlns="http://www.w3.org/2000/svg" version="1.1" width="', w,
         '" height="', h, '" viewBox="0 0 ', w, " ", h, '" color-interpolation="sRGB">\n  <title>Editable vector artwork</title>\n',
-        background, with_defs,
+        background,
+    )
+    artwork = _cat(
         '  <g id="artwork-transform" aria-label="Artwork transform" transform="translate(', fmt4(F.col("fit.ox")), " ",
         fmt4(F.col("fit.oy")), ") scale(", fmt4(F.col("fit.s")), ')">\n    <g id="artwork" aria-label="Artwork">\n',
-        F.coalesce("layers", F.lit("")), "\n    </g>\n  </g>\n</svg>",
     )
+    return placed.withColumns({"head": head, "artwork": artwork}), defs, layers
+
+
+def svg_documents(
+    table: DataFrame,
+    docs: DataFrame,
+    keys: list[str],
+    removed_ids: DataFrame | None = None,
+    removed_colors: DataFrame | None = None,
+) -> DataFrame:
+    """One SVG text per document: keys, svg, art_width, art_height, art_ratio.
+
+    ``table`` is a paint table, ``docs`` has keys, width, height and the export
+    settings.  A partial clear masks everything before it: the groups of all
+    clears open at the start, the last one outermost, and each closes where its
+    clear was.
+    """
+    placed, defs, layers = _svg_parts(table, docs, keys, removed_ids, removed_colors)
+    layers = _joined(layers, keys, ["order_no"], "_t", "layers")
+    whole = placed.join(layers, keys, "left").join(_joined(defs, keys, ["order_no"], "_t", "clear_defs"), keys, "left")
+    with_defs = F.when(F.col("clear_defs").isNull(), "").otherwise(_cat(_DEFS[0], F.col("clear_defs"), _DEFS[1]))
+    svg = _cat(F.col("head"), with_defs, F.col("artwork"), F.coalesce("layers", F.lit("")), _SVG_TAIL)
     return whole.select(*keys, svg.alias("svg"), "art_width", "art_height", "art_ratio")
 
 
+def svg_chunks(
+    table: DataFrame,
+    docs: DataFrame,
+    keys: list[str],
+    removed_ids: DataFrame | None = None,
+    removed_colors: DataFrame | None = None,
+    chunk_chars: int = 2**20,
+    block_rows: int | None = None,
+) -> DataFrame:
+    """The texts of :func:`svg_documents` as chunks (:func:`document_chunks`), for documents too large for one row.
+
+    A document whose text is null has no chunk.
+    """
+    placed, defs, layers = _svg_parts(table, docs, keys, removed_ids, removed_colors)
+    defs = stage(defs, "defs")
+    around = lambda t: defs.groupBy(*keys).agg(F.lit(0).alias("order_no"), F.lit(t).alias("_t"))
+    frame = placed.select(*keys, "head", "artwork").where("head IS NOT NULL AND artwork IS NOT NULL")
+    parts = [F.col("head"), around(_DEFS[0]), defs, around(_DEFS[1]), F.col("artwork"), layers, F.lit(_SVG_TAIL)]
+    return document_chunks(_framed(frame, parts, keys), keys, chunk_chars, block_rows)
+
+
 def _eps_head(title: Column, ox: Column, oy: Column, s: Column) -> Column:
     w, h = _s(F.col("art_width")), _s(F.col("art_height"))
     white = F.struct(*[F.lit(1.0).alias(c) for c in "rgb"])
@@ -254,19 +322,10 @@ def _exclusions(clears: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def eps_documents(
-    table: DataFrame,
-    docs: DataFrame,
-    keys: list[str],
-    removed_ids: DataFrame | None = None,
-    removed_colors: DataFrame | None = None,
-    title: str = "filename",
-) -> DataFrame:
-    """One EPS text per document: keys, eps, art_width, art_height, art_ratio.
-
-    Each paint carries the clears after it as exclusions.  Paints without a
-    color or with an unreadable path are left out.
-    """
+def _eps_parts(
+    table: DataFrame, docs: DataFrame, keys: list[str], removed_ids: DataFrame | None, removed_colors: DataFrame | None, title: str
+) -> tuple[DataFrame, DataFrame]:
+    """Placed documents with ``head``, the text that opens them, and the rows of their paints."""
     kept = stage(kept_paints(table, keys, removed_ids, removed_colors), "kept")
     placed = _placed(docs, kept, keys)
     clears = stage(_numbered_clears(table, keys), "clears")
@@ -290,13 +349,50 @@ def eps_documents(
         _cat("newpath\n", F.col("ps"), F.when(F.col("fill_rule") == "evenodd", "eofill\n").otherwise("fill\n")),
     ).otherwise(_cat(fmt4(F.col("line_width")), " setlinewidth\nnewpath\n", F.col("ps"), "stroke\n"))
     block = _cat("gsave\n", later, matrix, _rgb_line("_rgb"), " setrgbcolor\n", paint, "grestore\n")
-    body = _joined(rows.select(*keys, "order_no", block.alias("_t")), keys, ["order_no"], "_t", "_body")
     fit = F.col("fit")
     name = F.col(title) if title in docs.columns else F.lit("vectorized-result.eps")
-    eps = _cat(_eps_head(name, fit["ox"], fit["oy"], fit["s"]), F.coalesce("_body", F.lit("")), _EPS_TAIL)
+    placed = placed.withColumn("head", _eps_head(name, fit["ox"], fit["oy"], fit["s"]))
+    return placed, rows.select(*keys, "order_no", block.alias("_t"))
+
+
+def eps_documents(
+    table: DataFrame,
+    docs: DataFrame,
+    keys: list[str],
+    removed_ids: DataFrame | None = None,
+    removed_colors: DataFrame | None = None,
+    title: str = "filename",
+) -> DataFrame:
+    """One EPS text per document: keys, eps, art_width, art_height, art_ratio.
+
+    Each paint carries the clears after it as exclusions.  Paints without a
+    color or with an unreadable path are left out.
+    """
+    placed, rows = _eps_parts(table, docs, keys, removed_ids, removed_colors, title)
+    body = _joined(rows, keys, ["order_no"], "_t", "_body")
+    eps = _cat(F.col("head"), F.coalesce("_body", F.lit("")), _EPS_TAIL)
     return placed.join(body, keys, "left").select(*keys, eps.alias("eps"), "art_width", "art_height", "art_ratio")
 
 
+def eps_chunks(
+    table: DataFrame,
+    docs: DataFrame,
+    keys: list[str],
+    removed_ids: DataFrame | None = None,
+    removed_colors: DataFrame | None = None,
+    title: str = "filename",
+    chunk_chars: int = 2**20,
+    block_rows: int | None = None,
+) -> DataFrame:
+    """The texts of :func:`eps_documents` as chunks (:func:`document_chunks`), for documents too large for one row.
+
+    A document whose text is null, as one with a null title, has no chunk.
+    """
+    placed, rows = _eps_parts(table, docs, keys, removed_ids, removed_colors, title)
+    frame = placed.select(*keys, "head").where("head IS NOT NULL")
+    return document_chunks(_framed(frame, [F.col("head"), rows, F.lit(_EPS_TAIL)], keys), keys, chunk_chars, block_rows)
+
+
 WARNING = "Warning: the SVG does not pass the stock checks yet."
 
 

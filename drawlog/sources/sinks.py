@@ -40,16 +40,28 @@ class _Writer(DataSourceWriter):
         files, root = fs.FileSystem.from_uri(self.path)
         folder = f"{_PART}{self.job}-{uuid.uuid4().hex}"
         files.create_dir(f"{root}/{folder}")
+        # Chunks of a document follow each other; no more than one is held.
+        last, out = (None, None), None
         try:
-            for name, text in rows:
+            for name, chunk, text in rows:
                 if not name or "/" in name or name in (".", ".."):
                     raise ValueError(f"no file name: {name!r}")
-                target = f"{root}/{folder}/{name}"
-                if files.get_file_info(target).type != fs.FileType.NotFound:
+                if (name, chunk) == last:
                     raise ValueError(f"two documents are named {name!r}")
-                with files.open_output_stream(target) as out:
-                    out.write((text or "").encode())
+                if name != last[0]:
+                    if out is not None:
+                        out.close()
+                    target = f"{root}/{folder}/{name}"
+                    if files.get_file_info(target).type != fs.FileType.NotFound:
+                        raise ValueError(f"two documents are named {name!r}")
+                    out = files.open_output_stream(target)
+                last = (name, chunk)
+                out.write((text or "").encode())
+            if out is not None:
+                out.close()
         except BaseException:
+            if out is not None and not out.closed:
+                out.close()
             files.delete_dir(f"{root}/{folder}")
             raise
         return _Written(folder)
@@ -109,9 +121,15 @@ class DocumentFiles(DataSource):
         return _Reader(self.options["path"])
 
 
-def write_documents(docs: DataFrame, path: str, fmt: str, name: str = "stored_name", text: str = "text") -> None:
+def write_documents(
+    docs: DataFrame, path: str, fmt: str, name: str = "stored_name", text: str = "text", chunk: str | None = None
+) -> None:
     """Write one file per row, named by ``name``, under ``path/fmt``.
 
+    With ``chunk``, a row is a chunk of its document and the file holds the
+    chunks of one name by rising number, so a document of any size is written
+    with one chunk in memory.
+
     All or nothing: a failed job leaves no file, and files count once the
     job's commit names their folder.  ``path`` is a folder or address that
     every executor reaches (local or mounted, S3, GCS, HDFS).  Names must be
@@ -121,7 +139,9 @@ def write_documents(docs: DataFrame, path: str, fmt: str, name: str = "stored_na
     """
     docs.sparkSession.dataSource.register(DocumentFiles)
     # Equal names meet in one task, and documents are spread evenly.
-    rows = docs.select(F.col(name).alias("filename"), F.col(text).alias("document")).repartition("filename")
+    number = F.lit(0) if chunk is None else F.col(chunk)
+    rows = docs.select(F.col(name).alias("filename"), number.cast("bigint").alias("chunk"), F.col(text).alias("document"))
+    rows = rows.repartition("filename").sortWithinPartitions("filename", "chunk")
     rows.write.format(FORMAT).mode("append").save(f"{path}/{fmt}")
 
 

@@ -9,6 +9,7 @@ from drawlog.operators.assets import allocate_unique_filenames, asset_revisions,
 from drawlog.schema import SURFACE
 from drawlog.sources.readers import load_export_settings
 from drawlog.sources.sinks import read_documents, write_documents
+from drawlog.sources.staging import stage
 
 BOARD = {"ratio": "1:1", "min_pixels": 360_000.0, "max_pixels": 360_000.0}  # 600 by 600
 WIDE, HIGH, SIDE = 240.0, 160.0, 600.0
@@ -162,6 +163,50 @@ def test_file_names_in_chains(spark, seed):
     assert stored_names(spark, asked, stored, 1 + seed * 3) == first_free(asked, stored)
 
 
+def many_paints(spark):
+    """Three drawings with settings: paints and clipped clears; its strokes alone; nothing."""
+    r = random.Random(5)
+    at = lambda: [float(r.randrange(200)), float(r.randrange(120)), float(r.randrange(1, 40)), float(r.randrange(1, 40))]
+    first = [("path_command", {"path_id": "k", "command": {"type": "rect", "args": at()}}), ("clip", {"path_id": "k"})]
+    for i in range(60):
+        first.append(("clear_rect" if i % 9 == 4 else "stroke_rect" if i % 4 == 1 else "fill_rect", {"args": at(), "fill_style": f"#{i:06x}"}))
+    table, docs = drawing(spark, *first)
+    lines = table.where("kind = 'stroke'").withColumn("session_id", F.lit("lines"))
+    others = docs.withColumn("session_id", F.explode(F.array(F.lit("lines"), F.lit("nothing"))))
+    return stage(table.unionByName(lines), "table"), stage(docs.unionByName(others), "docs")
+
+
+def test_chunks_make_up_the_documents(spark, tmp_path):
+    table, docs = many_paints(spark)
+    size = 300
+    for kind, whole, cut in (("svg", export.svg_documents, export.svg_chunks), ("eps", export.eps_documents, export.eps_chunks)):
+        want = {r["session_id"]: r[kind] for r in whole(table, docs, SURFACE).collect()}
+        assert len(want) == 3
+        chunks = stage(cut(table, docs, SURFACE, chunk_chars=size, block_rows=4), "chunks")
+        got, most = {}, 0
+        for r in chunks.orderBy("session_id", "chunk").collect():
+            start = len(got.setdefault(r["session_id"], ""))
+            assert r["chunk"] * size <= start < (r["chunk"] + 1) * size
+            got[r["session_id"]] += r["text"]
+            most = max(most, r["chunk"])
+        assert got == want and most > 10
+        named = chunks.withColumn("stored_name", F.concat("session_id", F.lit(f".{kind}")))
+        write_documents(named, str(tmp_path), kind, chunk="chunk")
+        files = {r["filename"]: r["document"] for r in read_documents(spark, str(tmp_path), kind).collect()}
+        assert files == {f"{k}.{kind}": v for k, v in want.items()}
+        print(kind, "checked")
+    with pytest.raises(Exception, match="two documents are named"):
+        write_documents(named.withColumn("stored_name", F.lit("one")), str(tmp_path), "eps", chunk="chunk")
+
+
+def test_chunks_of_ties_and_empty_texts(spark):
+    rows = [("a", 0, 1, "x" * 7), ("a", 0, 1, "x" * 7), ("a", 1, -2, "b"), ("a", 1, -1, ""), ("a", 1, 70_000, "c"), ("b", 0, 0, None)]
+    df = spark.createDataFrame(rows, "k string, part int, order_no long, text string")
+    got = {(r["k"], r["chunk"]): r["text"] for r in export.document_chunks(df, ["k"], 5).collect()}
+    assert got == {("a", 0): "x" * 7, ("a", 1): "x" * 7, ("a", 2): "b", ("a", 3): "c"}
+    assert export.document_chunks(df.limit(0), ["k"]).count() == 0
+
+
 def test_documents_are_files(spark, tmp_path):
     docs = spark.createDataFrame([("a.svg", "<svg>é</svg>"), ("_b.svg", ""), ("c d%20.svg", None), (".e", "x\ny\n")], "stored_name string, text string")
     write_documents(docs, str(tmp_path), "svg")
