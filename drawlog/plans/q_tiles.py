@@ -59,7 +59,7 @@ def tile_merge_summary(spark, sf_dir):
 
 
 def lookup_by_member(spark, sf_dir):
-    _, g = _grouped(_canvases(spark, sf_dir))
+    g = stage(_grouped(_canvases(spark, sf_dir))[1], "groups")
     ids = g.where("n_paints = 4").select("session_id", "canvas_id")
     return tiles.lookup_by_member(g, ids).select("session_id", "canvas_id", "leader")
 
