@@ -33,3 +33,15 @@ def test_bad_lines_have_a_reason(spark):
     bad = sorted((r.reason, r.position if r.position is not None else -1, r.text) for r in readers.rejected_draw_log(spark, path).collect())
     assert [(r, p) for r, p, _ in bad] == [("not JSON", -1), ("not JSON", -1), ("not an array", -1), ("not an array", -1), ("not an object", 1), ("not an object", 2), ("not an object", 3), ("type of sequence", 4), ("type of width, args", 5)]
     assert {t for r, p, t in bad if p < 0} == {"not json", "[1, 2", '{"a": 1}', '"text"'}
+
+
+def test_an_event_is_parsed_once_for_all_its_fields(spark, tmp_path):
+    (tmp_path / "log.txt").write_text('[{"session_id": "s", "width": true}, {"session_id": "s", "sequence": 1}]\n')
+    spark.conf.set("spark.sql.debug.maxToStringFields", "100000")
+    try:
+        log = readers.read_draw_log(spark, str(tmp_path))
+        plan = log._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count("parse_json") + plan.count("parseJson") <= 4, plan
+    assert [r["sequence"] for r in log.collect()] == [1]
