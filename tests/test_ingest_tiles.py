@@ -175,3 +175,28 @@ def test_documents_within_reach_are_led_without_a_pass_over_places(spark):
     assert len(alone) == 3 and all(k == v for k, v in alone.items())
     want = {k: v for f in range(4) for k, v in _greedy([x for x in mixed if x[0].startswith(f"f{f}-")]).items()}
     assert {k: v for k, v in got.items() if k not in alone} == want
+
+
+def test_the_limit_leaves_less_to_settle_every_round(spark, monkeypatch):
+    # Frames of three batches each; the first two batches of the session use up its room.
+    rows = [("s", f"f{f}", b * 2 + i + 1, f"f{f}-{b}", f * 3 + b + 1) for f in range(6) for b in range(3) for i in range(2)]
+    log = spark.createDataFrame(rows, "session_id string, frame_id string, sequence long, batch_id string, arrival long").withColumn("type", F.lit("fill"))
+    seen, settle = [], ingest._settle
+
+    def counted(frames, span):
+        seen.append(frames.count())
+        return settle(frames, span)
+
+    monkeypatch.setattr(ingest, "_settle", counted)
+    got = {r["batch_id"]: r["reason"] for r in ingest.batch_gate(log, max_events=5, event_limit=4).collect()}
+    want, used, last = {}, 0, {}
+    for f in range(6):
+        for b in range(3):
+            have = last.get(f, 0)
+            reason = "sequence" if b * 2 > have else "limit" if used + 2 > 4 else None
+            if reason is None:
+                used, last[f] = used + 2, b * 2 + 2
+            want[f"f{f}-{b}"] = reason
+    assert got == want
+    # After the first round only what was accepted then and not refused since is read again.
+    assert seen[0] == 18 and all(b < a for a, b in zip(seen, seen[1:]))
