@@ -152,3 +152,30 @@ def test_doubling_and_rounds_agree_on_moved_appends(spark, monkeypatch):
     monkeypatch.setattr(paths, "_plain_copies", lambda *a: real(*a).limit(0))
     by_rounds = {x["sequence"]: (x["d"] or "", x["has_current"]) for x in paths.path_lineage(log, 16).collect()}
     assert by_doubling == by_rounds and len({d for d, _ in by_rounds.values()}) > 5
+
+
+def test_nearest_color_meets_neighbours_only(spark, monkeypatch):
+    from drawlog.operators import paint
+
+    rng = random.Random(3)
+    code = lambda: "#%02x%02x%02x" % tuple(rng.choice([rng.randrange(256), rng.randrange(40)]) for _ in range(3))
+    dense = ["#%02x%02x%02x" % (r, g, b) for r in range(12) for g in range(12) for b in range(12)]
+    colors = [("a", c) for c in dense] + [("b", code()) for _ in range(60)] + [("b", "#000000")] * 2
+    samples = [("a", c) for c in dense] + [(k, code()) for k in "ab" for _ in range(150)] + [("b", None), (None, "#000000"), ("c", "#000000")]
+    pairs, within = [], paint._nearest_within
+
+    def counted(want, pal, keys, reach):
+        pairs.append((reach, want.count()))
+        return within(want, pal, keys, reach)
+
+    monkeypatch.setattr(paint, "_nearest_within", counted)
+    got = paint.nearest_color(spark.createDataFrame(colors, "k string, color string"), spark.createDataFrame(samples, "k string, sample string"), ["k"])
+    rgb = lambda c: [int(c[i : i + 2], 16) for i in (1, 3, 5)]
+    want = set()
+    for k, s in {x for x in samples if None not in x}:
+        best = min(((sum((a - b) ** 2 for a, b in zip(rgb(s), rgb(c))), c) for o, c in colors if o == k), default=(10**9, ""))
+        if best[0] <= 48 * 48:
+            want.add((k, s, best[1], best[0]))
+    assert {tuple(r) for r in got.select("k", "sample", "color", "distance").collect()} == want
+    # Samples of the dense palette are done in the smallest cells.
+    assert len(pairs) == 4 and pairs[0][1] > 1700 and pairs[1][1] < 350
