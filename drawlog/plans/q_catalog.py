@@ -13,7 +13,7 @@ from drawlog.sources.staging import stage
 
 
 def canvas_catalog(spark, sf_dir):
-    return ct.canvas_catalog(fx.draw_log(spark, sf_dir))
+    return ct.canvas_catalog(stage(fx.draw_log(spark, sf_dir), "log"))
 
 
 def catalog_order(spark, sf_dir):

@@ -98,7 +98,7 @@ def stream_catalog(log: DataFrame, sink: str, every: str = "500 milliseconds") -
         touched = touched.drop("bucket")
         whole = read_table(spark, sink, "log", schema, epoch + 1)
         whole = whole.where(F.col("bucket").isin(own)).drop("epoch", "bucket")
-        mine = accepted_prefix(whole.join(touched, "session_id", "left_semi"))
+        mine = stage(accepted_prefix(whole.join(touched, "session_id", "left_semi")), "accepted")
         catalog = canvas_catalog(mine)
         # A session without a listed document still replaces its older rows.
         _put(touched.join(catalog, "session_id", "left"), sink, "catalog", epoch)
