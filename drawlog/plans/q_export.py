@@ -21,7 +21,7 @@ from drawlog.sources.staging import stage, stage_path
 def _drawings(spark, sf_dir):
     """Paints of all canvases and their documents with settings."""
     log = stage(fx.draw_log(spark, sf_dir), "log")
-    numbered = sf.numbered_log(sf.surface_log(log))
+    numbered = sf.numbered_log(sf.surface_log(log, written=False))
     table = sf.paints(log, numbered)
     docs = sf.state_of(numbered).select(*SURFACE, "width", "height").join(sf.error_count(numbered), SURFACE)
     settings = readers.load_export_settings(

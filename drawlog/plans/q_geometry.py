@@ -44,7 +44,7 @@ def flatten_arcs(spark, sf_dir):
 def _paints(spark, sf_dir):
     """Current paints with their path text and size."""
     log = stage(fx.draw_log(spark, sf_dir), "log")
-    numbered = surface.numbered_log(surface.surface_log(log))
+    numbered = surface.numbered_log(surface.surface_log(log, written=False))
     return numbered, surface.paints(log, numbered)
 
 

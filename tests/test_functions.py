@@ -78,3 +78,10 @@ def test_arc_text(spark):
     args = F.array(*[F.lit(v) for v in (0.0, 0.0, 5.0, 0.0, 6.283185307179586)])
     got = one(spark, geometry.render_path_command(F.lit("arc"), args, F.lit(False)).alias("d"))["d"]
     assert got == "M 5 0 A 5 5 0 1 1 -5 0 A 5 5 0 1 1 5 0"
+
+
+def test_fmt4_writes_whole_numbers_as_it_writes_others(spark):
+    values = [0.0, -0.0, 7.0, -7.0, 120.0, 99999999999.0, 1e11, 123456789012345.0, -1e15, 1e-9, float("-inf")]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = [r[0] for r in df.orderBy("i").select(text.fmt4(F.col("v"))).collect()]
+    assert got == ["0", "0", "7", "-7", "120", "99999999999", "100000000000", "123456789012345", "-1000000000000000", "0", "0"]

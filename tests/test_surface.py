@@ -179,3 +179,18 @@ def test_nearest_color_meets_neighbours_only(spark, monkeypatch):
     assert {tuple(r) for r in got.select("k", "sample", "color", "distance").collect()} == want
     # Samples of the dense palette are done in the smallest cells.
     assert len(pairs) == 4 and pairs[0][1] > 1700 and pairs[1][1] < 350
+
+
+def test_one_block_is_read_once_and_gives_what_blocks_give(spark, monkeypatch):
+    written = []
+    real = surface.stage
+    monkeypatch.setattr(surface, "stage", lambda df, name: written.append(name) or real(df, name))
+    log = frame(spark, [r for r in random_log(11, 300) if not (r["value"] or "").startswith("{")])
+    whole = surface.surface_log(log, written=False)
+    # No table between the passes, and none is shuffled for block totals.
+    assert not {"paths", "sized", "surface"} & set(written)
+    n = surface.numbered_log(whole)
+    cut = surface.numbered_log(surface.surface_log(log, block_rows=16), 16)
+    assert {"paths", "sized", "surface"} <= set(written)
+    rows = lambda df: sorted(map(str, df.select(*sorted(n.columns)).collect()))
+    assert rows(n) == rows(cut)
