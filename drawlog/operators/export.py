@@ -40,7 +40,7 @@ def _placed(docs: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
     """Documents with artboard (art_*) and placement (fit)."""
     bounds = sg.artwork_bounds(kept, keys)
     edges = ("min_x", "min_y", "max_x", "max_y")
-    wide = with_artboard(docs).join(bounds, keys, "left")
+    wide = with_artboard(docs).join(bounds.hint("merge"), keys, "left")
     box = F.when(F.col("min_x").isNotNull(), F.struct(*edges))
     return (
         wide.withColumn("_box", box)
@@ -297,7 +297,7 @@ def _exclusions(clears: DataFrame, keys: list[str]) -> DataFrame:
         ).alias("_p"),
     ).select(*keys, "clear_no", "_p.part", "_p.d", "_p.m")
     ps = sg.postscript_texts(parts.where(F.col("d").rlike(r"^\s*($|[Mm])")), "d", "m")
-    joined = parts.join(ps, ["d", "m"], "left")
+    joined = parts.join(ps.hint("merge"), ["d", "m"], "left")
     text = F.when(F.col("part") < 3, _cat("newpath\n", F.col("ps"), "clip\n")).otherwise(
         _cat("newpath\n", F.col("ps"), "clip\nclippath\n")
     )
@@ -331,14 +331,15 @@ def _eps_parts(
     clears = stage(_numbered_clears(table, keys), "clears")
     codes = _exclusions(clears, keys)
     marks = clears.groupBy(*keys).agg(F.array_sort(F.collect_list("order_no")).alias("_marks"))
-    by_doc = stage(marks.join(codes, keys), "exclusions")
+    # Texts of documents, clears and paths take far more memory than their written size: never broadcast.
+    by_doc = stage(marks.join(codes.hint("merge"), keys), "exclusions")
     ps = sg.postscript_texts(kept.where("kind <> 'clear'"), "d")
     rows = (
         kept.where("kind <> 'clear'")
         .withColumn("_rgb", parse_paint_rgb(F.col("paint")))
         .where("_rgb IS NOT NULL")
-        .join(ps, "d")
-        .join(by_doc, keys, "left")
+        .join(ps.hint("merge"), "d")
+        .join(by_doc.hint("merge"), keys, "left")
     )
     later = F.expr(
         "CASE WHEN _marks IS NULL THEN '' ELSE array_join(slice(exclusions, 1, size(filter(_marks, m -> m > order_no))), '') END"
@@ -371,7 +372,7 @@ def eps_documents(
     placed, rows = _eps_parts(table, docs, keys, removed_ids, removed_colors, title)
     body = _joined(rows, keys, ["order_no"], "_t", "_body")
     eps = _cat(F.col("head"), F.coalesce("_body", F.lit("")), _EPS_TAIL)
-    return placed.join(body, keys, "left").select(*keys, eps.alias("eps"), "art_width", "art_height", "art_ratio")
+    return placed.join(body.hint("merge"), keys, "left").select(*keys, eps.alias("eps"), "art_width", "art_height", "art_ratio")
 
 
 def eps_chunks(

@@ -23,7 +23,7 @@ def _drawings(spark, sf_dir):
     log = stage(fx.draw_log(spark, sf_dir), "log")
     numbered = sf.numbered_log(sf.surface_log(log, written=False))
     table = sf.paints(log, numbered)
-    docs = sf.state_of(numbered).select(*SURFACE, "width", "height").join(sf.error_count(numbered), SURFACE)
+    docs = sf.state_of(numbered).select(*SURFACE, "width", "height").join(sf.error_count(numbered).hint("merge"), SURFACE)
     settings = readers.load_export_settings(
         docs.withColumns(
             {

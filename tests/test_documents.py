@@ -82,6 +82,33 @@ def test_eps_page_and_colors(spark):
     assert lines.count("newpath") == 2
 
 
+def test_eps_documents_broadcast_nothing(spark, monkeypatch):
+    plans = {}
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stage(df, name)
+
+    for module in (surface, export):
+        monkeypatch.setattr(module, "stage", noted)
+    path = [("path_command", {"path_id": "k", "command": {"type": "rect", "args": BOX}}), ("save", {}), ("clip", {"path_id": "k"})]
+    paint = lambda c: ("fill_rect", {"args": BOX, "fill_style": c})
+    rows = [*path, paint("#0a0b0c"), paint("#0000ff"), ("clear_rect", {"args": BOX}), ("restore", {}), paint("#00ff00"), ("fill", {"path_id": "k"})]
+    log = stage(frame(spark, numbered(("canvas_created", {"width": WIDE, "height": HIGH}), *rows)), "log")
+    n = surface.numbered_log(surface.surface_log(log))
+    docs = surface.state_of(n).select(*SURFACE, "width", "height").withColumns({k: F.lit(v) for k, v in BOARD.items()})
+    docs = stage(load_export_settings(docs.join(surface.error_count(n).hint("merge"), SURFACE)), "docs")
+    ids = docs.select("canvas_id", F.lit("shape-3").alias("element_id"))
+    colors = docs.select("canvas_id", F.lit("#0A0B0C").alias("color"))
+    out = export.eps_documents(surface.paints(log, n), docs, SURFACE, ids, colors)
+    plans["eps"] = out._jdf.queryExecution().executedPlan().toString()
+    assert {"numbered", "texts", "paints", "kept", "clears", "exclusions"} < set(plans)
+    assert [k for k, v in plans.items() if "Broadcast" in v] == []
+    eps = out.first()["eps"]
+    assert [x for x in eps.splitlines() if x.endswith("setrgbcolor")][1:] == ["0 0 1 setrgbcolor", "0 0 0 setrgbcolor"]
+    assert eps.count("% clearRect exclusion") == 1
+
+
 def test_removed_colors_leave_the_document(spark):
     table, docs = drawing(spark, *[("fill_rect", {"args": BOX, "fill_style": c}) for c in ("#0a0b0c", "olive", "rgb(10, 11, 12)")])
     gone = spark.createDataFrame([("#0A0B0C",)], "color string")
